@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
-from plumbline.llm import bpe
+from plumbline.llm import bpe, language, licenses, mixing, quality
 
 QUERIES = {
     "op2_bpe_roundtrip": bpe.query,
+    "op3_license_scan": licenses.query,
+    "op6_language_id": language.query,
+    "op9_line_quality": quality.query,
+    "op10_pareto_mixing": mixing.query,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op10_pareto_mixing": mixing.ORACLE_SQL,
+}
