@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from plumbline.llm import bpe, language, licenses, mixing, quality
+from plumbline.llm import bpe, language, licenses, mixing, pii, quality, secrets
 
 QUERIES = {
     "op2_bpe_roundtrip": bpe.query,
     "op3_license_scan": licenses.query,
+    "op4_pii_disclosure": pii.query,
     "op6_language_id": language.query,
+    "op7_secret_scan": secrets.query,
     "op9_line_quality": quality.query,
     "op10_pareto_mixing": mixing.query,
 }
