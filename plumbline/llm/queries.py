@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
-from plumbline.llm import bpe, language, licenses, mixing, pii, quality, secrets
+from plumbline.llm import bpe, language, licenses, minhash, mixing, neighbours, passages, pii, quality, secrets
 
 QUERIES = {
+    "op1_minhash_near_dedup": minhash.query,
     "op2_bpe_roundtrip": bpe.query,
     "op3_license_scan": licenses.query,
     "op4_pii_disclosure": pii.query,
+    "op5_passage_dedup": passages.query,
     "op6_language_id": language.query,
     "op7_secret_scan": secrets.query,
+    "op8_multiprobe_neighbours": neighbours.query,
     "op9_line_quality": quality.query,
     "op10_pareto_mixing": mixing.query,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_minhash_near_dedup": minhash.ORACLE_SQL,
+    "op5_passage_dedup": passages.ORACLE_SQL,
     "op10_pareto_mixing": mixing.ORACLE_SQL,
 }
