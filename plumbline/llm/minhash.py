@@ -38,6 +38,8 @@ HALVES = 12
 PER_HALF = 2
 #: Times that buckets of several components are held against another node before the rest is settled by prefixes.
 AGAIN = 2
+#: Ratio of the sizes at which neighbouring size classes start.
+SIZE_STEP = 1.03
 #: Members of a hub that one task confirms.
 HUB_ROWS = 512
 SEED = 75
@@ -189,8 +191,9 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
 def prefix_pairs(sets: DataFrame, held: DataFrame, percent: int = PERCENT) -> DataFrame:
     """hub and member of nodes in different components that share one of their rarest shingles.
 
-    held: node and component. A set of n shingles that is similar enough to another shares one of any n - ceil(n * percent / 100) + 1
-    of its own with it, if both order shingles alike; the rarest come first.
+    held: node and component. Only shingles found in several components can be shared by such a pair: s of a set's n. Sets of
+    n and m shingles must share o = percent * (n + m) / (100 + percent) of them, so any s - o + 1 of either hold a shared one,
+    here the rarest. Sizes fall into narrow classes; a set has a prefix for each class in reach, as o tells for both classes.
     """
 
     def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,14 +204,20 @@ def prefix_pairs(sets: DataFrame, held: DataFrame, percent: int = PERCENT) -> Da
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (*rows, own)], names=["node", "component", "n", "shingle"])
 
     each = sets.join(held, "node").select("node", "component", "hashes").mapInArrow(opened, "node long, component long, n long, shingle long")
-    # Shingles within one component only can make no pair of two; one found once neither.
-    counts = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("found"), F.min("component").alias("lo"), F.max("component").alias("hi"))
-    ranked = each.join(counts, "shingle").groupBy("node", "component", "n").agg(F.sort_array(F.collect_list(F.struct("found", "shingle", (F.col("lo") < F.col("hi")).alias("mixed")))).alias("order"))
-    first = F.slice("order", F.lit(1), (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int"))
-    prefix = ranked.select("node", "component", "n", F.explode(F.filter(first, lambda s: s["mixed"])).alias("s")).select("node", "component", "n", "s.shingle")
-    other = prefix.select(F.col("node").alias("hub"), F.col("component").alias("c"), F.col("n").alias("m"), "shingle")
-    near = (F.col("hub") < F.col("node")) & (F.col("c") != F.col("component")) & (100 * F.least("n", "m") >= percent * F.greatest("n", "m"))
-    return prefix.join(other, "shingle").where(near).select("hub", F.col("node").alias("member")).distinct()
+    counts = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("found"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("shingle", "found")
+    shared = each.join(counts, "shingle").groupBy("node", "component", "n").agg(F.sort_array(F.collect_list(F.struct("found", "shingle"))).alias("order"))
+    size_class = lambda n: F.floor(F.ln(n) / F.ln(F.lit(SIZE_STEP)) + 1e-9).cast("int")
+    least = lambda c: F.floor(F.pow(F.lit(SIZE_STEP), c) + 1e-9)
+    own = size_class(F.col("n").cast("double"))
+    able = shared.withColumn("s", F.size("order")).where(F.col("s") * 100 >= percent * F.col("n")).withColumn("own", own)
+    reach = F.sequence(size_class(F.greatest(F.col("n") * percent / 100, F.lit(1.0))), size_class(F.col("n") * 100 / percent))
+    length = lambda c: F.col("s") - F.ceil(percent * (least(c) + least(F.col("own"))) / (100 + percent)).cast("int") + 1
+    parts = F.filter(F.transform(reach, lambda c: F.struct(c.alias("to"), length(c).alias("length"))), lambda p: p["length"] > 0)
+    of_class = able.select("node", "component", "n", "s", "own", "order", F.explode(parts).alias("p"))
+    prefix = of_class.select("node", "component", "n", "s", "own", F.col("p.to").alias("to"), F.explode(F.slice("order", F.lit(1), F.col("p.length"))).alias("it")).select("node", "component", "n", "s", "own", "to", "it.shingle")
+    other = prefix.select(F.col("node").alias("hub"), F.col("component").alias("c"), F.col("n").alias("m"), F.col("s").alias("t"), F.col("own").alias("to"), F.col("to").alias("own"), "shingle")
+    near = (F.col("hub") < F.col("node")) & (F.col("c") != F.col("component")) & ((100 + percent) * F.least("s", "t") >= percent * (F.col("n") + F.col("m")))
+    return prefix.join(other, ["own", "to", "shingle"]).where(near).select("hub", F.col("node").alias("member")).distinct()
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
