@@ -10,6 +10,8 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.lineage import cut
+
 
 def _recursive(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     spark, mark = edges.sparkSession, uuid.uuid4().hex
@@ -39,14 +41,14 @@ def closure(edges: DataFrame, seeds: DataFrame, *, both_ways: bool = False, dept
     step = edges.select("src", "dst")
     if both_ways:
         step = step.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
-    found = seeds.select("node").distinct().checkpoint() if edges.sparkSession.sparkContext.getCheckpointDir() else seeds.select("node").distinct()
-    frontier = found
+    step = cut(step)
+    found = frontier = cut(seeds.select("node").distinct())
     for _ in range(depth):
         new = frontier.join(step, frontier["node"] == step["src"]).select(F.col("dst").alias("node")).distinct().join(found, "node", "left_anti")
-        new = new.checkpoint() if edges.sparkSession.sparkContext.getCheckpointDir() else new.persist()
+        new = cut(new)
         if new.isEmpty():
             break
-        found, frontier = found.unionByName(new), new
+        found, frontier = cut(found.unionByName(new)), new
     return found
 
 
@@ -76,16 +78,15 @@ def dependency_order(components: DataFrame, depth: int = 50) -> DataFrame:
     known = components.select(F.col("id").alias("node"))
     missing = edges.join(known, edges["src"] == known["node"], "left_anti").select(F.col("dst").alias("node")).distinct()
     broken = closure(edges, missing).withColumnRenamed("node", "id").withColumn("problem", F.lit("missing dependency"))
-    ranked = components.where(F.size("requires") == 0).select("id", F.lit(0).alias("rank"))
-    waiting = components.where(F.size("requires") > 0).join(broken.select("id"), "id", "left_anti").select("id", "requires").persist()
-    done = ranked
+    done = cut(components.where(F.size("requires") == 0).select("id", F.lit(0).alias("rank")))
+    waiting = cut(components.where(F.size("requires") > 0).join(broken.select("id"), "id", "left_anti").select("id", F.explode("requires").alias("need")))
     for _ in range(depth):
-        needs = waiting.select("id", F.explode("requires").alias("need")).join(done.select(F.col("id").alias("need"), "rank"), "need", "left")
+        needs = waiting.join(done.select(F.col("id").alias("need"), "rank"), "need", "left")
         ready = needs.groupBy("id").agg(F.count(F.when(F.col("rank").isNull(), 1)).alias("open"), F.max("rank").alias("top")).where("open = 0").select("id", (F.col("top") + 1).alias("rank"))
-        ready = ready.join(done.select("id"), "id", "left_anti").persist()
+        ready = cut(ready.join(done.select("id"), "id", "left_anti"))
         if ready.isEmpty():
             break
-        done = done.unionByName(ready).persist()
+        done = cut(done.unionByName(ready))
     rest = components.select("id").join(done, "id", "left_anti").join(broken.select("id"), "id", "left_anti").withColumn("problem", F.lit("cycle"))
     return done.withColumn("problem", F.lit(None).cast("string")).unionByName(broken.unionByName(rest).withColumn("rank", F.lit(None).cast("int")), allowMissingColumns=True)
 
