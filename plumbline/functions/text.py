@@ -143,6 +143,7 @@ def safe_detail(text: Column, most: int = 512) -> Column:
 def error_signature(text: Column) -> Column:
     """An error message with what changes from run to run replaced by placeholders."""
     out = F.coalesce(text, F.lit(""))
+    # What changes between runs, in this order.
     for pattern, put in (
         (r"(?i)\b[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}\b", "<uuid>"),
         (r"\b[0-9]{4}-[0-9]{2}-[0-9]{2}[T ][0-9]{2}:[0-9]{2}:[0-9]{2}(?:\.[0-9]+)?(?:Z|[+-][0-9]{2}:?[0-9]{2})?\b", "<timestamp>"),

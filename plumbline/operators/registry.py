@@ -20,6 +20,7 @@ UNVERIFIED = ("", "not-yet-verified", "unconfirmed")
 def signature(text: Column) -> Column:
     """A symptom with run-dependent parts replaced: ids, times, lines and counters."""
     out = F.lower(squeezed(text))
+    # What changes between runs, in this order.
     for pattern, put in (
         (r"\b[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}\b", "<uuid>"),
         (r"\b[0-9]{4}-[0-9]{2}-[0-9]{2}[t ][0-9]{2}:[0-9]{2}:[0-9]{2}(?:\.[0-9]+)?(?:z|[+-][0-9]{2}:[0-9]{2})?\b", "<timestamp>"),
