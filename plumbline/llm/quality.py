@@ -121,3 +121,37 @@ def judge(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", so
 def query(spark, sf_dir: str) -> DataFrame:
     """op9: base metrics and verdict of every document."""
     return judge(table(spark, sf_dir, "documents")).select(F.col("row_id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "removed")
+
+
+ORACLE_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(source, chr(1)) AS host, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), lines AS (
+  SELECT doc_id, host, line, regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM (SELECT doc_id, host, unnest(string_split(text, chr(10))) AS line FROM d)
+), held AS (
+  SELECT doc_id, host, line, len(w) AS n, array_to_string(w, ' ') AS norm FROM lines WHERE len(w) > 0
+), hosts AS (
+  SELECT host, count(*) AS docs FROM d GROUP BY host
+), frequent AS (
+  SELECT host, norm FROM (SELECT host, norm, count(DISTINCT doc_id) AS found FROM held GROUP BY host, norm) JOIN hosts USING (host) WHERE found > 20 AND found > 0.01 * docs
+), lost AS (
+  SELECT doc_id, CAST(sum(n) AS BIGINT) AS removed FROM held SEMI JOIN frequent USING (host, norm) GROUP BY doc_id
+), dups AS (
+  SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM held GROUP BY doc_id
+), grams AS (
+  SELECT doc_id, i, words[i:i + 2] AS g FROM (SELECT doc_id, words, unnest(range(1, len(words) - 1)) AS i FROM d WHERE len(words) >= 3)
+), again AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM grams) WHERE c > 1
+), covered AS (
+  SELECT doc_id, count(DISTINCT at_word) AS n_repeat_words FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS at_word FROM again) GROUP BY doc_id
+), m AS (
+  SELECT d.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(length(array_to_string(words, '')) AS BIGINT) AS word_chars,
+         CAST(length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines,
+         coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(removed, 0) AS removed
+  FROM d LEFT JOIN dups USING (doc_id) LEFT JOIN covered USING (doc_id) LEFT JOIN lost USING (doc_id)
+)
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND NOT removed > 0.5 * n_words AS kept
+FROM m
+"""

@@ -20,5 +20,6 @@ QUERIES = {
 ORACLE_SQL: dict[str, str] = {
     "op1_minhash_near_dedup": minhash.ORACLE_SQL,
     "op5_passage_dedup": passages.ORACLE_SQL,
+    "op9_line_quality": quality.ORACLE_SQL,
     "op10_pareto_mixing": mixing.ORACLE_SQL,
 }

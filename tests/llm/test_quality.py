@@ -2,6 +2,8 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import duckdb
+
 from plumbline.llm import quality as Q
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -50,3 +52,13 @@ def test_query_matches_brute_force(spark, sf_dir):
     rows = [(r.doc_id, r.text, r.source) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
     got = [(r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.removed, r.base_failed, r.kept) for r in Q.query(spark, sf_dir).collect()]
     assert sorted(got) == sorted(brute(rows, Q.MIN_DOCS, Q.HOST_SHARE))
+
+
+def test_query_matches_sql(spark):
+    at = "/root/testdata/sf0.01"
+    db = duckdb.connect()
+    db.sql(f"create view documents as from '{at}/documents.parquet'")
+    got, want = Q.query(spark, at), db.sql(Q.ORACLE_SQL)
+    order = sorted(got.columns)
+    assert sorted(want.columns) == order
+    assert sorted(map(tuple, got.select(*order).collect()), key=str) == sorted(want.select(*order).fetchall(), key=str)
