@@ -17,7 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import Scratch, table
-from plumbline.llm.spans import keyed, listed, matches, redacted
+from plumbline.llm.spans import listed, matches, redacted
+from plumbline.llm.sqltext import matches as sql_matches
 
 #: Fixed by the contract of op4, with possessive repeats where no other match can follow, and starts only where a run of
 #: the first class starts (or the last match ended), so that long runs take linear time.
@@ -138,3 +139,46 @@ def query(spark, sf_dir: str) -> DataFrame:
         F.array_join(F.concat(base, listed("term", F.col("terms"))), ",").alias("spans"),
         F.size("terms").cast("long").alias("n_term"),
     )
+
+
+_DIGITS = "regexp_replace(hit, '[^0-9]', '', 'g')"
+_LUHN = f"list_sum(list_transform(range(1, length({_DIGITS}) + 1), lambda i: CASE WHEN (length({_DIGITS}) - i) % 2 = 0 THEN CAST(substr({_DIGITS}, i, 1) AS INT) ELSE CAST(substr({_DIGITS}, i, 1) AS INT) * 2 - CASE WHEN CAST(substr({_DIGITS}, i, 1) AS INT) > 4 THEN 9 ELSE 0 END END)) % 10 = 0"
+
+ORACLE_SQL = rf"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text FROM documents
+), b AS (
+  SELECT *, 1 AS o FROM ({sql_matches("d", "doc_id, text", "text", "[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\\.[A-Za-z0-9-]+)+", "email")})
+  UNION ALL SELECT *, 2 FROM ({sql_matches("d", "doc_id, text", "text", "[0-9]+(?:\\.[0-9]+)(?:\\.[0-9]+)(?:\\.[0-9]+)", "ip")}) WHERE len(list_filter(string_split(hit, '.'), lambda p: length(ltrim(p, '0')) > 3 OR coalesce(TRY_CAST(p AS INT), 0) > 255)) = 0
+  UNION ALL SELECT *, 3 FROM ({sql_matches("d", "doc_id, text", "text", "[0-9](?:[\\x20-]?[0-9])+", "card")}) WHERE length({_DIGITS}) BETWEEN 13 AND 19 AND {_LUHN}
+  UNION ALL SELECT *, 4 FROM ({sql_matches("d", "doc_id, text", "text", "\\+[0-9][\\x20().0-9-]+[0-9]", "phone")}) WHERE length({_DIGITS}) BETWEEN 9 AND 15
+), e AS (
+  SELECT *, kind || ':' || lower(hit) AS entity, greatest(start - {WINDOW}, 0) AS from_ FROM b
+), win AS (
+  SELECT doc_id, entity, from_ AS base, substr(text, from_ + 1, start - from_) AS win, from_ > 0 AND regexp_matches(substr(text, from_, 1), '\p{{L}}') AS cut, false AS goes_on FROM e
+  UNION ALL
+  SELECT doc_id, entity, stop, substr(text, stop + 1, {WINDOW}), false, regexp_matches(substr(text, stop + {WINDOW} + 1, 1), '\p{{L}}') FROM e
+), near AS (
+  SELECT doc_id, entity, lower(hit) AS term, base + start AS start, base + stop AS stop
+  FROM ({sql_matches("win", "doc_id, entity, base, win, cut, goes_on", "win", "\\p{L}{4,}", "term")}) WHERE NOT (cut AND start = 0) AND NOT (goes_on AND stop = length(win))
+), pairs AS (
+  SELECT * FROM near n WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.doc_id = n.doc_id AND n.start < b.stop AND b.start < n.stop)
+), both_ AS (
+  SELECT entity, term, count(DISTINCT doc_id) AS n_both FROM pairs GROUP BY ALL HAVING count(DISTINCT doc_id) >= {SUPPORT}
+), ent AS (
+  SELECT entity, count(DISTINCT doc_id) AS n_entity FROM e GROUP BY entity
+), terms AS (
+  SELECT term, count(*) AS n_term FROM (SELECT doc_id, unnest(list_distinct(list_transform(regexp_extract_all(text, '\p{{L}}{{4,}}'), lambda w: lower(w)))) AS term FROM d) GROUP BY term
+), told AS (
+  SELECT entity, term FROM both_ JOIN ent USING (entity) JOIN terms USING (term), (SELECT count(*)::DOUBLE AS n FROM d)
+  WHERE ln(n / n_entity) > 0 AND ln(n * n_both / (n_term * n_entity)) / ln(n / n_entity) >= {DISCLOSURE}
+), every AS (
+  SELECT doc_id, kind, start, stop, o FROM b UNION ALL SELECT DISTINCT doc_id, 'term', start, stop, 5 FROM pairs SEMI JOIN told USING (entity, term)
+), g AS (
+  SELECT doc_id, count(*) FILTER (o = 1) AS n_email, count(*) FILTER (o = 2) AS n_ip, count(*) FILTER (o = 3) AS n_card, count(*) FILTER (o = 4) AS n_phone, count(*) FILTER (o = 5) AS n_term,
+         coalesce(string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY o, start) FILTER (o < 5), '') AS base, string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY o, start) AS spans
+  FROM every GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_term, 0) AS n_term
+FROM d LEFT JOIN g USING (doc_id)
+"""

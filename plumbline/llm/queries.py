@@ -19,7 +19,9 @@ QUERIES = {
 
 ORACLE_SQL: dict[str, str] = {
     "op1_minhash_near_dedup": minhash.ORACLE_SQL,
+    "op4_pii_disclosure": pii.ORACLE_SQL,
     "op5_passage_dedup": passages.ORACLE_SQL,
+    "op7_secret_scan": secrets.ORACLE_SQL,
     "op9_line_quality": quality.ORACLE_SQL,
     "op10_pareto_mixing": mixing.ORACLE_SQL,
 }

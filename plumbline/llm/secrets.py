@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from plumbline.llm.common import Scratch, table
 from plumbline.llm.quality import let
 from plumbline.llm.spans import keyed, matches
+from plumbline.llm.sqltext import matches as sql_matches
 
 
 def _either(words: str) -> str:
@@ -156,3 +157,52 @@ def query(spark, sf_dir: str) -> DataFrame:
         said(every).alias("spans"),
         F.size("random").cast("long").alias("n_random"),
     )
+
+
+_ASSIGN_SQL = ASSIGN.replace("'", "''")
+_ALPHABETS = " ".join(f"WHEN enc = '{name}' THEN '{letters}'" for name, letters in ALPHABETS.items())
+
+ORACLE_SQL = rf"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text FROM documents
+), b AS (
+  SELECT * FROM ({sql_matches("d", "doc_id", "text", _ASSIGN_SQL, "assign")}) WHERE length(regexp_extract(hit, '{_ASSIGN_SQL}', 2)) >= {LEAST_VALUE}
+  UNION ALL SELECT * FROM ({sql_matches("d", "doc_id", "text", "AKIA[A-Z0-9]+", "access")}) WHERE length(hit) >= 16
+  UNION ALL SELECT * FROM ({sql_matches("d", "doc_id", "text", "[0-9a-f]{32,}", "hex")})
+), t AS (
+  SELECT *, CASE WHEN regexp_full_match(hit, '[0-9a-f]+|[0-9A-F]+') THEN 'hex' WHEN regexp_full_match(hit, '[A-Z2-7]+') THEN 'base32' WHEN regexp_full_match(hit, '[A-Za-z0-9]+') THEN 'base62' ELSE 'base64' END AS enc
+  FROM ({sql_matches("d", "doc_id", "text", "[A-Za-z0-9+/_-]{20,}", "random")}) x
+  WHERE regexp_matches(hit, '[A-Za-z]') AND NOT EXISTS (SELECT 1 FROM b WHERE b.doc_id = x.doc_id AND b.start < x.stop AND x.start < b.stop)
+), v AS (
+  SELECT *, length(alphabet)::DOUBLE AS k, list_transform(string_split(CASE enc WHEN 'hex' THEN lower(hit) WHEN 'base64' THEN translate(hit, '-_', '+/') ELSE hit END, ''), lambda c: instr(alphabet, c) - 1) AS v
+  FROM (SELECT *, CASE {_ALPHABETS} END AS alphabet FROM t)
+), s AS (
+  SELECT *, len(v)::DOUBLE AS n, list_sum(list_transform(list_distinct(v), lambda x: pow(len(list_filter(v, lambda y: y = x)), 2)))::DOUBLE AS squares,
+         len(list_filter(v, lambda x: x >= k / 2))::DOUBLE AS ones, 1 + len(list_filter(range(2, len(v) + 1), lambda i: (v[i] >= k / 2) <> (v[i - 1] >= k / 2)))::DOUBLE AS runs, list_sum(v)::DOUBLE / len(v) AS level FROM v
+), w AS (
+  SELECT *, 2 * ones * (n - ones) AS p, list_sum(list_transform(v, lambda x: pow(x - level, 2)))::DOUBLE AS sq, coalesce(list_sum(list_transform(range(1, len(v)), lambda i: (v[i] - level) * (v[i + 1] - level))), 0)::DOUBLE AS pairs FROM s
+), z AS (
+  SELECT *, (cbrt((k / n * squares - n) / (k - 1)) - (1 - 2 / (9 * (k - 1)))) / sqrt(2 / (9 * (k - 1))) AS z1,
+         CASE WHEN p * (p - n) > 0 THEN (runs - p / n - 1) / sqrt(p * (p - n) / (n * n * (n - 1))) ELSE {OFF} END AS z2,
+         CASE WHEN sq > 0 THEN (pairs / sq + 1 / n) * sqrt(n) ELSE {OFF} END AS z3 FROM w
+), c AS (
+  SELECT *, CAST(floor(sqrt(pow(greatest(z1, 0), 2) + pow(z2, 2) + pow(z3, 2)) / {BIN}) AS INT) AS bin, NOT regexp_matches(hit, '[0-9]') AS decoy,
+         CASE {" ".join(f"WHEN stop - start >= {least} THEN {least}" for least in reversed(CLASSES))} END AS class FROM z
+), tops AS (
+  SELECT class, bin, (1 + (SELECT count(*) FROM c y WHERE y.class = x.class AND y.decoy AND y.bin <= x.bin)) / (1.0::DOUBLE + (SELECT count(*) FROM c y WHERE y.class = x.class AND y.decoy)) * (SELECT count(*) FROM c y WHERE y.class = x.class AND NOT y.decoy) AS expected,
+         {FALSE_SHARE} * (SELECT count(*) FROM c y WHERE y.class = x.class AND NOT y.decoy AND y.bin <= x.bin) AS allowed
+  FROM (SELECT DISTINCT class, bin FROM c WHERE NOT decoy AND (bin + 1) * {BIN} <= {RANDOM_LIMIT + BIN}) x
+), lim AS (
+  SELECT class, max(bin) AS top FROM tops WHERE expected <= allowed GROUP BY class
+), r AS (
+  SELECT doc_id, kind, start, stop FROM c JOIN lim USING (class) WHERE NOT decoy AND bin <= top
+), every AS (
+  SELECT doc_id, kind, start, stop, list_position(['assign', 'access', 'hex', 'random'], kind) AS o FROM (SELECT doc_id, kind, start, stop FROM b UNION ALL SELECT * FROM r)
+), g AS (
+  SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex, count(*) FILTER (kind = 'random') AS n_random,
+         coalesce(string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, o) FILTER (kind <> 'random'), '') AS base, coalesce(string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, o), '') AS spans
+  FROM every GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_random, 0) AS n_random
+FROM d LEFT JOIN g USING (doc_id)
+"""

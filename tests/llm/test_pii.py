@@ -3,6 +3,8 @@ import math
 import re
 from collections import Counter
 
+import duckdb
+
 from plumbline.llm import pii as P
 
 BASE = {
@@ -106,3 +108,13 @@ def test_query_matches_brute_force(spark):
     for r in got:
         assert (r.n_email, r.n_ip, r.n_card, r.n_phone, r.base_sha256, r.spans) == want[r.doc_id]
     print("terms", sum(r.n_term for r in got), "base", sum(r.n_email + r.n_ip + r.n_card + r.n_phone for r in got))
+
+
+def test_query_matches_sql(spark):
+    at = "/root/testdata/sf0.01"
+    db = duckdb.connect()
+    db.sql(f"create view documents as from '{at}/documents.parquet'")
+    got, want = P.query(spark, at), db.sql(P.ORACLE_SQL)
+    order = sorted(got.columns)
+    assert sorted(want.columns) == order
+    assert sorted(map(tuple, got.select(*order).collect())) == sorted(want.select(*order).fetchall())

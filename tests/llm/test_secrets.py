@@ -4,6 +4,7 @@ import random
 import re
 import string
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -88,3 +89,13 @@ def test_query_matches_brute_force(spark):
         assert (r.n_assign, r.n_access, r.n_hex) == tuple(map(len, found.values()))
         assert r.base_sha256 == hashlib.sha256(",".join(said).encode()).hexdigest()
         assert set(said) <= set(r.spans.split(",")) | {""} and len(r.spans.split(",") if r.spans else []) == len(said) + r.n_random
+
+
+def test_query_matches_sql(spark):
+    at = "/root/testdata/sf0.01"
+    db = duckdb.connect()
+    db.sql(f"create view documents as from '{at}/documents.parquet'")
+    got, want = S.query(spark, at), db.sql(S.ORACLE_SQL)
+    order = sorted(got.columns)
+    assert sorted(want.columns) == order
+    assert sorted(map(tuple, got.select(*order).collect())) == sorted(want.select(*order).fetchall())
