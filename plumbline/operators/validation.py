@@ -5,6 +5,8 @@ Each gives rows or messages that say what is wrong; nothing wrong is an empty re
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -114,10 +116,10 @@ def pdf_addresses(paper: DataFrame) -> DataFrame:
     return paper.withColumn("candidates", F.filter(F.array_distinct(made), allowed))
 
 
-def source_line(line: Column, key: Column, label: str = "PDF") -> Column:
+def source_line(line: Column, key: Column, label: str = "PDF", prefix: str = "library://items/") -> Column:
     """A line with its library link set to an attachment; null keeps the line."""
-    link = F.concat(F.lit(f"[{label}](zotero://open-pdf/library/items/"), key, F.lit(")"))
-    known = rf"\[{label}\]\(zotero://open-pdf/library/items/[^)]+\)"
+    link = F.concat(F.lit(f"[{label}]({prefix}"), key, F.lit(")"))
+    known = rf"\[{re.escape(label)}\]\({re.escape(prefix)}[^)]+\)"
     new = F.when(line.rlike(known), F.regexp_replace(line, F.lit(known), link)).when(F.contains(line, F.lit(" ^paper-")), F.regexp_replace(line, F.lit(r" \^paper-"), F.concat(F.lit(", "), link, F.lit(" ^paper-")))).otherwise(F.concat(F.rtrim(line), F.lit(", "), link))
     return F.coalesce(new, line)
 

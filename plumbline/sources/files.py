@@ -141,7 +141,7 @@ def images(spark: SparkSession, folder: str, batch: int = 5) -> DataFrame:
     return numbered.select(F.format_string("image-%04d", "n").alias("logical_id"), "filename", "size", "sha256", F.format_string("batch-%03d", F.ceil(F.col("n") / batch).cast("int")).alias("batch_id"), (F.pmod(F.col("n") - 1, F.lit(batch)) + 1).alias("position"))
 
 
-def vault(spark: SparkSession, folder: str, excluded: tuple[str, ...] = (".git", ".obsidian", ".trash")) -> DataFrame:
+def vault(spark: SparkSession, folder: str, excluded: tuple[str, ...] = (".git", ".trash")) -> DataFrame:
     """path (inside the folder) and content of its text notes, without excluded folders."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").load(folder)
     inside = F.regexp_replace("path", rf"^.*{folder.rstrip('/').rpartition('/')[2]}/", "")

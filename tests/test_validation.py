@@ -27,7 +27,7 @@ def test_papers(spark):
     assert [r.candidates for r in V.pdf_addresses(paper).collect()] == [["https://ieeexplore.ieee.org/stampPDF/getPDF.jsp?tp=&arnumber=12&ref=", "https://x.org/a.PDF"], ["https://proceedings.mlr.press/v1/a.pdf"]]
     assert one(spark, V.pdf_rect(F.array(*map(F.lit, (10.0, 20.0, 30.0, 40.0))), F.array(*map(F.lit, (0.0, 0.0, 600.0, 800.0))))) == [10.0, 760.0, 30.0, 780.0]
     assert one(spark, V.sort_index(F.lit(3), F.lit(42), F.lit(7))) == "00003|000042|00007"
-    assert one(spark, V.source_line(F.lit("text ^paper-1"), F.lit("K"))) == "text, [PDF](zotero://open-pdf/library/items/K) ^paper-1"
+    assert one(spark, V.source_line(F.lit("text ^paper-1"), F.lit("K"))) == "text, [PDF](library://items/K) ^paper-1"
 
 
 def test_backends_and_files(spark):
