@@ -50,15 +50,23 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        self.held: set[str] = set()
 
     def keep(self, frame: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
         frame.write.mode("overwrite").parquet(path)
+        self.held.add(name)
         return self.spark.read.schema(frame.schema).parquet(path)
 
     def drop(self, name: str) -> None:
         path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        self.held.discard(name)
+
+    def drop_all_but(self, *names: str) -> None:
+        """Removes what the frame that an operator returns does not read; it reads the tables named."""
+        for name in self.held - set(names):
+            self.drop(name)
 
 
 def lower_ascii(column):

@@ -29,6 +29,8 @@ SAMPLE_ROWS = 48
 DICTIONARY_BYTES = 1 << 15
 CHUNK_BYTES = 1 << 11
 LEVEL = 9
+#: Parts of a language that are ranked on their own first.
+PARTS = 64
 
 #: Least share by which the best size must be below the second.
 MARGIN = 0.005
@@ -49,12 +51,14 @@ def letters(text: str) -> str:
 def learn(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", sample_rows: int = SAMPLE_ROWS, dictionary_bytes: int = DICTIONARY_BYTES) -> dict[str, bytes]:
     """The dictionary content of each language, from the rows given; at most sample_rows texts a language reach the driver.
 
-    Ranking keeps sample_rows rows of each language in each task before anything is shuffled, so a frequent language is
-    no hot group. Only hashes are ranked; the texts that they stand for are fetched afterwards.
+    Ranks are taken in PARTS parts of each language first, so that a frequent language is no hot group: what is ranked as
+    one are sample_rows rows of each part. Only hashes are ranked; the texts that they stand for are fetched afterwards.
     """
     known = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where("lang is not null and text is not null and text rlike '\\\\p{L}'")
     hashed = known.select("lang", F.xxhash64("text").alias("h")).groupBy("lang", "h").agg(F.lit(1).alias("one"))
-    ranked = hashed.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("r") <= sample_rows)
+    part = F.pmod("h", F.lit(PARTS))
+    in_part = hashed.withColumn("r", F.row_number().over(Window.partitionBy("lang", part).orderBy("h"))).where(F.col("r") <= sample_rows)
+    ranked = in_part.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("r") <= sample_rows)
     chosen = {(r.lang, r.h) for r in ranked.select("lang", "h").collect()}
     if not chosen:
         return {}

@@ -247,6 +247,8 @@ def search(vectors: DataFrame, is_query: Column, *, k: int = 10, id_col: str = "
                 parts.append(scratch.keep(nearest_of(exact, wanted), f"exact-{block}").select(*found.columns))
         for part in parts[1:]:
             found = found.join(part.select("qkey").distinct(), "qkey", "left_anti").select(*part.columns).unionByName(part)
+    found = scratch.keep(found, "nearest")
+    scratch.drop_all_but("vectors", "nearest")
     by_rank = Window.partitionBy("query_id").orderBy("score", "vec_id")
     pairs = asked.select("query_id", "qkey").join(found.drop("rank"), "qkey").where(F.col("query_id") != F.col("vec_id"))
     return pairs.withColumn("rank", F.row_number().over(by_rank)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
