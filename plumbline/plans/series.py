@@ -67,7 +67,9 @@ _add(
       FROM r JOIN v ON v.series_id = r.series_id AND v.i = r.i + 1)
     SELECT series_id, CAST(ord AS INT) AS ord, round(CASE WHEN rsv IS NOT NULL THEN k END, 6) AS "K", round(CASE WHEN rsv IS NOT NULL THEN d END, 6) AS "D", round(CASE WHEN rsv IS NOT NULL THEN 3 * k - 2 * d END, 6) AS "J" FROM r""",
 )
-_add("ev_indicators", lambda s, d: S.indicators(daily(s, d)).select("series_id", F.col("ord").cast("int"), *_r("MA5", "MA20", "RSI6", "K", "D", "J"), F.col("_indicator_metadata.adjustment_mode").alias("mode")))
+_add("ev_indicators", lambda s, d: S.indicators(daily(s, d)).select("series_id", F.col("ord").cast("int"), *_r("MA5", "MA20", "RSI6", "K", "D", "J"), F.col("_indicator_metadata.adjustment_mode").alias("mode")),
+    f"""WITH a AS ({ORACLE_SQL["ev_ma5_ma20"]}), b AS ({ORACLE_SQL["ev_rsi6"]}), c AS ({ORACLE_SQL["ev_kdj9"]}) SELECT a.series_id, a.ord, "MA5", "MA20", "RSI6", "K", "D", "J", 'raw' AS mode FROM a JOIN b ON a.series_id = b.series_id AND a.ord = b.ord JOIN c ON a.series_id = c.series_id AND a.ord = c.ord""",
+)
 
 
 def spans(spark: SparkSession, sf_dir: str, group: str) -> DataFrame:
