@@ -40,8 +40,12 @@ PER_HALF = 2
 AGAIN = 2
 #: Ratio of the sizes at which neighbouring size classes start.
 SIZE_STEP = 1.03
+#: Groups of shingles whose counts bound what two sets share.
+GROUPS = 32
 #: Members of a hub that one task confirms.
 HUB_ROWS = 512
+#: Hubs of more members than that are broadcast up to this number, some 3 MB; beyond it they are joined.
+MOST_BROADCAST = 100_000
 SEED = 75
 
 _RNG = np.random.default_rng(SEED)
@@ -138,7 +142,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) ->
     return rows.join(wanted.select("node").distinct(), "node", "left_semi").mapInArrow(run, "node long, hashes binary")
 
 
-def confirm(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+def confirm(pairs: DataFrame, sets: DataFrame, scratch: Scratch, name: str, percent: int = PERCENT) -> DataFrame:
     """hub, member and linked of each distinct (hub, member) pair, judged on full sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,9 +158,11 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFr
                     out.append((h, node, alike(hub_set, own, percent)))
             yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.bool_()))], names=["hub", "member", "linked"])
 
-    salted = pairs.select("hub", F.col("member").alias("node")).distinct()
-    sizes = salted.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / HUB_ROWS).alias("salts"))
-    members = salted.join(sizes, "hub").select("hub", "node", F.pmod(F.xxhash64("node"), "salts").alias("salt"), F.lit(1).alias("place"))
+    held = scratch.keep(pairs.select("hub", F.col("member").alias("node")).distinct(), name)
+    sizes = held.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / HUB_ROWS).alias("salts"))
+    hot = scratch.keep(sizes.where("salts > 1"), f"{name}-hot")
+    hot = F.broadcast(hot) if hot.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else hot
+    members = held.join(hot, "hub", "left").select("hub", "node", F.pmod(F.xxhash64("node"), F.coalesce("salts", F.lit(1))).alias("salt"), F.lit(1).alias("place"))
     hubs = sizes.select("hub", F.col("hub").alias("node"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("place"))
     roles = members.unionByName(hubs).join(sets, "node")
     dealt = roles.repartition("hub", "salt").sortWithinPartitions("hub", "salt", "place").select("hub", "node", "hashes")
@@ -194,6 +200,7 @@ def prefix_pairs(sets: DataFrame, held: DataFrame, percent: int = PERCENT) -> Da
     held: node and component. Only shingles found in several components can be shared by such a pair: s of a set's n. Sets of
     n and m shingles must share o = percent * (n + m) / (100 + percent) of them, so any s - o + 1 of either hold a shared one,
     here the rarest. Sizes fall into narrow classes; a set has a prefix for each class in reach, as o tells for both classes.
+    Shingles fall into GROUPS by their hash: of each group a pair shares at most the smaller count, and the sum must reach o.
     """
 
     def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,13 +217,16 @@ def prefix_pairs(sets: DataFrame, held: DataFrame, percent: int = PERCENT) -> Da
     least = lambda c: F.floor(F.pow(F.lit(SIZE_STEP), c) + 1e-9)
     own = size_class(F.col("n").cast("double"))
     able = shared.withColumn("s", F.size("order")).where(F.col("s") * 100 >= percent * F.col("n")).withColumn("own", own)
+    share = lambda g: F.size(F.filter("order", lambda t: F.pmod(t["shingle"], F.lit(GROUPS)) == g))
+    able = able.withColumn("groups", F.transform(F.sequence(F.lit(0), F.lit(GROUPS - 1)), share))
     reach = F.sequence(size_class(F.greatest(F.col("n") * percent / 100, F.lit(1.0))), size_class(F.col("n") * 100 / percent))
     length = lambda c: F.col("s") - F.ceil(percent * (least(c) + least(F.col("own"))) / (100 + percent)).cast("int") + 1
     parts = F.filter(F.transform(reach, lambda c: F.struct(c.alias("to"), length(c).alias("length"))), lambda p: p["length"] > 0)
-    of_class = able.select("node", "component", "n", "s", "own", "order", F.explode(parts).alias("p"))
-    prefix = of_class.select("node", "component", "n", "s", "own", F.col("p.to").alias("to"), F.explode(F.slice("order", F.lit(1), F.col("p.length"))).alias("it")).select("node", "component", "n", "s", "own", "to", "it.shingle")
-    other = prefix.select(F.col("node").alias("hub"), F.col("component").alias("c"), F.col("n").alias("m"), F.col("s").alias("t"), F.col("own").alias("to"), F.col("to").alias("own"), "shingle")
-    near = (F.col("hub") < F.col("node")) & (F.col("c") != F.col("component")) & ((100 + percent) * F.least("s", "t") >= percent * (F.col("n") + F.col("m")))
+    of_class = able.select("node", "component", "n", "own", "groups", "s", "order", F.explode(parts).alias("p"))
+    prefix = of_class.select("node", "component", "n", "groups", "own", F.col("p.to").alias("to"), F.explode(F.slice("order", F.lit(1), F.col("p.length"))).alias("it")).select("node", "component", "n", "groups", "own", "to", "it.shingle")
+    other = prefix.select(F.col("node").alias("hub"), F.col("component").alias("c"), F.col("n").alias("m"), F.col("groups").alias("others"), F.col("own").alias("to"), F.col("to").alias("own"), "shingle")
+    most = F.aggregate(F.zip_with("groups", "others", lambda a, b: F.least(a, b)), F.lit(0), lambda acc, x: acc + x)
+    near = (F.col("hub") < F.col("node")) & (F.col("c") != F.col("component")) & ((100 + percent) * most >= percent * (F.col("n") + F.col("m")))
     return prefix.join(other, ["own", "to", "shingle"]).where(near).select("hub", F.col("node").alias("member")).distinct()
 
 
@@ -233,7 +243,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     hubs = members.groupBy("key").agg(F.min("node").alias("hub"))
     pairs = members.join(hubs, "key").where("hub != node").select("hub", F.col("node").alias("member")).distinct()
-    judged = scratch.keep(confirm(pairs, sets, percent), "judged-0")
+    judged = scratch.keep(confirm(pairs, sets, scratch, "pairs-0", percent), "judged-0")
     links = judged.where("linked")
     found = components(links.select(F.col("member").alias("a"), F.col("hub").alias("b")), scratch, "round-0")
     for turn in range(1, AGAIN + 2):
@@ -249,7 +259,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         else:
             pairs = prefix_pairs(sets, open_.select("node", "component").distinct(), percent)
         known = judged.select("hub", "member").unionByName(judged.select(F.col("member").alias("hub"), F.col("hub").alias("member")))
-        more = confirm(pairs.join(known, ["hub", "member"], "left_anti"), sets, percent)
+        more = confirm(pairs.join(known, ["hub", "member"], "left_anti"), sets, scratch, f"pairs-{turn}", percent)
         more = scratch.keep(more, f"judged-{turn}")
         judged = judged.unionByName(more)
         if more.where("linked").isEmpty():
@@ -261,6 +271,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     if not twice.isEmpty():
         edges = found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(same.distinct())
         found = components(edges, scratch, "ids")
+    found = scratch.keep(found, "components")
+    scratch.drop_all_but("rows", "components")
     of_set = rows.join(copies, ["k1", "k2"], "left").withColumn("node", F.when(F.col("row_id").isNotNull(), F.coalesce("node", "row_id")))
     placed = of_set.join(found, "node", "left").withColumn("component_id", F.coalesce("component", "node"))
     return placed.select("row_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("row_id") == F.col("component_id"), F.lit(False)).alias("kept"))
