@@ -81,6 +81,8 @@ def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     scratch = Scratch(docs.sparkSession, "passages")
     units = scratch.keep(document_units(docs, id_col=id_col, text_col=text_col), "units")
     first = units.where("not again").groupBy("digest").agg(F.min("rank").alias("first"), F.max("rank").alias("last")).where("first < last").select("digest", "first")
+    # Written and read again, so that both sides of the join are shuffles that adaptive execution may split at a hot digest.
+    first = scratch.keep(first, "first")
     found = units.join(first, "digest", "left").where("again or rank > first")
     unit = F.struct("at", "start", "end", "words", F.coalesce("first", "rank").alias("first"))
     rows = found.groupBy("row_key", "rank").agg(F.sort_array(F.collect_set(unit)).alias("units"))
