@@ -112,3 +112,14 @@ def mentioned_files(files: DataFrame, roots: list[str], depth: int = 20) -> Data
     edges = words.join(targets, "word").where("src != dst").select("src", "dst").distinct()
     seeds = files.where(F.col("path").isin(*roots)).select(F.col("path").alias("node"))
     return closure(edges, seeds, depth=depth)
+
+
+def invalidate(evidence: DataFrame, requirements: DataFrame, changed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Evidence that still holds after paths changed, and that which no longer does, down to what rests on it.
+
+    evidence: id, requirement, path; requirements: id, requires; changed: path.
+    """
+    direct = evidence.join(changed.select("path"), "path", "left_semi")
+    touched = closure(requirement_edges(requirements), direct.select(F.col("requirement").alias("node")).distinct())
+    stale = evidence.join(touched.select(F.col("node").alias("requirement")), "requirement", "left_semi")
+    return evidence.join(stale.select("id"), "id", "left_anti"), stale

@@ -217,3 +217,43 @@ def faults(families: DataFrame, solutions: DataFrame, events: DataFrame) -> Data
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+def materialise(records: DataFrame, catalog: DataFrame, fields: list[str]) -> DataFrame:
+    """Solution records with the catalog's fields where they only refer to it (catalog_source = builtin); others as they are.
+
+    fault is set where a reference holds fields of its own, is unknown, or names another family.
+    """
+    right = catalog.select("solution_id", F.col("family_id").alias("__family"), *[F.col(f).alias(f"__{f}") for f in fields])
+    joined = records.join(right, "solution_id", "left")
+    refers = F.col("catalog_source") == "builtin"
+    own = F.lit(False)
+    for f in fields:
+        own = own | F.col(f).isNotNull()
+    fault = F.when(refers & own, "reference with fields of its own").when(refers & F.col("__family").isNull(), "unknown reference").when(refers & (F.col("__family") != F.col("family_id")), "family mismatch")
+    rest = [c for c in records.columns if c not in fields]
+    return joined.select(*rest, *[F.when(refers, F.col(f"__{f}")).otherwise(F.col(f)).alias(f) for f in fields], fault.alias("fault"))
+
+
+def compact(records: DataFrame, catalog: DataFrame, fields: list[str]) -> DataFrame:
+    """Records whose fields are those of the catalog become references to it; changed ones stay whole."""
+    right = catalog.select("solution_id", *[F.col(f).alias(f"__{f}") for f in fields], F.lit(True).alias("__known"))
+    joined = records.join(right, "solution_id", "left")
+    same = F.coalesce(F.col("__known"), F.lit(False))
+    for f in fields:
+        same = same & F.col(f).eqNullSafe(F.col(f"__{f}"))
+    rest = [c for c in records.columns if c not in (*fields, "catalog_source")]
+    return joined.select(*rest, *[F.when(~same, F.col(f)).alias(f) for f in fields], F.when(same, "builtin").otherwise(F.col("catalog_source")).alias("catalog_source"))
+
+
+def record_reuse(incidents: DataFrame, results: DataFrame) -> DataFrame:
+    """Incidents (id, status, reuse_success_count, reuse_failure_count) after reuses (id, ord, success, effect_verified, cleanup_complete).
+
+    A success counts if its effect is verified and all is cleaned up; any other result counts as a failure. The last result
+    decides: a failure marks a regression, a success verifies.
+    """
+    good = F.col("success") & F.col("effect_verified") & F.col("cleanup_complete")
+    sums = results.groupBy("id").agg(F.count(F.when(good, 1)).alias("__s"), F.count(F.when(~good, 1)).alias("__f"), F.max_by(good, "ord").alias("__last"))
+    joined = incidents.join(sums, "id", "left")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+    return joined.select("id", F.when(F.col("__last").isNull(), F.col("status")).when(F.col("__last"), "verified").otherwise("regressed").alias("status"), (F.col("reuse_success_count") + zero("__s")).alias("reuse_success_count"), (F.col("reuse_failure_count") + zero("__f")).alias("reuse_failure_count"))

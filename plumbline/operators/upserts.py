@@ -72,3 +72,21 @@ def merge_parents(pairs: DataFrame, fields: list[str], protected: list[str]) ->
 def union_by(left: Column, right: Column, key: str) -> Column:
     """Two arrays of structs as one: of equal keys the first stays."""
     return F.concat(left, F.filter(right, lambda r: ~F.exists(left, lambda x: x[key] == r[key])))
+
+
+def review(pool: DataFrame, decisions: DataFrame, key: str = "id", allowed: tuple[str, ...] = ("adopted", "rejected", "deferred")) -> DataFrame:
+    """pool (key, status, history) after decisions (key, status, evidence): an adoption needs evidence; others are refused as a whole."""
+    right = decisions.select(F.col(key), F.col("status").alias("__to"), "evidence")
+    joined = pool.join(right, key, "left")
+    bad = F.col("__to").isNotNull() & (~F.col("__to").isin(*allowed) | ((F.col("__to") == "adopted") & (F.coalesce("evidence", F.lit("")) == "")))
+    status = F.when(bad, F.raise_error(F.concat(F.lit("no such review: "), F.col(key))).cast("string")).otherwise(F.coalesce("__to", "status"))
+    entry = F.struct(F.col("status").alias("status"), F.lit("{}").alias("was"))
+    return joined.select(*[c for c in pool.columns if c not in ("status", "history")], status.alias("status"), F.when(F.col("__to").isNotNull(), F.array_append("history", entry)).otherwise(F.col("history")).alias("history"))
+
+
+def freeze_batch(index: DataFrame, cards: DataFrame, batch: str, day: str) -> DataFrame:
+    """index rows of a batch with the tags of their cards (logical_id, tags), the day and status set; others as they are."""
+    right = cards.select("logical_id", F.col("tags").alias("__tags"))
+    joined = index.join(right, "logical_id", "left")
+    mine = F.col("batch_id") == batch
+    return joined.select(*[c for c in index.columns if c not in ("tags", "verified_at", "status")], F.when(mine, F.coalesce("__tags", "tags")).otherwise(F.col("tags")).alias("tags"), F.when(mine, F.lit(day)).otherwise(F.col("verified_at")).alias("verified_at"), F.when(mine, "frozen").otherwise(F.col("status")).alias("status"))

@@ -162,3 +162,33 @@ def run_adapter(name: str, payload: DataFrame) -> DataFrame:
     if name not in ADAPTERS:
         raise KeyError(f"unknown source {name!r}; known: {', '.join(sorted(ADAPTERS))}")
     return ADAPTERS[name](payload)
+
+
+def card_sections(cards: DataFrame) -> DataFrame:
+    """logical_id and metadata (map) of each section of cards (path, content): a heading `## id` and a JSON comment under it."""
+    parts = cards.select("path", F.explode(F.slice(F.split("content", r"(?m)^##\s+"), 2, 100_000)).alias("part"))
+    body = F.regexp_extract("part", r"(?s)<!--\s*(\{.*?\})\s*-->", 1)
+    return parts.select("path", stripped(F.regexp_extract("part", r"^([^\r\n]*)", 1)).alias("logical_id"), F.from_json(F.nullif(body, F.lit("")), "map<string,string>").alias("metadata"))
+
+
+def topics(values: Column) -> Column:
+    """The distinct topics of comma-separated lists, in order."""
+    return F.array_distinct(F.filter(F.transform(F.flatten(F.transform(values, lambda v: F.split(v, "[,，;；]"))), stripped), lambda t: t != ""))
+
+
+def markdown_table(rows: DataFrame, most: int = 1000) -> str:
+    """A small result as a Markdown table; more rows than the bound are an error, not cut."""
+    held = rows.limit(most + 1).collect()
+    if len(held) > most:
+        raise ValueError(f"more than {most} rows")
+    text = lambda v: "" if v is None else str(v).replace("|", "\\|").replace("\n", " ")
+    lines = [rows.columns, ["---"] * len(rows.columns), *held]
+    return "\n".join("| " + " | ".join(map(text, line)) + " |" for line in lines)
+
+
+def sparkline(values: list[float]) -> str:
+    """Values as a line of eight levels."""
+    if not values:
+        return ""
+    low, high = min(values), max(values)
+    return "".join("▁▂▃▄▅▆▇█"[0 if high == low else int((v - low) / (high - low) * 7)] for v in values)

@@ -137,3 +137,19 @@ def test_decisions(spark):
     assert [(r.action, r.backend, r.reason, r.must_disclose) for r in E.throughput_route(routes).collect()] == [("continue", None, "warmup", False), ("continue", None, "target-met", False), ("add_bulk_backend", "a", "below-target-add-bulk-backend", True), ("switch_query_family", None, "bulk-backends-exhausted", True), ("search_only_degraded", None, "bulk-backend-unavailable", False)]
     eav = E.snapshot(E.atoms(spark.createDataFrame([(1, "x", 2.0)], "id int, a string, b double"), ["id"], ["a", "b"])).first()
     assert (eav.entity, eav.fields) == ("1", {"a": ["x"], "b": ["2.0"]})
+
+
+def test_reviews_batches_and_invalidation(spark):
+    pool = spark.createDataFrame([("p", "pending", []), ("q", "pending", [])], "id string, status string, history array<struct<status:string,was:string>>")
+    kind = "id string, status string, evidence string"
+    got = {r.id: (r.status, len(r.history)) for r in upserts.review(pool, spark.createDataFrame([("p", "adopted", "e")], kind)).collect()}
+    assert got == {"p": ("adopted", 1), "q": ("pending", 0)}
+    with pytest.raises(Exception, match="no such review"):
+        upserts.review(pool, spark.createDataFrame([("p", "adopted", "")], kind)).collect()
+    index = spark.createDataFrame([("i1", "b1", ["a"], None, "open"), ("i2", "b2", ["a"], None, "open")], "logical_id string, batch_id string, tags array<string>, verified_at string, status string")
+    frozen = {r.logical_id: (r.tags, r.verified_at, r.status) for r in upserts.freeze_batch(index, spark.createDataFrame([("i1", ["x"])], "logical_id string, tags array<string>"), "b1", "2024-01-02").collect()}
+    assert frozen == {"i1": (["x"], "2024-01-02", "frozen"), "i2": (["a"], None, "open")}
+    needs = spark.createDataFrame([("a", []), ("b", ["a"]), ("c", [])], "id string, requires array<string>")
+    proof = spark.createDataFrame([("e1", "a", "x.py"), ("e2", "b", "y.py"), ("e3", "c", "z.py")], "id string, requirement string, path string")
+    good, stale = graph.invalidate(proof, needs, spark.createDataFrame([("x.py",)], "path string"))
+    assert [r.id for r in good.collect()] == ["e3"] and sorted(r.id for r in stale.collect()) == ["e1", "e2"]

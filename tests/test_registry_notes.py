@@ -78,3 +78,17 @@ def test_links(spark):
     parts = {(r.path, r.heading): (r.level, r.line, r.images) for r in N.sections(notes).collect()}
     assert parts[("a.md", "top")] == (1, 1, ["img.png"]) and parts[("q/dup.md", "h")] == (1, 1, ["m/img.png"])
     assert [r.path for r in N.unreferenced_media(N.links(notes), files.where("path like '%.png'")).collect()] == ["m/lost.png"]
+
+
+def test_references_and_reuse(spark):
+    kind = "solution_id string, family_id string, catalog_source string, title string"
+    catalog = spark.createDataFrame([("s", "f", "T"), ("t", "f", "U")], "solution_id string, family_id string, title string")
+    records = spark.createDataFrame([("s", "f", "builtin", None), ("t", "g", "builtin", None), ("x", "f", "builtin", None), ("t", "f", "builtin", "own"), ("y", "f", None, "mine")], kind)
+    got = sorted((r.solution_id, r.title, r.fault) for r in R.materialise(records, catalog, ["title"]).where("solution_id != 't'").collect())
+    assert got == [("s", "T", None), ("x", None, "unknown reference"), ("y", "mine", None)]
+    assert {r.fault for r in R.materialise(records, catalog, ["title"]).where("solution_id = 't'").collect()} == {"family mismatch", "reference with fields of its own"}
+    whole = spark.createDataFrame([("s", "f", None, "T"), ("t", "f", None, "changed")], kind)
+    assert {r.solution_id: (r.title, r.catalog_source) for r in R.compact(whole, catalog, ["title"]).collect()} == {"s": (None, "builtin"), "t": ("changed", None)}
+    held = spark.createDataFrame([("a", "verified", 1, 0), ("b", "observed", 0, 0), ("c", "verified", 2, 2)], "id string, status string, reuse_success_count int, reuse_failure_count int")
+    results = spark.createDataFrame([("a", 1, True, True, True), ("a", 2, True, False, True), ("b", 1, True, True, True)], "id string, ord int, success boolean, effect_verified boolean, cleanup_complete boolean")
+    assert sorted(map(tuple, R.record_reuse(held, results).collect())) == [("a", "regressed", 2, 1), ("b", "verified", 1, 0), ("c", "verified", 2, 2)]

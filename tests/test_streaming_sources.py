@@ -128,3 +128,14 @@ def test_payloads(spark):
     assert [r.title for r in items.collect()] == ["a"] and ends.first().seen == 3
     health = files.engine_health(spark.createDataFrame([("a",), ("b",), ("c",)], "engine string"), spark.createDataFrame([("b", "CAPTCHA"), ("c", "Timeout")], "engine string, reason string"))
     assert {r.category: r.engines for r in health.collect()} == {"available": ["a"], "blocked": ["b"], "timeout": ["c"]}
+
+
+def test_cards_and_reports(spark):
+    card = '# T\n## image-0001\ntext\n<!-- {"tag": "x"} -->\n## image-0002\nnone\n'
+    got = {r.logical_id: r.metadata for r in files.card_sections(spark.createDataFrame([("c.md", card)], "path string, content string")).collect()}
+    assert got == {"image-0001": {"tag": "x"}, "image-0002": None}
+    assert spark.range(1).select(files.topics(F.array(F.lit("a, b"), F.lit("b，c")))).first()[0] == ["a", "b", "c"]
+    assert files.markdown_table(spark.createDataFrame([("a|b", 1)], "k string, n int")) == "| k | n |\n| --- | --- |\n| a\\|b | 1 |"
+    with pytest.raises(ValueError, match="more than"):
+        files.markdown_table(spark.range(5), most=4)
+    assert files.sparkline([0, 1, 2]) == "▁▄█" and files.sparkline([]) == "" and files.sparkline([3, 3]) == "▁▁"
