@@ -235,7 +235,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     scratch = Scratch(docs.sparkSession, "minhash")
     rows = scratch.keep(sketches(docs, id_col, text_col), "rows")
     sized = rows.where("row_id is not null and k1 is not null")
-    copies = sized.groupBy("k1", "k2").agg(F.min("row_id").alias("node"))
+    copies = scratch.keep(sized.groupBy("k1", "k2").agg(F.min("row_id").alias("node")), "copies")
     nodes = sized.join(copies.select(F.col("node").alias("row_id")), "row_id", "left_semi").select(F.col("row_id").alias("node"), "keys")
     members = scratch.keep(table_members(nodes), "members")
     sets = scratch.keep(full_sets(docs.where(F.col(id_col).isNotNull()), members, id_col, text_col), "sets")
@@ -272,7 +272,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         edges = found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(same.distinct())
         found = components(edges, scratch, "ids")
     found = scratch.keep(found, "components")
-    scratch.drop_all_but("rows", "components")
+    scratch.drop_all_but("rows", "copies", "components")
     of_set = rows.join(copies, ["k1", "k2"], "left").withColumn("node", F.when(F.col("row_id").isNotNull(), F.coalesce("node", "row_id")))
     placed = of_set.join(found, "node", "left").withColumn("component_id", F.coalesce("component", "node"))
     return placed.select("row_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("row_id") == F.col("component_id"), F.lit(False)).alias("kept"))
