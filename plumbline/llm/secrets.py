@@ -6,15 +6,18 @@ below the alphabet's middle (Wald-Wolfowitz) and for serial correlation. The roo
 random strings score low, text scores high. Tokens with both letters and digits are candidates, tokens of letters only
 are decoys. For each class of lengths the score limit is the highest at which the expected share of false finds, judged
 by the decoys' scores, is within FALSE_SHARE; it never exceeds what random strings reach. Scores are counted in bins, so
-the limits come from a few hundred sums over all documents.
+the limits come from a few hundred sums over all documents. A class with fewer than DECOYS decoys of its own is filled up
+to that number by generated ones, strings of words and numbers of its lengths, so that secrets are found in small corpora
+and where no run of letters is that long.
 
 Defined cases: a null text counts as empty. Repeated rows, null ids and extra columns change nothing. Empty tables give
-empty tables. A class of lengths without decoys has the limit of a single decoy at score 0: no finds below 1 / FALSE_SHARE
-candidates.
+empty tables. A class of lengths without decoys of its own is judged by generated ones alone.
 """
 
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,6 +49,14 @@ ALPHABETS = {
 #: Lengths from which a class starts; longer tokens are told from text more surely.
 CLASSES = (20, 28, 40, 64)
 FALSE_SHARE = 0.05
+#: Least decoys that a class is judged by, and what generated ones are made of.
+DECOYS = 1000
+LONGEST_DECOY = 96
+DECOY_WORDS = (
+    "the of and report section chapter user account file image module service version update project number station water people house country "
+    "der die und nicht werden haben schaft arbeit stadt kinder strasse les des pour dans avec maison ville monde temps homme que los para como casa "
+    "tiempo ciudad mundo gente 2024 2025 12 001 v2 7"
+).split()
 #: Score that a random string exceeds once in a thousand times (chi-squared, three degrees of freedom).
 RANDOM_LIMIT = 4.03
 BIN = 0.25
@@ -128,6 +139,25 @@ def limits(counts: list[tuple[int, bool, int, int]], false_share: float = FALSE_
     return out
 
 
+def generated_decoys() -> list[tuple[int, str]]:
+    """class and token of DECOYS strings of words and numbers for each class of lengths; the same ones each time."""
+    rng, out = random.Random(7), []
+    for least, end in zip(CLASSES, (*CLASSES[1:], LONGEST_DECOY), strict=True):
+        for _ in range(DECOYS):
+            between, style = rng.choice(["", "", "-", "_", "/"]), rng.choice([str.lower, str.title, str.upper])
+            token, length = style(rng.choice(DECOY_WORDS)), rng.randrange(least, end)
+            while len(token) < length:
+                token += between + style(rng.choice(DECOY_WORDS))
+            out.append((least, token[:length]))
+    return out
+
+
+def filled(counts: list[tuple[int, bool, int, int]], generated: list[tuple[int, int, int]]) -> list[tuple[int, bool, int, float]]:
+    """The counts, with generated decoys (class, bin, count) for as much of DECOYS as a class lacks."""
+    lacks = {c: max(0.0, 1 - sum(n for k, d, _, n in counts if k == c and d) / DECOYS) for c in CLASSES}
+    return [*counts, *[(c, True, b, n * lacks[c]) for c, b, n in generated]]
+
+
 def find_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", false_share: float = FALSE_SHARE) -> DataFrame:
     """row_id, the base spans of each kind (start, end, hit) and random: the tokens that the battery finds, by start.
 
@@ -139,7 +169,9 @@ def find_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     found = scratch.keep(based.select("row_id", *KINDS, tokens(F.col("text"), F.concat(*KINDS)).alias("tokens")), "found")
     each = found.select(F.explode("tokens").alias("it")).select("it.class", "it.decoy", F.least("it.bin", F.lit(200)).alias("bin"))
     counted = [tuple(r) for r in each.groupBy("class", "decoy", "bin").agg(F.count(F.lit(1))).collect()]
-    top = limits(counted, false_share)
+    made = docs.sparkSession.createDataFrame(generated_decoys(), "class int, token string")
+    scored = made.groupBy("class", F.floor(score(F.col("token")) / BIN).cast("int").alias("bin")).agg(F.count(F.lit(1))).collect() if any(not d for _, d, *_ in counted) else []
+    top = limits(filled(counted, [tuple(r) for r in scored]), false_share)
     passed = lambda t: ~t["decoy"] & (t["bin"] <= F.coalesce(*[F.when(t["class"] == c, b) for c, b in top.items()], F.lit(-1)))
     return found.select("row_id", *KINDS, F.transform(F.filter("tokens", passed), lambda t: F.struct(t["start"], t["end"])).alias("random"))
 

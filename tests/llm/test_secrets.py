@@ -73,6 +73,23 @@ def test_finds_random_tokens_and_leaves_words(spark):
     assert S.find_secrets(docs.limit(0)).count() == 0
 
 
+def test_finds_long_random_tokens_without_decoys(spark):
+    rng = random.Random(9)
+    keys = ["".join(rng.choice(string.ascii_letters + string.digits) for _ in range(n)) for n in (30, 36, 44, 52, 70, 90) for _ in range(8)]
+    texts = [f"see {k} here" for k in keys] + ["go " + "-".join(["report", "2024", "section", "12", "user", "account"][: 3 + i % 4]) + " on" for i in range(12)]
+    got = {r.row_id: r.random for r in S.find_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert sum(bool(got[i]) for i in range(len(keys))) > 0.9 * len(keys)
+    assert not any(got[i] for i in range(len(keys), len(texts)))
+    one = S.find_secrets(spark.createDataFrame([(1, f"see {keys[-1]} here")], "doc_id long, text string")).collect()
+    assert [len(r.random) for r in one] == [1]
+
+
+def test_generated_decoys_only_fill_up():
+    own = [(20, True, 30, S.DECOYS), (28, True, 30, S.DECOYS // 4)]
+    assert S.filled(own, [(20, 9, 8), (28, 9, 8), (40, 9, 8)]) == [*own, (20, True, 9, 0.0), (28, True, 9, 6.0), (40, True, 9, 8.0)]
+    assert {len(t) >= c for c, t in S.generated_decoys()} == {True} and S.generated_decoys() == S.generated_decoys()
+
+
 def test_limits():
     assert S.limits([]) == dict.fromkeys(S.CLASSES, -1)
     counts = [(20, True, 30, 999), (20, False, 4, 50), (20, False, 40, 50), (28, False, 4, 50)]
