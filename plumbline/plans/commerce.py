@@ -82,10 +82,22 @@ _add(
 )
 
 
+#: Most values of an axis, all of which the driver holds; more are an error.
+AXIS_VALUES = 10_000
+
+
+def axis(table: DataFrame, name: str, most: int = AXIS_VALUES) -> list[str]:
+    """The distinct values of a column, in order."""
+    found = [str(r[0]) for r in table.select(name).distinct().orderBy(name).limit(most + 1).collect()]
+    if len(found) > most:
+        raise ValueError(f"axis {name} has more than {most} values")
+    return found
+
+
 def axes(spark: SparkSession, sf_dir: str) -> dict[str, list[str]]:
     """Distinct brands, types and sizes: three short lists."""
     part = _table(spark, sf_dir, "part")
-    values = lambda c: [str(r[0]) for r in part.select(c).distinct().orderBy(c).limit(100).collect()]
+    values = lambda c: axis(part, c)
     return {"brand": values("p_brand"), "kind": values("p_type"), "size": values("p_size")}
 
 
@@ -131,11 +143,19 @@ _add(
 )
 
 
-def components(spark: SparkSession, sf_dir: str) -> DataFrame:
+def every_component(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts that need parts of smaller key: k needs k // 2 and k // 3."""
     k = F.col("p_partkey")
-    return _table(spark, sf_dir, "part").where("p_partkey < 500").select(k.cast("string").alias("id"), F.when(k == 0, F.array().cast("array<string>")).otherwise(F.array_distinct(F.array(F.floor(k / 2).cast("string"), F.floor(k / 3).cast("string")))).alias("requires"), (k % 17 != 4).alias("own"))
+    return _table(spark, sf_dir, "part").select(k.cast("string").alias("id"), F.when(k == 0, F.array().cast("array<string>")).otherwise(F.array_distinct(F.array(F.floor(k / 2).cast("string"), F.floor(k / 3).cast("string")))).alias("requires"), (k % 17 != 4).alias("own"))
+
+
+def components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The parts of keys below 500 alone, as the SQL of part_dependency_order and part_verified_states has them."""
+    return every_component(spark, sf_dir).where(F.col("id").cast("long") < 500)
+
 
+_add("part_dependency_order_whole", lambda s, d: graph.dependency_order(every_component(s, d)).select("id", "rank", "problem"))
+_add("part_verified_states_whole", lambda s, d: graph.verified_states(every_component(s, d)))
 
 _add(
     "part_dependency_order",
