@@ -29,3 +29,14 @@ def test_axis_of_many_values(spark):
     assert commerce.axis(many, "v") == [f"{i:03}" for i in range(250)]
     with pytest.raises(ValueError):
         commerce.axis(many, "v", 249)
+
+
+def test_whole_batch_sizes(spark):
+    want, now = [], {}
+    for run, at in sorted(column(spark, "events", "user_id", "event_id")):
+        size = now.get(run, 16)
+        want.append((run, at, size))
+        share = at % 10 / 20
+        now[run] = min(size * 2, 64) if share >= 0.25 else 8 if share < 0.05 else size
+    got = [(r.run, r.ord, r["size"]) for r in catalog.QUERIES["ev_batch_sizes_whole"](spark, AT).collect()]
+    assert sorted(got) == want and any(run >= 20 for run, *_ in got)
