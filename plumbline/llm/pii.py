@@ -3,7 +3,8 @@
 Four patterns find the base spans; what they match are the protected entities. Information theory finds the rest: the
 share of an entity's information content that a nearby term reveals is PMI(term, entity) / IC(entity), with documents
 of the whole corpus as evidence. A term near an entity in SUPPORT documents or more that reveals DISCLOSURE of it or
-more is a span of its own, and is generalised like the entity itself.
+more is a span of its own, and is generalised like the entity itself. sanitise() goes further than the spans: it counts
+by document, however far a term stands from the entity, and replaces each occurrence in documents that hold the entity.
 
 All counts are of rows that hold a thing, made by partial sums, so that a frequent term or entity is no hot group.
 
@@ -88,14 +89,54 @@ def _found(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return spans.select("row_id", "row_key", *KINDS, F.filter(F.concat(*map(pairs, KINDS)), lambda p: ~inside(p)).alias("pairs"))
 
 
+def _words(text_col: str) -> Column:
+    """The hashes of a text's terms, each once."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text_col, F.lit(TERM), 0), lambda w: F.xxhash64(F.lower(w))))
+
+
+def hidden_terms(spans: DataFrame, docs: DataFrame, scratch: Scratch, *, id_col: str, text_col: str, support: int, disclosure: float) -> DataFrame:
+    """row_key and hidden: the hashes of each document's terms that reveal too much of an entity it holds, counted by document.
+
+    ln(N / n_term) is never less than the PMI, so terms too frequent for every entity of a document are not paired.
+    """
+    n = float(docs.count())
+    known = spans.select("row_key", F.array_distinct(F.concat(*map(_entities, KINDS))).alias("entities")).where(F.size("entities") > 0)
+    each = known.groupBy("row_key").agg(F.first("entities").alias("entities"), F.count(F.lit(1)).alias("copies")).select("row_key", "copies", F.explode("entities").alias("entity"))
+    entities = each.groupBy("entity").agg(F.sum("copies").alias("n_entity")).where((F.col("n_entity") >= support) & (F.col("n_entity") < n))
+    held = scratch.keep(each.join(entities, "entity"), "held")
+    least = lambda c: F.lit(disclosure) * F.ln(F.lit(n) / F.col(c)) - 1e-9
+    top = held.groupBy("row_key").agg(F.max("n_entity").alias("top"))
+    counts = docs.select(F.explode(_words(text_col)).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_term")).where(F.col("n_term") >= support)
+    words = docs.select(row_key(id_col, text_col).alias("row_key"), F.col(text_col).alias("text")).join(top, "row_key").dropDuplicates(["row_key"]).select("row_key", "top", F.explode(_words("text")).alias("term"))
+    rare = words.join(counts, "term").where(F.ln(F.lit(n) / F.col("n_term")) >= least("top")).select("row_key", "term", "n_term")
+    pairs = scratch.keep(rare.join(held, "row_key").where(F.ln(F.lit(n) / F.col("n_term")) >= least("n_entity")), "pairs")
+    both = pairs.groupBy("entity", "term").agg(F.sum("copies").alias("n_both"), F.first("n_term").alias("n_term"), F.first("n_entity").alias("n_entity")).where(F.col("n_both") >= support)
+    told = both.where(F.ln(F.lit(n) * F.col("n_both") / (F.col("n_term") * F.col("n_entity"))) / F.ln(F.lit(n) / F.col("n_entity")) >= disclosure)
+    return pairs.join(told.select("entity", "term"), ["entity", "term"], "left_semi").groupBy("row_key").agg(F.collect_set("term").alias("hidden"))
+
+
+def _places(text: Column, hidden: Column) -> Column:
+    """start and end of each term of the text that is hidden."""
+    pairs = F.zip_with(F.split(text, TERM, -1), F.regexp_extract_all(text, F.lit(TERM), 0), lambda gap, hit: F.struct(F.length(gap).alias("gap"), hit.alias("hit")))
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("spans"))
+
+    def step(acc: Column, pair: Column) -> Column:
+        begin = acc["at"] + pair["gap"]
+        end = begin + F.length(pair["hit"])
+        longer = F.array_append(acc["spans"], F.struct(begin.alias("start"), end.alias("end")))
+        spans = F.when(F.array_contains(hidden, F.xxhash64(F.lower(pair["hit"]))), longer).otherwise(acc["spans"])
+        return F.when(pair["hit"].isNull(), acc).otherwise(F.struct(end.alias("at"), spans.alias("spans")))
+
+    return F.aggregate(pairs, start, step, lambda acc: acc["spans"])
+
+
 def revealing_terms(found: DataFrame, docs: DataFrame, text_col: str, *, support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
     """entity, term and disclosed of each pair whose term reveals too much of the entity."""
     everything = docs.count()
     once = lambda *names: F.explode(F.array_distinct(F.transform("pairs", lambda p: F.struct(*[p[n].alias(n) for n in names])))).alias("it")
     both = found.select(once("entity", "term")).groupBy("it").agg(F.count(F.lit(1)).alias("n_both")).where(F.col("n_both") >= support).select("it.*", "n_both")
     entities = found.select(F.explode(F.array_distinct(F.concat(*map(_entities, KINDS)))).alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
-    words = F.array_distinct(F.transform(F.regexp_extract_all(text_col, F.lit(TERM), 0), lambda w: F.xxhash64(F.lower(w))))
-    terms = docs.select(F.explode(words).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
+    terms = docs.select(F.explode(_words(text_col)).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
     told = both.join(entities, "entity").join(terms, "term")
     n = F.lit(float(everything))
     pmi = F.ln(n * F.col("n_both") / (F.col("n_term") * F.col("n_entity")))
@@ -115,17 +156,25 @@ def find_personal_data(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
 
 
 def sanitise(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
-    """The input's rows and columns; in texts each span is replaced by its kind in brackets, and a revealing term by [term].
+    """The input's rows and columns; in texts each base span is replaced by its kind in brackets, and a revealing term by [term].
 
-    Only rows with a span carry them through the join; the others' texts stay as they are.
+    Revealing terms are counted by document and replaced wherever a document that holds the entity has them, outside of
+    base spans. Only rows with a span carry them through the join; the others' texts stay as they are.
     """
-    found = find_personal_data(docs, id_col=id_col, text_col=text_col, support=support, disclosure=disclosure)
-    put = lambda kind, name: F.transform(name, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(f"[{kind}]").alias("put")))
-    every = F.sort_array(F.concat(*[put(k, k) for k in KINDS], put("term", "terms")))
-    spans = found.select(F.col("row_key").alias("__row_key"), every.alias("__spans")).where(F.size("__spans") > 0).dropDuplicates(["__row_key"])
-    joined = docs.withColumn("__row_key", row_key(id_col, text_col)).join(spans, "__row_key", "left")
-    text = F.when(F.col("__spans").isNotNull(), redacted(F.col(text_col), F.col("__spans"))).otherwise(F.col(text_col))
-    return joined.select(*[text.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
+    scratch = Scratch(docs.sparkSession, "sanitise")
+    rows = docs.select(row_key(id_col, text_col).alias("row_key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    found = rows.select("row_key", *[s.alias(kind) for kind, s in base_spans(F.col("text")).items()])
+    spans = scratch.keep(found.where(F.size(F.concat(*KINDS)) > 0), "spans")
+    hidden = hidden_terms(spans, docs, scratch, id_col=id_col, text_col=text_col, support=support, disclosure=disclosure)
+    put = lambda kind, spans: F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(f"[{kind}]").alias("put")))
+    based = spans.dropDuplicates(["row_key"]).join(hidden, "row_key", "left").select(F.col("row_key").alias("__row_key"), F.concat(*[put(k, k) for k in KINDS]).alias("__spans"), F.col("hidden").alias("__hidden"))
+    joined = docs.withColumn("__row_key", row_key(id_col, text_col)).join(based, "__row_key", "left")
+    outside = lambda t: ~F.exists("__spans", lambda s: (t["start"] < s["end"]) & (s["start"] < t["end"]))
+    terms = F.when(F.col("__hidden").isNotNull(), put("term", F.filter(_places(F.col(text_col), F.col("__hidden")), outside)))
+    every = F.sort_array(F.concat("__spans", F.coalesce(terms, F.array().cast("array<struct<start:bigint,end:bigint,put:string>>"))))
+    ready = joined.withColumn("__every", every)
+    text = F.when(F.col("__spans").isNotNull(), redacted(F.col(text_col), F.col("__every"))).otherwise(F.col(text_col))
+    return ready.select(*[text.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -99,6 +99,16 @@ def test_sanitise(spark):
     assert all(not any(brute_base(t).values()) for i, t in texts.items() if t and i < 15 and i not in (4, 5, 10))
 
 
+def test_sanitise_hides_far_and_repeated_terms(spark):
+    far = "plain words stand here " * 20
+    texts = [f"Zorbuline {far} reach zo@zo.org {far} zorbuline again Zorbuline"] * 2 + ["only plain words stand here"] * 30
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.text for r in P.sanitise(docs).collect()}
+    for i in (0, 1):
+        assert "zorbuline" not in got[i].lower() and got[i].count("[term]") >= 3 and "[email]" in got[i] and "plain words stand here" in got[i]
+    assert all(got[i] == texts[i] for i in range(2, len(texts)))
+
+
 def test_query_matches_brute_force(spark):
     at = "/root/testdata/sf0.01"
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{at}/documents.parquet").collect()]
