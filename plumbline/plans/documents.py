@@ -160,6 +160,11 @@ _add(
     lambda s, d: docs(s, d).join(_table(s, d, "labels"), "doc_id", "left_anti").select("doc_id", "source"),
     "SELECT doc_id, source FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)",
 )
+_add("doc_label_overlay_whole", lambda s, d: joins.overlay(docs(s, d).select("doc_id", F.lit("local").alias("origin"), F.when(F.col("doc_id") % 2 == 0, 9).alias("quality")), _table(s, d, "labels").select("doc_id", F.lit("public").alias("origin"), "quality"), "doc_id"))
+_add(
+    "doc_three_way_state_whole",
+    lambda s, d: joins.three_way(*[docs(s, d).select(F.col("doc_id").alias("path"), F.when(F.col("doc_id") % k == 0, "edited").otherwise(F.col("lang")).alias("digest")) for k in (6, 7, 9)]).groupBy("state").agg(F.count(F.lit(1)).alias("n")),
+)
 _add(
     "doc_label_overlay",
     lambda s, d: joins.overlay(docs(s, d).where("doc_id % 2 = 0").select("doc_id", F.lit("local").alias("origin"), F.lit(9).alias("quality")), _table(s, d, "labels").select("doc_id", F.lit("public").alias("origin"), "quality"), "doc_id"),

@@ -1,5 +1,7 @@
 """Whole tables against brute force, where the registered SQL holds a part of them."""
 
+from collections import Counter
+
 import pytest
 
 from plumbline.plans import catalog, commerce
@@ -40,3 +42,15 @@ def test_whole_batch_sizes(spark):
         now[run] = min(size * 2, 64) if share >= 0.25 else 8 if share < 0.05 else size
     got = [(r.run, r.ord, r["size"]) for r in catalog.QUERIES["ev_batch_sizes_whole"](spark, AT).collect()]
     assert sorted(got) == want and any(run >= 20 for run, *_ in got)
+
+
+def test_whole_overlay_and_three_way(spark):
+    docs, labels = dict(column(spark, "documents", "doc_id", "lang")), dict(column(spark, "labels", "doc_id", "quality"))
+    want = {i: ("local" if i in docs else "public", 9 if i in docs and i % 2 == 0 else labels.get(i)) for i in docs.keys() | labels.keys()}
+    got = catalog.QUERIES["doc_label_overlay_whole"](spark, AT).collect()
+    assert len(got) == len(want) and {r.doc_id: (r.origin, r.quality) for r in got} == want
+    states = Counter()
+    for i, lang in docs.items():
+        base, left, right = ("edited" if i % k == 0 else lang for k in (6, 7, 9))
+        states["equal" if left == right else "right-changed" if base == left else "left-changed" if base == right else "conflict"] += 1
+    assert {r.state: r.n for r in catalog.QUERIES["doc_three_way_state_whole"](spark, AT).collect()} == states and sum(states.values()) == len(docs)
