@@ -6,6 +6,8 @@ Recursion runs inside one SQL query, with the depth carried along so that cycles
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from itertools import count
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,6 +15,14 @@ from pyspark.sql import functions as F
 from plumbline.lineage import cut
 
 
+def passes(most: int | None) -> Iterator[int]:
+    """Numbers for a loop that ends once nothing is added; to need more than most (None: no bound) is an error."""
+    for n in count():
+        if n == most:
+            raise RuntimeError(f"not done after {most} passes")
+        yield n
+
+
 def _recursive(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     spark, mark = edges.sparkSession, uuid.uuid4().hex
     edges.select("src", "dst").createOrReplaceTempView(f"edges_{mark}")
@@ -36,14 +46,17 @@ def reachable(edges: DataFrame, seeds: list | DataFrame, depth: int = 50) -> Dat
     return _recursive(edges, seeds, depth)
 
 
-def closure(edges: DataFrame, seeds: DataFrame, *, both_ways: bool = False, depth: int = 100) -> DataFrame:
-    """The nodes that the seeds reach, cycles or not: a frontier grows by one step a pass until it adds nothing."""
+def closure(edges: DataFrame, seeds: DataFrame, *, both_ways: bool = False, depth: int | None = None) -> DataFrame:
+    """The nodes that the seeds reach, cycles or not: a frontier grows by one step a pass until it adds nothing.
+
+    depth: passes after which to raise an error if nodes are still added.
+    """
     step = edges.select("src", "dst")
     if both_ways:
         step = step.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
     step = cut(step)
     found = frontier = cut(seeds.select("node").distinct())
-    for _ in range(depth):
+    for _ in passes(depth):
         new = frontier.join(step, frontier["node"] == step["src"]).select(F.col("dst").alias("node")).distinct().join(found, "node", "left_anti")
         new = cut(new)
         if new.isEmpty():
@@ -69,10 +82,10 @@ def audit_scope(components: DataFrame, changed: DataFrame) -> DataFrame:
     return up.unionByName(closure(edges, changed)).distinct()
 
 
-def dependency_order(components: DataFrame, depth: int = 50) -> DataFrame:
+def dependency_order(components: DataFrame, depth: int | None = None) -> DataFrame:
     """id and rank: every component after what it requires (rank is the longest way to a root; ties by id).
 
-    A component on or behind a cycle has no rank, nor has one that requires what is not there; problem says which.
+    depth: passes after which to raise an error if components are still ranked. A component on or behind a cycle has no rank, nor has one that requires what is not there; problem says which.
     """
     edges = requirement_edges(components)
     known = components.select(F.col("id").alias("node"))
@@ -80,7 +93,7 @@ def dependency_order(components: DataFrame, depth: int = 50) -> DataFrame:
     broken = closure(edges, missing).withColumnRenamed("node", "id").withColumn("problem", F.lit("missing dependency"))
     done = cut(components.where(F.size("requires") == 0).select("id", F.lit(0).alias("rank")))
     waiting = cut(components.where(F.size("requires") > 0).join(broken.select("id"), "id", "left_anti").select("id", F.explode("requires").alias("need")))
-    for _ in range(depth):
+    for _ in passes(depth):
         needs = waiting.join(done.select(F.col("id").alias("need"), "rank"), "need", "left")
         ready = needs.groupBy("id").agg(F.count(F.when(F.col("rank").isNull(), 1)).alias("open"), F.max("rank").alias("top")).where("open = 0").select("id", (F.col("top") + 1).alias("rank"))
         ready = cut(ready.join(done.select("id"), "id", "left_anti"))
@@ -104,7 +117,7 @@ def verified_states(requirements: DataFrame) -> DataFrame:
     return requirements.join(pending, "id", "left").select("id", F.when(F.col("late"), "pending").otherwise("verified").alias("state"))
 
 
-def mentioned_files(files: DataFrame, roots: list[str], depth: int = 20) -> DataFrame:
+def mentioned_files(files: DataFrame, roots: list[str], depth: int | None = None) -> DataFrame:
     """Files that the roots reach by naming one another. files: path, content; a mention is the file's name as a word of the text."""
     name = F.substring_index("path", "/", -1)
     words = files.select(F.col("path").alias("src"), F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(r"[\w.-]+"), 0))).alias("word"))

@@ -153,3 +153,12 @@ def test_reviews_batches_and_invalidation(spark):
     proof = spark.createDataFrame([("e1", "a", "x.py"), ("e2", "b", "y.py"), ("e3", "c", "z.py")], "id string, requirement string, path string")
     good, stale = graph.invalidate(proof, needs, spark.createDataFrame([("x.py",)], "path string"))
     assert [r.id for r in good.collect()] == ["e3"] and sorted(r.id for r in stale.collect()) == ["e1", "e2"]
+
+
+def test_deep_graph(spark):
+    chain = spark.createDataFrame([(i, [i - 1] if i else []) for i in range(54)], "id int, requires array<int>")
+    assert {r.id: (r["rank"], r.problem) for r in graph.dependency_order(chain).collect()} == {i: (i, None) for i in range(54)}
+    edges = spark.range(104).selectExpr("id as src", "id + 1 as dst")
+    assert graph.closure(edges, spark.createDataFrame([(0,)], "node long")).count() == 105
+    with pytest.raises(RuntimeError):
+        graph.closure(edges, spark.createDataFrame([(0,)], "node long"), depth=3)
