@@ -17,10 +17,14 @@ from pyspark.sql import functions as F
 
 from plumbline.llm.common import WORD, Scratch, lower_ascii, table
 
-#: A line is boilerplate on more documents of a host than MIN_DOCS and than HOST_SHARE of the host's documents.
+#: A line is boilerplate on more documents of a host than MIN_DOCS and than HOST_SHARE of the host's documents,
+#: or on more than MOST_DOCS of them.
 MIN_DOCS = 20
 HOST_SHARE = 0.01
 
+#: Documents of a host beyond which a line is boilerplate however large the host is.
+MOST_DOCS = 100
+
 #: A document is depleted once more than this share of its words is boilerplate.
 MOST_REMOVED = 0.5
 
@@ -84,9 +88,13 @@ def row_key(id_col: str, text_col: str, source_col: str) -> Column:
     return F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("\0")), F.coalesce(F.col(source_col), F.lit("\0")), F.coalesce(F.col(text_col), F.lit("\0")))
 
 
+def squeezed(line: Column) -> Column:
+    """A line as it is compared."""
+    return F.trim(F.regexp_replace(lower_ascii(line), SPACE, " "))
+
+
 def document_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """row_key, host (hash of the source) and lines: hash and number of words of each normalised line with a word."""
-    squeezed = lambda line: F.trim(F.regexp_replace(lower_ascii(line), SPACE, " "))
     lines = F.filter(F.transform(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1), squeezed), lambda line: line != "")
     return docs.select(
         row_key(id_col, text_col, source_col).alias("row_key"),
@@ -95,12 +103,25 @@ def document_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     )
 
 
-def boilerplate(lines: DataFrame, *, min_docs: int = MIN_DOCS, host_share: float = HOST_SHARE) -> DataFrame:
-    """host and line of each line on too many documents of its host."""
+def boilerplate(lines: DataFrame, *, min_docs: int = MIN_DOCS, host_share: float = HOST_SHARE, most_docs: int = MOST_DOCS) -> DataFrame:
+    """host and line of each line on too many documents of its host: more than min_docs, and more than host_share or most_docs."""
     hosts = lines.groupBy("host").agg(F.count(F.lit(1)).alias("docs"))
     each = lines.select("host", F.explode(F.array_distinct(F.transform("lines", lambda x: x["line"]))).alias("line"))
     counts = each.groupBy("host", "line").agg(F.count(F.lit(1)).alias("found")).where(F.col("found") > min_docs)
-    return counts.join(hosts, "host").where(F.col("found") > host_share * F.col("docs")).select("host", "line")
+    return counts.join(hosts, "host").where(F.col("found") > F.least(host_share * F.col("docs"), F.lit(float(most_docs)))).select("host", "line")
+
+
+def without_boilerplate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", min_docs: int = MIN_DOCS, host_share: float = HOST_SHARE, most_docs: int = MOST_DOCS) -> DataFrame:
+    """The input's rows and columns, with boilerplate lines taken out of the texts. Texts without such lines stay as they are."""
+    cols = {"id_col": id_col, "text_col": text_col, "source_col": source_col}
+    lines = Scratch(docs.sparkSession, "lines").keep(document_lines(docs, **cols), "lines")
+    frequent = boilerplate(lines, min_docs=min_docs, host_share=host_share, most_docs=most_docs)
+    places = lines.select("row_key", "host", F.explode(F.array_distinct(F.transform("lines", lambda x: x["line"]))).alias("line"))
+    taken = places.join(frequent, ["host", "line"], "left_semi").groupBy("row_key").agg(F.collect_set("line").alias("__taken")).withColumnRenamed("row_key", "__row_key")
+    joined = docs.withColumn("__row_key", row_key(id_col, text_col, source_col)).join(taken, "__row_key", "left")
+    left = F.filter(F.split(F.col(text_col), "\n", -1), lambda line: ~F.array_contains("__taken", F.xxhash64(squeezed(line))))
+    text = F.when(F.col("__taken").isNotNull(), F.array_join(left, "\n")).otherwise(F.col(text_col))
+    return joined.select(*[text.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
 
 
 def judge(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", min_docs: int = MIN_DOCS, host_share: float = HOST_SHARE, most_removed: float = MOST_REMOVED) -> DataFrame:

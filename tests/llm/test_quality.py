@@ -48,6 +48,18 @@ def test_judge_on_odd_rows(spark):
     assert Q.judge(docs.limit(0)).count() == 0
 
 
+def test_limit_of_a_hot_host(spark):
+    rows = [(i, f"line {i} is own\n" + ("Read  More here" if i < 101 else f"other {i}") + ("\nless common" if 20 < i < 121 else ""), "hot") for i in range(12_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert Q.judge(docs).where("removed > 0").count() == 101
+    out = Q.without_boilerplate(docs)
+    assert out.columns == docs.columns
+    texts = {r.doc_id: r.text for r in out.collect()}
+    assert len(texts) == len(rows)
+    assert all(texts[i] == t.replace("\nRead  More here", "") for i, t, _ in rows)
+    assert texts[50] == "line 50 is own\nless common" and Q.without_boilerplate(docs.limit(0)).count() == 0
+
+
 def test_query_matches_brute_force(spark, sf_dir):
     rows = [(r.doc_id, r.text, r.source) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
     got = [(r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.removed, r.base_failed, r.kept) for r in Q.query(spark, sf_dir).collect()]
