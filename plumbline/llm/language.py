@@ -63,12 +63,26 @@ def learn(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", sa
     if not chosen:
         return {}
     rows = known.withColumn("h", F.xxhash64("text")).where(F.col("h").isin(sorted({h for _, h in chosen})))
-    most = 4 * dictionary_bytes // sample_rows + 256
-    texts = {(r.lang, r.h): r.text for r in rows.select("lang", "h", F.substring("text", 1, most).alias("text")).dropDuplicates(["lang", "h"]).collect()}
-    out: dict[str, bytes] = {}
-    for lang, h in sorted(chosen & texts.keys()):
-        out[lang] = (out.get(lang, b"") + letters(texts[lang, h]).encode() + b" ")[-dictionary_bytes:]
-    return out
+    taught: dict[str, list[bytes]] = {}
+    for r in rows.select("lang", "h", "text").dropDuplicates(["lang", "h"]).orderBy("lang", "h").toLocalIterator():
+        if (r.lang, r.h) in chosen:
+            taught.setdefault(r.lang, []).append(letters(r.text).encode() + b" ")
+    return {lang: filled(texts, dictionary_bytes) for lang, texts in taught.items()}
+
+
+def filled(texts: list[bytes], room: int) -> bytes:
+    """All texts where there is room; else equal shares, what short texts leave going to longer ones, cut from all over them."""
+    share = {}
+    for n, k in enumerate(sorted(range(len(texts)), key=lambda k: len(texts[k]))):
+        share[k] = min(len(texts[k]), (room - sum(share.values())) // (len(texts) - n))
+    return b"".join(t if share[k] == len(t) else spread(t, share[k]) for k, t in enumerate(texts))
+
+
+def spread(text: bytes, size: int, pieces: int = 4) -> bytes:
+    """size bytes of a text in pieces from its start to its end."""
+    each = size // pieces
+    gap = (len(text) - each) // (pieces - 1)
+    return b"".join(text[k * gap : k * gap + each] for k in range(pieces))
 
 
 class Classifier:

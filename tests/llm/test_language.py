@@ -48,3 +48,11 @@ def test_held_out_accuracy(spark):
     print("held-out accuracy", sum(judged) / len(judged), "rejected", sum(r.rejected for r in got), sorted((round(r.score, 3), truth[r.doc_id], r.lang_pred) for r in got)[:12])
     assert sum(judged) / len(judged) > 0.97
     assert sum(r.rejected for r in got) <= 0.02 * len(got)
+
+
+def test_whole_texts_teach(spark):
+    long = "12 34 " * 2000 + "the ring and there with that other being " * 300
+    rows = [(i, long + str(i), "en") for i in range(3)] + [(9, "der die und nicht schaft keit", "de")]
+    learnt = L.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert b"ring and there" in learnt["en"] and len(learnt["en"]) <= L.DICTIONARY_BYTES
+    assert L.filled([b"ab ", b"x" * 50 + b"y" * 50], 43) == b"ab " + b"x" * 20 + b"y" * 20
