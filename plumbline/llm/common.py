@@ -8,8 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Most rows of an Arrow batch. Texts may hold 10^5 characters, so a batch stays near 100 MB.
+#: Most rows and bytes of an Arrow batch.
 BATCH_ROWS = 1000
+BATCH_BYTES = 8 << 20
 
 #: Java and RE2 spelling of a word between ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -20,12 +21,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Bounds the rows of each Arrow batch, and so the memory of Python workers."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key))
-    if now <= 0 or now > rows:
-        spark.conf.set(key, str(rows))
+def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS, size: int = BATCH_BYTES) -> None:
+    """Bounds the rows and bytes of each Arrow batch, and so the memory of Python workers. The session keeps these settings."""
+    for key, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", size)):
+        key = f"spark.sql.execution.arrow.{key}"
+        now = int(spark.conf.get(key).rstrip("b"))
+        if now <= 0 or now > most:
+            spark.conf.set(key, str(most))
 
 
 def shared_dir(spark: SparkSession) -> str:

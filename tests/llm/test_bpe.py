@@ -1,4 +1,5 @@
 import hashlib
+import random
 
 import public_tokenizers
 import pytest
@@ -38,11 +39,25 @@ def test_same_ids_and_exact_round_trip(own, theirs, text):
 
 
 def test_forgetting_does_not_change_ids(own, theirs, monkeypatch):
-    monkeypatch.setattr(bpe, "REMEMBERED", 2)
+    monkeypatch.setattr(own.chunks, "room", 2)
+    monkeypatch.setattr(own.pieces, "room", 2)
     for text in ("one two three", "four one five", "one two three"):
         assert own.encode(text) == as_bytes(theirs.encode_ordinary(text))
 
 
+def test_any_mix_of_spaces_marks_and_scripts(own, theirs):
+    draw, alphabet = random.Random(1), " \n\t  \x1c\x85\u3000abcé漢12.,'s!🙂  ʰǅªº½²"
+    for _ in range(5000):
+        text = "".join(draw.choice(alphabet) for _ in range(draw.randint(0, 14)))
+        ids = own.encode(text)
+        assert ids == as_bytes(theirs.encode_ordinary(text)) and own.decode(ids) == text.encode(), repr(text)
+
+
+def test_a_text_of_two_million_characters(own, theirs):
+    text = "".join(random.Random(2).choices([" die", " straße", "\n", "  ", ", 12"], k=500_000))
+    assert own.encode(text) == as_bytes(theirs.encode_ordinary(text)) and own.decode(own.encode(text)) == text.encode()
+
+
 def test_operator_on_odd_rows(spark, theirs):
     rows = [(i, t, "x") for i, t in enumerate(TEXTS)] + [(None, "no id", "x"), (3, TEXTS[3], "x")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, ids string")
