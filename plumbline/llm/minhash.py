@@ -52,18 +52,6 @@ _RNG = np.random.default_rng(SEED)
 COEFFICIENTS = _RNG.integers(1, 2**63, WIDTH, dtype="u8") * np.uint64(2) + np.uint64(1)
 PERMUTE = _RNG.integers(1, 2**63, 2 * HALVES * PER_HALF, dtype="u8") * np.uint64(2) + np.uint64(1)
 JOIN = _RNG.integers(1, 2**63, PER_HALF, dtype="u8") * np.uint64(2) + np.uint64(1)
-REMEMBERED = 1 << 18
-
-
-class _Words(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > REMEMBERED:
-            self.clear()
-        found = self[word] = xxhash.xxh3_64_intdigest(word)
-        return found
-
-
-_WORDS = _Words()
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -77,7 +65,7 @@ def shingles(text: bytes | None) -> np.ndarray:
     words = (text or b"").lower().split()
     if not words:
         return np.empty(0, "u8")
-    hashed = np.array(list(map(_WORDS.__getitem__, words)), "u8")
+    hashed = np.fromiter(map(xxhash.xxh3_64_intdigest, words), "u8", len(words))
     width = min(WIDTH, len(words))
     total = np.full(len(words) - width + 1, np.uint64(width))
     for k in range(width):
