@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Most rows and bytes of an Arrow batch.
@@ -43,6 +43,22 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def row_key(*columns: str) -> Column:
+    """128 bits of a row's columns; nulls differ from empty ones."""
+    said = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-"))
+    return F.unhex(F.md5(F.concat_ws("\0", *map(said, columns)).cast("binary")))
+
+
+def free_names(frame: DataFrame, *names: str) -> list[str]:
+    """The names, each lengthened until the frame has no such column."""
+    taken, out = {c.lower() for c in frame.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 class Scratch:
     """Tables written to the shared folder to cut lineage: they outlive executors and are read back with fresh statistics.
 

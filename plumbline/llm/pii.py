@@ -1,12 +1,12 @@
 """Personal data, and terms that give it away, in DataFrame functions only.
 
 Four patterns find the base spans; what they match are the protected entities. Information theory finds the rest: the
-share of an entity's information content that a nearby term reveals is PMI(term, entity) / IC(entity), with documents
-of the whole corpus as evidence. A term near an entity in SUPPORT documents or more that reveals DISCLOSURE of it or
-more is a span of its own, and is generalised like the entity itself. sanitise() goes further than the spans: it counts
-by document, however far a term stands from the entity, and replaces each occurrence in documents that hold the entity.
+share of an entity's information content that a term reveals is PMI(term, entity) / IC(entity). All three counts are of
+documents of the whole corpus: those that hold the term, the entity, and both, however far apart these stand. A term that
+shares SUPPORT documents or more with an entity and reveals DISCLOSURE of it or more is a span wherever a document that
+holds the entity has it, outside of base spans; sanitise() generalises it like the entity itself.
 
-All counts are of rows that hold a thing, made by partial sums, so that a frequent term or entity is no hot group.
+Counts are partial sums, so that a frequent term or entity is no hot group.
 
 Defined cases: a null text counts as empty. Each row is a document. Rows that repeat id and text have the same spans.
 Null ids are kept. Empty tables give empty tables; other columns are ignored, or passed on by sanitise().
@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import Scratch, table
+from plumbline.llm.common import Scratch, free_names, row_key, table
 from plumbline.llm.spans import listed, matches, redacted
 from plumbline.llm.sqltext import matches as sql_matches
 
@@ -28,12 +28,9 @@ IP = r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 KINDS = ("email", "ip", "card", "phone")
+PLACES = "array<struct<start:bigint,end:bigint>>"
 
-#: Characters on either side of an entity whose terms are held against it.
-WINDOW = 80
-#: Least letters of a term.
-TERM_LETTERS = 4
-TERM = r"\p{L}{4,}+"
+TERM = r"\p{L}++"
 SUPPORT = 2
 DISCLOSURE = 0.8
 
@@ -55,40 +52,10 @@ def base_spans(text: Column) -> dict[str, Column]:
     }
 
 
-def _near_terms(text: Column, span: Column) -> Column:
-    """start, end and hash of each term that lies whole in the window before or after a span."""
-    from_ = F.greatest(span["start"] - WINDOW, F.lit(0).cast("long"))
-    left = F.substring(text, (from_ + 1).cast("int"), (span["start"] - from_).cast("int"))
-    right = F.substring(text, (span["end"] + 1).cast("int"), F.lit(WINDOW))
-    cut_off = F.substring(text, from_.cast("int"), F.lit(1)).rlike(r"\p{L}") & (from_ > 0)
-    goes_on = F.substring(text, (span["end"] + WINDOW + 1).cast("int"), F.lit(1)).rlike(r"\p{L}")
-    term = lambda at: lambda s: F.struct((s["start"] + at).alias("start"), (s["end"] + at).alias("end"), F.xxhash64(F.lower(s["hit"])).alias("term"))
-    before = F.transform(F.filter(matches(left, TERM), lambda s: (s["start"] > 0) | ~cut_off), term(from_))
-    after = F.transform(F.filter(matches(right, TERM), lambda s: (s["end"] < F.length(right)) | ~goes_on), term(span["end"]))
-    return F.concat(before, after)
-
-
 def _entities(kind: str) -> Column:
     return F.transform(kind, lambda s: F.xxhash64(F.lit(kind), F.lower(s["hit"])))
 
 
-def row_key(id_col: str, text_col: str) -> Column:
-    return F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("\0")), F.coalesce(F.col(text_col), F.lit("\0")))
-
-
-def _found(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """row_id, row_key, the spans of each kind, and pairs: entity, term and the term's place."""
-    rows = docs.select(F.col(id_col).alias("row_id"), row_key(id_col, text_col).alias("row_key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    spans = rows.select("*", *[s.alias(kind) for kind, s in base_spans(F.col("text")).items()])
-
-    def pairs(kind: str) -> Column:
-        own = lambda s: F.transform(_near_terms(F.col("text"), s), lambda t: F.struct(F.xxhash64(F.lit(kind), F.lower(s["hit"])).alias("entity"), t["term"].alias("term"), t["start"].alias("start"), t["end"].alias("end")))
-        return F.flatten(F.transform(kind, own))
-
-    inside = lambda p: F.exists(F.concat(*KINDS), lambda s: (p["start"] < s["end"]) & (s["start"] < p["end"]))
-    return spans.select("row_id", "row_key", *KINDS, F.filter(F.concat(*map(pairs, KINDS)), lambda p: ~inside(p)).alias("pairs"))
-
-
 def _words(text_col: str) -> Column:
     """The hashes of a text's terms, each once."""
     return F.array_distinct(F.transform(F.regexp_extract_all(text_col, F.lit(TERM), 0), lambda w: F.xxhash64(F.lower(w))))
@@ -130,51 +97,46 @@ def _places(text: Column, hidden: Column) -> Column:
     return F.aggregate(pairs, start, step, lambda acc: acc["spans"])
 
 
-def revealing_terms(found: DataFrame, docs: DataFrame, text_col: str, *, support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
-    """entity, term and disclosed of each pair whose term reveals too much of the entity."""
-    everything = docs.count()
-    once = lambda *names: F.explode(F.array_distinct(F.transform("pairs", lambda p: F.struct(*[p[n].alias(n) for n in names])))).alias("it")
-    both = found.select(once("entity", "term")).groupBy("it").agg(F.count(F.lit(1)).alias("n_both")).where(F.col("n_both") >= support).select("it.*", "n_both")
-    entities = found.select(F.explode(F.array_distinct(F.concat(*map(_entities, KINDS)))).alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
-    terms = docs.select(F.explode(_words(text_col)).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
-    told = both.join(entities, "entity").join(terms, "term")
-    n = F.lit(float(everything))
-    pmi = F.ln(n * F.col("n_both") / (F.col("n_term") * F.col("n_entity")))
-    content = F.ln(n / F.col("n_entity"))
-    return told.withColumn("disclosed", F.when(content > 0, pmi / content).otherwise(0.0)).where(F.col("disclosed") >= disclosure).select("entity", "term", "disclosed")
+def _term_places(rows: DataFrame, hidden: DataFrame) -> DataFrame:
+    """row_key and terms: the places of hidden terms outside of base spans. rows: row_key, text and the spans of each kind."""
+    outside = lambda t: ~F.exists(F.concat(*KINDS), lambda s: (t["start"] < s["end"]) & (s["start"] < t["end"]))
+    return rows.join(hidden, "row_key").dropDuplicates(["row_key"]).select("row_key", F.filter(_places(F.col("text"), F.col("hidden")), outside).alias("terms"))
 
 
 def find_personal_data(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
-    """row_id, row_key, the spans of each kind (start, end, hit) and terms: the places of revealing terms near them, by start."""
+    """row_id, row_key, the spans of each kind (start, end, hit) and terms: the places of revealing terms, by start."""
     scratch = Scratch(docs.sparkSession, "pii")
-    found = scratch.keep(_found(docs, id_col, text_col), "found")
-    with_pairs = found.where(F.size("pairs") > 0)
-    revealing = revealing_terms(found, docs, text_col, support=support, disclosure=disclosure)
-    places = with_pairs.select("row_key", F.explode("pairs").alias("it")).select("row_key", "it.*")
-    terms = places.join(revealing, ["entity", "term"]).groupBy("row_key").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("terms"))
-    return found.join(terms, "row_key", "left").select("row_id", "row_key", *KINDS, F.coalesce("terms", F.array().cast("array<struct<start:bigint,end:bigint>>")).alias("terms"))
+    rows = docs.select(F.col(id_col).alias("row_id"), row_key(id_col, text_col).alias("row_key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    found = scratch.keep(rows.select("row_id", "row_key", *[s.alias(kind) for kind, s in base_spans(F.col("text")).items()]), "found")
+    some = found.where(F.size(F.concat(*KINDS)) > 0)
+    hidden = scratch.keep(hidden_terms(some, docs, scratch, id_col=id_col, text_col=text_col, support=support, disclosure=disclosure), "hidden")
+    texts = rows.select("row_key", "text").join(hidden.select("row_key"), "row_key", "left_semi")
+    terms = scratch.keep(_term_places(texts.join(some.drop("row_id").dropDuplicates(["row_key"]), "row_key"), hidden), "terms")
+    scratch.drop_all_but("found", "terms")
+    return found.join(terms, "row_key", "left").select("row_id", "row_key", *KINDS, F.coalesce("terms", F.array().cast(PLACES)).alias("terms"))
 
 
 def sanitise(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
     """The input's rows and columns; in texts each base span is replaced by its kind in brackets, and a revealing term by [term].
 
-    Revealing terms are counted by document and replaced wherever a document that holds the entity has them, outside of
-    base spans. Only rows with a span carry them through the join; the others' texts stay as they are.
+    Only rows with a span carry them through the join; the others' texts stay as they are.
     """
     scratch = Scratch(docs.sparkSession, "sanitise")
+    key, spans_of, hidden_of = free_names(docs, "row_key", "spans", "hidden")
     rows = docs.select(row_key(id_col, text_col).alias("row_key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     found = rows.select("row_key", *[s.alias(kind) for kind, s in base_spans(F.col("text")).items()])
     spans = scratch.keep(found.where(F.size(F.concat(*KINDS)) > 0), "spans")
     hidden = hidden_terms(spans, docs, scratch, id_col=id_col, text_col=text_col, support=support, disclosure=disclosure)
     put = lambda kind, spans: F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(f"[{kind}]").alias("put")))
-    based = spans.dropDuplicates(["row_key"]).join(hidden, "row_key", "left").select(F.col("row_key").alias("__row_key"), F.concat(*[put(k, k) for k in KINDS]).alias("__spans"), F.col("hidden").alias("__hidden"))
-    joined = docs.withColumn("__row_key", row_key(id_col, text_col)).join(based, "__row_key", "left")
-    outside = lambda t: ~F.exists("__spans", lambda s: (t["start"] < s["end"]) & (s["start"] < t["end"]))
-    terms = F.when(F.col("__hidden").isNotNull(), put("term", F.filter(_places(F.col(text_col), F.col("__hidden")), outside)))
-    every = F.sort_array(F.concat("__spans", F.coalesce(terms, F.array().cast("array<struct<start:bigint,end:bigint,put:string>>"))))
-    ready = joined.withColumn("__every", every)
-    text = F.when(F.col("__spans").isNotNull(), redacted(F.col(text_col), F.col("__every"))).otherwise(F.col(text_col))
-    return ready.select(*[text.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
+    based = spans.dropDuplicates(["row_key"]).join(hidden, "row_key", "left").select(F.col("row_key").alias(key), F.concat(*[put(k, k) for k in KINDS]).alias(spans_of), F.col("hidden").alias(hidden_of))
+    based = scratch.keep(based, "based")
+    scratch.drop_all_but("based")
+    joined = docs.withColumn(key, row_key(id_col, text_col)).join(based, key, "left")
+    outside = lambda t: ~F.exists(spans_of, lambda s: (t["start"] < s["end"]) & (s["start"] < t["end"]))
+    terms = F.when(F.col(hidden_of).isNotNull(), put("term", F.filter(_places(F.col(text_col), F.col(hidden_of)), outside)))
+    every = F.sort_array(F.concat(spans_of, F.coalesce(terms, F.array().cast("array<struct<start:bigint,end:bigint,put:string>>"))))
+    text = F.when(F.col(spans_of).isNotNull(), redacted(F.col(text_col), every)).otherwise(F.col(text_col))
+    return joined.select(*[text.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -202,27 +164,30 @@ WITH d AS (
   UNION ALL SELECT *, 3 FROM ({sql_matches("d", "doc_id, text", "text", "[0-9](?:[\\x20-]?[0-9])+", "card")}) WHERE length({_DIGITS}) BETWEEN 13 AND 19 AND {_LUHN}
   UNION ALL SELECT *, 4 FROM ({sql_matches("d", "doc_id, text", "text", "\\+[0-9][\\x20().0-9-]+[0-9]", "phone")}) WHERE length({_DIGITS}) BETWEEN 9 AND 15
 ), e AS (
-  SELECT *, kind || ':' || lower(hit) AS entity, greatest(start - {WINDOW}, 0) AS from_ FROM b
-), win AS (
-  SELECT doc_id, entity, from_ AS base, substr(text, from_ + 1, start - from_) AS win, from_ > 0 AND regexp_matches(substr(text, from_, 1), '\p{{L}}') AS cut, false AS goes_on FROM e
-  UNION ALL
-  SELECT doc_id, entity, stop, substr(text, stop + 1, {WINDOW}), false, regexp_matches(substr(text, stop + {WINDOW} + 1, 1), '\p{{L}}') FROM e
-), near AS (
-  SELECT doc_id, entity, lower(hit) AS term, base + start AS start, base + stop AS stop
-  FROM ({sql_matches("win", "doc_id, entity, base, win, cut, goes_on", "win", "\\p{L}{4,}", "term")}) WHERE NOT (cut AND start = 0) AND NOT (goes_on AND stop = length(win))
-), pairs AS (
-  SELECT * FROM near n WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.doc_id = n.doc_id AND n.start < b.stop AND b.start < n.stop)
-), both_ AS (
-  SELECT entity, term, count(DISTINCT doc_id) AS n_both FROM pairs GROUP BY ALL HAVING count(DISTINCT doc_id) >= {SUPPORT}
+  SELECT DISTINCT doc_id, kind || ':' || lower(hit) AS entity FROM b
 ), ent AS (
-  SELECT entity, count(DISTINCT doc_id) AS n_entity FROM e GROUP BY entity
+  SELECT entity, count(*) AS n_entity FROM e GROUP BY entity
+), words AS (
+  SELECT doc_id, unnest(list_distinct(list_transform(regexp_extract_all(text, '\p{{L}}+'), lambda w: lower(w)))) AS term FROM d
 ), terms AS (
-  SELECT term, count(*) AS n_term FROM (SELECT doc_id, unnest(list_distinct(list_transform(regexp_extract_all(text, '\p{{L}}{{4,}}'), lambda w: lower(w)))) AS term FROM d) GROUP BY term
+  SELECT term, count(*) AS n_term FROM words GROUP BY term HAVING count(*) >= {SUPPORT}
+), both_ AS (
+  SELECT entity, term, count(*) AS n_both FROM e JOIN words USING (doc_id) GROUP BY ALL HAVING count(*) >= {SUPPORT}
 ), told AS (
   SELECT entity, term FROM both_ JOIN ent USING (entity) JOIN terms USING (term), (SELECT count(*)::DOUBLE AS n FROM d)
-  WHERE ln(n / n_entity) > 0 AND ln(n * n_both / (n_term * n_entity)) / ln(n / n_entity) >= {DISCLOSURE}
+  WHERE n_entity < n AND ln(n * n_both / (n_term * n_entity)) / ln(n / n_entity) >= {DISCLOSURE}
+), hid AS (
+  SELECT DISTINCT doc_id, term FROM e JOIN told USING (entity)
+), cut AS (
+  SELECT doc_id, string_split_regex(text, '\p{{L}}+') AS gaps, regexp_extract_all(text, '\p{{L}}+') AS hits FROM d WHERE doc_id IN (SELECT doc_id FROM hid)
+), tok AS (
+  SELECT doc_id, unnest(range(1, len(hits) + 1)) AS k, unnest(list_transform(gaps[:len(hits)], lambda g: length(g))) AS gap, unnest(hits) AS hit FROM cut
+), at_ AS (
+  SELECT doc_id, lower(hit) AS term, CAST(sum(gap + length(hit)) OVER (PARTITION BY doc_id ORDER BY k) AS BIGINT) AS stop, length(hit) AS size FROM tok
+), near AS (
+  SELECT doc_id, stop - size AS start, stop FROM at_ SEMI JOIN hid USING (doc_id, term)
 ), every AS (
-  SELECT doc_id, kind, start, stop, o FROM b UNION ALL SELECT DISTINCT doc_id, 'term', start, stop, 5 FROM pairs SEMI JOIN told USING (entity, term)
+  SELECT doc_id, kind, start, stop, o FROM b UNION ALL SELECT doc_id, 'term', start, stop, 5 FROM near n WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.doc_id = n.doc_id AND n.start < b.stop AND b.start < n.stop)
 ), g AS (
   SELECT doc_id, count(*) FILTER (o = 1) AS n_email, count(*) FILTER (o = 2) AS n_ip, count(*) FILTER (o = 3) AS n_card, count(*) FILTER (o = 4) AS n_phone, count(*) FILTER (o = 5) AS n_term,
          coalesce(string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY o, start) FILTER (o < 5), '') AS base, string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY o, start) AS spans

@@ -28,33 +28,24 @@ def brute_base(text):
     return {k: [(m.start(), m.end(), m[0]) for m in re.finditer(p, text or "") if holds(k, m[0])] for k, p in BASE.items()}
 
 
-LETTERS = re.compile(r"[^\W\d_]{4,}")
+LETTERS = re.compile(r"[^\W\d_]+")
 
 
 def brute(texts, support=P.SUPPORT, least=P.DISCLOSURE):
     """The spans of each text: base ones, and terms as the module's docstring has them."""
     base = [brute_base(t) for t in texts]
     n_term = Counter(w for t in texts for w in {m[0].lower() for m in LETTERS.finditer(t or "")})
-    n_entity, n_both, places = Counter(), Counter(), []
-    for t, found in zip(texts, base, strict=True):
-        own = []
-        every = [s for spans in found.values() for s in spans]
-        n_entity.update({(k, h.lower()) for k, spans in found.items() for *_, h in spans})
-        for k, spans in found.items():
-            for a, b, h in spans:
-                for m in LETTERS.finditer(t):
-                    near = (max(0, a - P.WINDOW) <= m.start() and m.end() <= a) or (b <= m.start() and m.end() <= b + P.WINDOW)
-                    own.append(((k, h.lower()), m[0].lower(), m.start(), m.end())) if near and not any(m.start() < y and x < m.end() for x, y, _ in every) else None
-        n_both.update({(e, w) for e, w, *_ in own})
-        places.append(own)
+    entities = [{(k, h.lower()) for k, spans in found.items() for *_, h in spans} for found in base]
+    words = [{m[0].lower() for m in LETTERS.finditer(t or "")} for t in texts]
+    n_entity = Counter(e for own in entities for e in own)
+    n_both = Counter((e, w) for own, terms in zip(entities, words, strict=True) for e in own for w in terms)
+    content = {e: math.log(len(texts) / c) for e, c in n_entity.items()}
+    told = {(e, w) for (e, w), c in n_both.items() if c >= support and content[e] > 0 and math.log(len(texts) * c / (n_term[w] * n_entity[e])) / content[e] >= least}
     out = []
-    for found, own in zip(base, places, strict=True):
-        terms = set()
-        for e, w, a, b in own:
-            content = math.log(len(texts) / n_entity[e])
-            if n_both[e, w] >= support and content > 0 and math.log(len(texts) * n_both[e, w] / (n_term[w] * n_entity[e])) / content >= least:
-                terms.add((a, b))
-        out.append((found, sorted(terms)))
+    for t, found, own in zip(texts, base, entities, strict=True):
+        every = [s for spans in found.values() for s in spans]
+        hidden = [m for m in LETTERS.finditer(t or "") if own and any((e, m[0].lower()) in told for e in own)]
+        out.append((found, sorted(m.span() for m in hidden if not any(m.start() < y and x < m.end() for x, y, _ in every))))
     return out
 
 
@@ -109,6 +100,12 @@ def test_sanitise_hides_far_and_repeated_terms(spark):
     assert all(got[i] == texts[i] for i in range(2, len(texts)))
 
 
+def test_columns_that_clash_with_helpers(spark):
+    docs = spark.createDataFrame([(i, t, "mine", 7, "x") for i, t in enumerate(ODD)], "doc_id long, text string, row_key string, spans int, hidden string")
+    out = P.sanitise(docs)
+    assert out.columns == docs.columns and {(r.row_key, r.spans, r.hidden) for r in out.collect()} == {("mine", 7, "x")}
+
+
 def test_query_matches_brute_force(spark):
     at = "/root/testdata/sf0.01"
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{at}/documents.parquet").collect()]
