@@ -79,3 +79,10 @@ def test_query_matches_sql(spark):
     db.sql(f"create view documents as from '{at}/documents.parquet'")
     want = sorted(db.sql(P.ORACLE_SQL).fetchall())
     assert sorted(tuple(r) for r in P.query(spark, at).collect()) == want and len(want) > 50
+
+
+def test_columns_that_clash_with_helpers(spark):
+    text = " ".join(f"w{i}" for i in range(30)) + "."
+    docs = spark.createDataFrame([(1, text, "mine", 7), (2, text, "mine", 7)], "doc_id long, text string, row_key string, spans int")
+    out = P.drop_repeats(docs)
+    assert out.columns == docs.columns and sorted(map(tuple, out.collect())) == [(1, text, "mine", 7), (2, "", "mine", 7)]
