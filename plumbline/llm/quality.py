@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import WORD, Scratch, lower_ascii, table
+from plumbline.llm.common import WORD, Scratch, free_names, lower_ascii, table
 
 #: A line is boilerplate on more documents of a host than MIN_DOCS and than HOST_SHARE of the host's documents,
 #: or on more than MOST_DOCS of them.
@@ -68,7 +68,7 @@ def base_metrics(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(
         F.col(id_col).alias("row_id"),
-        row_key(id_col, text_col, source_col).alias("row_key"),
+        row_key(id_col, source_col, text_col).alias("row_key"),
         text.alias("text"),
         F.regexp_extract_all(text, F.lit(WORD), 0).alias("words"),
         F.filter(F.split(text, "\n", -1), lambda line: line.rlike(r"[^\x20\x09-\x0D]")).alias("lines"),
@@ -84,10 +84,6 @@ def base_metrics(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     )
 
 
-def row_key(id_col: str, text_col: str, source_col: str) -> Column:
-    return F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("\0")), F.coalesce(F.col(source_col), F.lit("\0")), F.coalesce(F.col(text_col), F.lit("\0")))
-
-
 def squeezed(line: Column) -> Column:
     """A line as it is compared."""
     return F.trim(F.regexp_replace(lower_ascii(line), SPACE, " "))
@@ -97,7 +93,7 @@ def document_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     """row_key, host (hash of the source) and lines: hash and number of words of each normalised line with a word."""
     lines = F.filter(F.transform(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1), squeezed), lambda line: line != "")
     return docs.select(
-        row_key(id_col, text_col, source_col).alias("row_key"),
+        row_key(id_col, source_col, text_col).alias("row_key"),
         F.xxhash64(F.coalesce(F.col(source_col), F.lit("\0"))).alias("host"),
         F.transform(lines, lambda line: F.struct(F.xxhash64(line).alias("line"), F.size(F.split(line, " ")).alias("words"))).alias("lines"),
     )
@@ -117,10 +113,11 @@ def without_boilerplate(docs: DataFrame, *, id_col: str = "doc_id", text_col: st
     lines = Scratch(docs.sparkSession, "lines").keep(document_lines(docs, **cols), "lines")
     frequent = boilerplate(lines, min_docs=min_docs, host_share=host_share, most_docs=most_docs)
     places = lines.select("row_key", "host", F.explode(F.array_distinct(F.transform("lines", lambda x: x["line"]))).alias("line"))
-    taken = places.join(frequent, ["host", "line"], "left_semi").groupBy("row_key").agg(F.collect_set("line").alias("__taken")).withColumnRenamed("row_key", "__row_key")
-    joined = docs.withColumn("__row_key", row_key(id_col, text_col, source_col)).join(taken, "__row_key", "left")
-    left = F.filter(F.split(F.col(text_col), "\n", -1), lambda line: ~F.array_contains("__taken", F.xxhash64(squeezed(line))))
-    text = F.when(F.col("__taken").isNotNull(), F.array_join(left, "\n")).otherwise(F.col(text_col))
+    key, taken_of = free_names(docs, "row_key", "taken")
+    taken = places.join(frequent, ["host", "line"], "left_semi").groupBy(F.col("row_key").alias(key)).agg(F.collect_set("line").alias(taken_of))
+    joined = docs.withColumn(key, row_key(id_col, source_col, text_col)).join(taken, key, "left")
+    left = F.filter(F.split(F.col(text_col), "\n", -1), lambda line: ~F.array_contains(taken_of, F.xxhash64(squeezed(line))))
+    text = F.when(F.col(taken_of).isNotNull(), F.array_join(left, "\n")).otherwise(F.col(text_col))
     return joined.select(*[text.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
 
 
