@@ -14,7 +14,7 @@ SECRETS = (
 )
 MACHINE_PATHS = (r"(?i)[A-Za-z]:\\Users\\[^\\\s]+", r"/home/[^/\s]+", r"/Users/[^/\s]+")
 EMAIL = r"(?i)\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}\b"
-UNFINISHED = ("TO" + "DO", "TB" + "D")
+UNFINISHED = ("TODO", "TBD")
 
 STEPS = (
     *(("possible_secret", p, "<REDACTED_SECRET>") for p in SECRETS),
@@ -57,12 +57,12 @@ def audit(files: DataFrame, path: str = "path", text: str = "content") -> DataFr
 
 
 # Names of what tools leave behind.
-GENERATED_DIRS = (".git", ".pytest_cache", ".mypy_cache", ".ruff_cache", "__pycache__", "node_modules")
+GENERATED_DIRS = (".git", ".codex-runtime", ".pytest_cache", ".mypy_cache", ".ruff_cache", "__pycache__", "node_modules")
 GENERATED_FILES = (".DS_Store", "Thumbs.db", "desktop.ini")
 GENERATED_SUFFIXES = ("pyc", "pyo", "tmp", "bak", "swp", "log", "sqlite", "sqlite3")
 
 
 def is_generated(path: Column) -> Column:
     name = F.substring_index(path, "/", -1)
-    suffix = F.when(F.contains(name, F.lit(".")), F.lower(F.substring_index(name, ".", -1))).otherwise("")
+    suffix = F.lower(F.regexp_extract(name, r"[^.]\.([^.]+)$", 1))
     return F.arrays_overlap(F.split(path, "/"), F.array(*map(F.lit, GENERATED_DIRS))) | name.isin(*GENERATED_FILES) | suffix.isin(*GENERATED_SUFFIXES) | (name == ".env") | name.startswith(".env.")

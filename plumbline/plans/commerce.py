@@ -149,23 +149,15 @@ def every_component(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "part").select(k.cast("string").alias("id"), F.when(k == 0, F.array().cast("array<string>")).otherwise(F.array_distinct(F.array(F.floor(k / 2).cast("string"), F.floor(k / 3).cast("string")))).alias("requires"), (k % 17 != 4).alias("own"))
 
 
-def components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The parts of keys below 500 alone, as the SQL of part_dependency_order and part_verified_states has them."""
-    return every_component(spark, sf_dir).where(F.col("id").cast("long") < 500)
-
-
-_add("part_dependency_order_whole", lambda s, d: graph.dependency_order(every_component(s, d)).select("id", "rank", "problem"))
-_add("part_verified_states_whole", lambda s, d: graph.verified_states(every_component(s, d)))
-
 _add(
     "part_dependency_order",
-    lambda s, d: graph.dependency_order(components(s, d)).select("id", "rank", "problem"),
-    "WITH RECURSIVE r AS (SELECT 0::BIGINT AS id, 0 AS rank UNION SELECT p_partkey, rank + 1 FROM r JOIN part ON p_partkey > 0 AND p_partkey < 500 AND (p_partkey // 2 = r.id OR p_partkey // 3 = r.id)) SELECT CAST(id AS VARCHAR) AS id, max(rank) AS rank, CAST(NULL AS VARCHAR) AS problem FROM r GROUP BY id",
+    lambda s, d: graph.dependency_order(every_component(s, d)).select("id", "rank", "problem"),
+    "WITH RECURSIVE r AS (SELECT 0::BIGINT AS id, 0 AS rank UNION SELECT p_partkey, rank + 1 FROM r JOIN part ON p_partkey > 0 AND (p_partkey // 2 = r.id OR p_partkey // 3 = r.id)) SELECT CAST(id AS VARCHAR) AS id, max(rank) AS rank, CAST(NULL AS VARCHAR) AS problem FROM r GROUP BY id",
 )
 _add(
     "part_verified_states",
-    lambda s, d: graph.verified_states(components(s, d)),
-    "WITH RECURSIVE r AS (SELECT p_partkey AS id FROM part WHERE p_partkey < 500 AND p_partkey % 17 = 4 UNION SELECT p_partkey FROM r JOIN part ON p_partkey > 0 AND p_partkey < 500 AND (p_partkey // 2 = r.id OR p_partkey // 3 = r.id)) SELECT CAST(p_partkey AS VARCHAR) AS id, CASE WHEN p_partkey IN (SELECT id FROM r) THEN 'pending' ELSE 'verified' END AS state FROM part WHERE p_partkey < 500",
+    lambda s, d: graph.verified_states(every_component(s, d)),
+    "WITH RECURSIVE r AS (SELECT p_partkey AS id FROM part WHERE p_partkey % 17 = 4 UNION SELECT p_partkey FROM r JOIN part ON p_partkey > 0 AND (p_partkey // 2 = r.id OR p_partkey // 3 = r.id)) SELECT CAST(p_partkey AS VARCHAR) AS id, CASE WHEN p_partkey IN (SELECT id FROM r) THEN 'pending' ELSE 'verified' END AS state FROM part",
 )
 _add(
     "supplier_match_any",

@@ -78,11 +78,10 @@ def yields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "events").select(F.col("user_id").alias("run"), F.col("event_id").alias("ord"), ((F.col("event_id") % 10) / 20).alias("yield_"))
 
 
-_add("ev_batch_sizes_whole", lambda s, d: controllers.batch_sizes(yields(s, d)))
 _add(
     "ev_batch_sizes",
-    lambda s, d: controllers.batch_sizes(yields(s, d).where("run < 20")),
-    """WITH RECURSIVE e AS (SELECT user_id AS run, event_id AS ord, (event_id % 10) / 20.0::DOUBLE AS y, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events WHERE user_id < 20),
+    lambda s, d: controllers.batch_sizes(yields(s, d)),
+    """WITH RECURSIVE e AS (SELECT user_id AS run, event_id AS ord, (event_id % 10) / 20.0::DOUBLE AS y, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events),
     r AS (SELECT run, ord, i, y, 16 AS size FROM e WHERE i = 1 UNION ALL SELECT e.run, e.ord, e.i, e.y, CASE WHEN r.y >= 0.25 THEN least(r.size * 2, 64) WHEN r.y < 0.05 THEN 8 ELSE r.size END FROM r JOIN e ON e.run = r.run AND e.i = r.i + 1)
     SELECT run, ord, size FROM r""",
 )

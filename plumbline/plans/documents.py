@@ -160,21 +160,15 @@ _add(
     lambda s, d: docs(s, d).join(_table(s, d, "labels"), "doc_id", "left_anti").select("doc_id", "source"),
     "SELECT doc_id, source FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)",
 )
-_add("doc_label_overlay_whole", lambda s, d: joins.overlay(docs(s, d).select("doc_id", F.lit("local").alias("origin"), F.when(F.col("doc_id") % 2 == 0, 9).alias("quality")), _table(s, d, "labels").select("doc_id", F.lit("public").alias("origin"), "quality"), "doc_id"))
-_add(
-    "doc_three_way_state_whole",
-    lambda s, d: joins.three_way(*[docs(s, d).select(F.col("doc_id").alias("path"), F.when(F.col("doc_id") % k == 0, "edited").otherwise(F.col("lang")).alias("digest")) for k in (6, 7, 9)]).groupBy("state").agg(F.count(F.lit(1)).alias("n")),
-)
 _add(
     "doc_label_overlay",
-    lambda s, d: joins.overlay(docs(s, d).where("doc_id % 2 = 0").select("doc_id", F.lit("local").alias("origin"), F.lit(9).alias("quality")), _table(s, d, "labels").select("doc_id", F.lit("public").alias("origin"), "quality"), "doc_id"),
-    "SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, coalesce(a.origin, b.origin) AS origin, coalesce(a.quality, b.quality) AS quality FROM (SELECT doc_id, 'local' AS origin, 9 AS quality FROM documents WHERE doc_id % 2 = 0) a FULL JOIN (SELECT doc_id, 'public' AS origin, quality FROM labels) b ON a.doc_id = b.doc_id",
+    lambda s, d: joins.overlay(docs(s, d).select("doc_id", F.lit("local").alias("origin"), F.when(F.col("doc_id") % 2 == 0, 9).alias("quality")), _table(s, d, "labels").select("doc_id", F.lit("public").alias("origin"), "quality"), "doc_id"),
+    "SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, CASE WHEN a.doc_id IS NULL THEN 'public' ELSE 'local' END AS origin, coalesce(CASE WHEN a.doc_id % 2 = 0 THEN 9 END, b.quality) AS quality FROM documents a FULL JOIN labels b ON a.doc_id = b.doc_id",
 )
 _add(
     "doc_three_way_state",
-    lambda s, d: joins.three_way(*[docs(s, d).where(f"doc_id % {k} != 0").select(F.col("doc_id").alias("path"), F.when(F.col("doc_id") % (k + 4) == 0, "edited").otherwise(F.col("lang")).alias("digest")) for k in (2, 3, 5)]).groupBy("state").agg(F.count(F.lit(1)).alias("n")),
-    """WITH b AS (SELECT doc_id AS path, CASE WHEN doc_id % 6 = 0 THEN 'edited' ELSE lang END AS digest FROM documents WHERE doc_id % 2 != 0), l AS (SELECT doc_id AS path, CASE WHEN doc_id % 7 = 0 THEN 'edited' ELSE lang END AS digest FROM documents WHERE doc_id % 3 != 0), r AS (SELECT doc_id AS path, CASE WHEN doc_id % 9 = 0 THEN 'edited' ELSE lang END AS digest FROM documents WHERE doc_id % 5 != 0),
-    j AS (SELECT documents.doc_id AS path, b.digest AS b, l.digest AS l, r.digest AS r FROM documents LEFT JOIN b ON b.path = doc_id LEFT JOIN l ON l.path = doc_id LEFT JOIN r ON r.path = doc_id WHERE b.path IS NOT NULL OR l.path IS NOT NULL OR r.path IS NOT NULL)
+    lambda s, d: joins.three_way(*[docs(s, d).select(F.col("doc_id").alias("path"), F.when(F.col("doc_id") % k == 0, "edited").otherwise(F.col("lang")).alias("digest")) for k in (6, 7, 9)]).groupBy("state").agg(F.count(F.lit(1)).alias("n")),
+    """WITH j AS (SELECT CASE WHEN doc_id % 6 = 0 THEN 'edited' ELSE lang END AS b, CASE WHEN doc_id % 7 = 0 THEN 'edited' ELSE lang END AS l, CASE WHEN doc_id % 9 = 0 THEN 'edited' ELSE lang END AS r FROM documents)
     SELECT CASE WHEN l IS NOT DISTINCT FROM r THEN 'equal' WHEN b IS NOT DISTINCT FROM l THEN 'right-changed' WHEN b IS NOT DISTINCT FROM r THEN 'left-changed' ELSE 'conflict' END AS state, count(*) AS n FROM j GROUP BY 1""",
 )
 _add(

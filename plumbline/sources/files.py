@@ -55,7 +55,11 @@ def _fs(spark: SparkSession, path: str):
 
 
 def publish(frame: DataFrame, path: str, write=None, check=None) -> None:
-    """Writes beside the target, checks, and then renames: readers see the old table or the new one, never a part."""
+    """Writes beside the target, checks, and then renames: readers see the old table or the new one, never a part.
+
+    The old table steps aside first and goes only once the new one is in place; if that fails it comes back. What a crash
+    between leaves aside is put back by the next call.
+    """
     spark = frame.sparkSession
     staged = f"{path.rstrip('/')}.staged-{uuid.uuid4().hex}"
     fs, at = _fs(spark, staged)
@@ -65,9 +69,18 @@ def publish(frame: DataFrame, path: str, write=None, check=None) -> None:
         if faults:
             raise ValueError(f"not published: {faults}")
         _, target = _fs(spark, path)
-        if fs.exists(target):
-            fs.delete(target, True)
-        fs.rename(at, target)
+        _, aside = _fs(spark, f"{path.rstrip('/')}.aside")
+        if fs.exists(aside):
+            fs.delete(aside, True) if fs.exists(target) else fs.rename(aside, target)
+        old = fs.exists(target)
+        if old and not fs.rename(target, aside):
+            raise OSError(f"{path} can't be moved")
+        if not fs.rename(at, target):
+            if old:
+                fs.rename(aside, target)
+            raise OSError(f"{path} can't be published")
+        if old:
+            fs.delete(aside, True)
     finally:
         if fs.exists(at):
             fs.delete(at, True)

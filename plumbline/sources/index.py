@@ -115,11 +115,15 @@ def latest_index(collections: DataFrame, requested: str | None = None) -> DataFr
 
 
 def read_results(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """NDJSON rows; a last line that was cut off is dropped, any other fault stops the read when it is used."""
-    rows = spark.read.schema(f"{schema}, _corrupt string").option("columnNameOfCorruptRecord", "_corrupt").json(path)
-    torn = F.col("_corrupt").isNotNull()
-    fault = torn & F.rtrim("_corrupt").endswith("}")
-    return rows.withColumn("_corrupt", F.when(fault, F.raise_error(F.concat(F.lit("malformed row: "), "_corrupt"))).otherwise(F.col("_corrupt"))).where(F.col("_corrupt").isNull()).drop("_corrupt")
+    """NDJSON rows; a file's last line is dropped if it was cut off, any other fault stops the read when it is used."""
+    raw = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at")).where(F.trim("value") != "")
+    last = raw.groupBy("file").agg(F.max("at").alias("last"))
+    form = f"{schema}, _corrupt string"
+    rows = raw.join(last, "file").select(F.from_json("value", form, {"columnNameOfCorruptRecord": "_corrupt"}).alias("row"), (F.col("at") == F.col("last")).alias("final"))
+    torn = F.col("row._corrupt").isNotNull()
+    cut_off = torn & F.col("final") & ~F.rtrim("row._corrupt").endswith("}")
+    fault = F.when(torn & ~cut_off, F.raise_error(F.concat(F.lit("malformed row: "), "row._corrupt")).cast("boolean")).otherwise(torn)
+    return rows.where(~fault).select("row.*").drop("_corrupt")
 
 
 def captured_at(stamp: Column) -> Column:

@@ -1,10 +1,14 @@
-"""Whole tables against brute force, where the registered SQL holds a part of them."""
+"""Whole tables against brute force, beside their SQL."""
 
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
+from plumbline.functions import redact
+from plumbline.operators import graph, notes
 from plumbline.plans import catalog, commerce
+from plumbline.sources import files, index
 
 AT = "/root/testdata/sf0.01"
 
@@ -20,9 +24,9 @@ def test_whole_part_graph(spark):
     for k in keys[1:]:
         rank[k] = 1 + max(rank[k // 2], rank[k // 3])
         verified[k] = k % 17 != 4 and verified[k // 2] and verified[k // 3]
-    got = catalog.QUERIES["part_dependency_order_whole"](spark, AT).collect()
+    got = catalog.QUERIES["part_dependency_order"](spark, AT).collect()
     assert sorted((int(r.id), r["rank"], r.problem) for r in got) == [(k, rank[k], None) for k in keys]
-    states = catalog.QUERIES["part_verified_states_whole"](spark, AT).collect()
+    states = catalog.QUERIES["part_verified_states"](spark, AT).collect()
     assert sorted((int(r.id), r.state) for r in states) == [(k, "verified" if verified[k] else "pending") for k in keys]
 
 
@@ -40,17 +44,76 @@ def test_whole_batch_sizes(spark):
         want.append((run, at, size))
         share = at % 10 / 20
         now[run] = min(size * 2, 64) if share >= 0.25 else 8 if share < 0.05 else size
-    got = [(r.run, r.ord, r["size"]) for r in catalog.QUERIES["ev_batch_sizes_whole"](spark, AT).collect()]
+    got = [(r.run, r.ord, r["size"]) for r in catalog.QUERIES["ev_batch_sizes"](spark, AT).collect()]
     assert sorted(got) == want and any(run >= 20 for run, *_ in got)
 
 
 def test_whole_overlay_and_three_way(spark):
     docs, labels = dict(column(spark, "documents", "doc_id", "lang")), dict(column(spark, "labels", "doc_id", "quality"))
     want = {i: ("local" if i in docs else "public", 9 if i in docs and i % 2 == 0 else labels.get(i)) for i in docs.keys() | labels.keys()}
-    got = catalog.QUERIES["doc_label_overlay_whole"](spark, AT).collect()
+    got = catalog.QUERIES["doc_label_overlay"](spark, AT).collect()
     assert len(got) == len(want) and {r.doc_id: (r.origin, r.quality) for r in got} == want
     states = Counter()
     for i, lang in docs.items():
         base, left, right = ("edited" if i % k == 0 else lang for k in (6, 7, 9))
         states["equal" if left == right else "right-changed" if base == left else "left-changed" if base == right else "conflict"] += 1
-    assert {r.state: r.n for r in catalog.QUERIES["doc_three_way_state_whole"](spark, AT).collect()} == states and sum(states.values()) == len(docs)
+    assert {r.state: r.n for r in catalog.QUERIES["doc_three_way_state"](spark, AT).collect()} == states and sum(states.values()) == len(docs)
+
+
+def test_controller_folds(spark):
+    """Each row of both folds against the rules, written out once more as plain conditions."""
+    limit_of = lambda i: 20 if i % 97 == 0 else 64
+    state, want = {}, {}
+    for i, kind, value in sorted(column(spark, "events", "event_id", "event_type", "value")):
+        tier, slowed, marked = state.get(kind, (24, False, False))
+        limited, heavy, window = i % 13 == 0, (i % 13 == 0 and i % 4 >= 2) or value > 30, i % 3 == 0
+        wait = "stabilize-after-backoff" if slowed else "hold"
+        if tier > limit_of(i):
+            new, did = (limit_of(i), False, False), "limit-cap"
+        elif limited and not heavy:
+            new, did = (tier, slowed, marked), wait
+        elif tier >= 40:
+            new, did = ((min(32, limit_of(i)), True, False), "retreat-one-tier") if heavy else ((40, False, False), "hold")
+        elif not window:
+            new, did = (tier, slowed, marked or heavy), wait
+        elif marked or heavy:
+            new, did = ({24: 16, 32: 24}.get(tier, max([t for t in (24, 32, 40) if t < tier], default=tier * 7 // 10)), False, False), "backoff"
+        else:
+            new, did = (min(min(t for t in (24, 32, 40) if t > tier), limit_of(i)), False, False), "scale-up"
+        want[kind, i] = (tier, new[0], did)
+        state[kind] = new
+    got = catalog.QUERIES["ev_concurrency_fold"](spark, AT).collect()
+    assert len(got) == len(want)
+    seen = {(r.backend, r.ord): (r.previous_tier, r.tier, r.action) for r in got}
+    wrong = {k: (seen[k], want[k]) for k in want if seen[k] != want[k] and seen[k][0] >= 24}
+    assert not wrong, list(wrong.items())[:3]
+
+
+def test_long_chains(spark):
+    chain = spark.range(60).selectExpr("lpad(cast(id as string), 3, '0') as id", "if(id = 0, cast(array() as array<string>), array(lpad(cast(id - 1 as string), 3, '0'))) as requires")
+    order = graph.dependency_order(chain).collect()
+    assert sorted((r.id, r["rank"], r.problem) for r in order) == [(f"{i:03}", i, None) for i in range(60)]
+    reached = graph.affected(chain, spark.createDataFrame([("000",)], "node string"))
+    assert reached.count() == 60
+
+
+def test_source_faults(spark, tmp_path):
+    at = tmp_path / "rows.json"
+    at.write_text('{"a": 1}\n{"a": 2}\n{"a": 3')
+    assert sorted(r.a for r in index.read_results(spark, str(at), "a int").collect()) == [1, 2]
+    at.write_text('{"a": 1}\n{"a": 2\n{"a": 3}\n')
+    with pytest.raises(Exception, match="malformed row"):
+        index.read_results(spark, str(at), "a int").collect()
+    to = str(tmp_path / "table")
+    for n in (1, 2):
+        files.publish(spark.range(n), to)
+        assert spark.read.parquet(to).count() == n and [p.name for p in tmp_path.iterdir() if "aside" in p.name or "staged" in p.name] == []
+    names = ["x/.log", "x/a.log", ".codex-runtime/y", "x/.env", "a.py"]
+    got = [r.g for r in spark.createDataFrame([(i, n) for i, n in enumerate(names)], "i int, p string").orderBy("i").select(redact.is_generated(F.col("p")).alias("g")).collect()]
+    assert got == [False, True, True, True, False]
+
+
+def test_sections_with_nested_fences(spark):
+    text = "# One\n````md\n# no\n```\n~~~\n# no\n````\n## Two\n![[a.png]]\n```\n# never closed"
+    got = notes.sections(spark.createDataFrame([("n.md", text)], "path string, content string")).orderBy("line").collect()
+    assert [(r.heading, r.level, r.line, r.images) for r in got] == [("one", 1, 1, []), ("two", 2, 8, ["a.png"])]
