@@ -6,7 +6,8 @@ with, parentheses) by a shunting-yard parser, whose tree names the licenses and
 
 Defined cases: a null text counts as empty; it has no words, no labels and score 0. Empty tables give empty tables;
 repeated rows and null row ids are scanned like any other row; further columns are ignored. A malformed expression
-yields the licenses named before the fault. Every place counts, overlapping ones too.
+yields the licenses named before the fault. What follows a tag but is no identifier of KNOWN gives no label. Every place
+counts, overlapping ones too.
 """
 
 from __future__ import annotations
@@ -50,8 +51,16 @@ BASE_SURE, TAG_SURE = 1.0, 1.0
 #: License families that allow reuse with no more than a notice.
 PERMISSIVE = ("mit", "apache", "bsd", "isc", "zlib", "cc0", "cc-by-4", "cc-by-3", "unlicense", "bsl")
 
+#: What counts as an identifier after a tag, as families with their versions; other words after a tag are no label.
+KNOWN = re.compile(
+    r"(?:mit(?:-0)?|isc|zlib|unlicense|0bsd|wtfpl|x11|ncsa|postgresql|json|openssl|ruby|vim|cc0-1\.0|licenseref-[a-z0-9.-]+"
+    r"|(?:apache|artistic|bsl|cddl|cecill|ecl|epl|eupl|afl|osl|ms-pl|mpl|python|php|psf|ofl|odbl|sspl|busl|ipl|upl|zpl)-[0-9]+(?:\.[0-9]+)*(?:-[a-z0-9-]+)?"
+    r"|(?:l|a)?gpl-[0-9](?:\.[0-9])?(?:-only|-or-later|\+)?|gfdl-1\.[0-9](?:-[a-z-]+)?|bsd-[0-9]-clause(?:-[a-z0-9-]+)?|cc-by(?:-[a-z]{2})*-[0-9](?:\.[0-9])?(?:-[a-z]+)?)"
+    r"(?:-with-[a-z0-9.-]*exception[a-z0-9.-]*)?"
+)
+
 BREAKS = bytes(c if c >= 0x80 or chr(c).isalnum() else 0x20 for c in range(256)).lower()
-AFTER_TAG = re.compile(r"SPDX-License-Identifier\s*:?[ \t]*", re.I)
+AFTER_TAG = re.compile(r"SPDX-License-Identifier[ \t]*:?[ \t]*", re.I)
 TOKEN = re.compile(r"[ \t]*(\(|\)|[A-Za-z0-9][A-Za-z0-9.+:-]*)")
 RANK = {"or": 1, "and": 2, "with": 3}
 
@@ -167,9 +176,9 @@ class Scanner:
         if tagged:
             for found in AFTER_TAG.finditer(text):
                 tree = parse_expression(text, found.end())
-                for name in licenses_in(tree):
-                    labels[name] = TAG_SURE
-                if tree is not None:
+                names = list(filter(KNOWN.fullmatch, licenses_in(tree)))
+                labels |= dict.fromkeys(names, TAG_SURE)
+                if names:
                     allowed.append(is_permissive(tree))
         return len(words), base, labels, allowed
 

@@ -41,6 +41,22 @@ def test_precedence():
     assert L.parse_expression("(a or b) and c with d") == ("and", ("or", "a", "b"), ("with", "c", "d"))
 
 
+@pytest.mark.parametrize(
+    ("text", "labels", "allowed"),
+    [
+        ("SPDX-License-Identifier: see below", [], []),
+        ("SPDX-License-Identifier:\nMIT", [], []),
+        ("spdx-license-identifier: (MIT OR GPL-3.0-or-later) and see", ["gpl-3.0-or-later", "mit"], [False]),
+        ("SPDX-License-Identifier: GPL-2.0-only WITH Classpath-exception-2.0", ["gpl-2.0-only-with-classpath-exception-2.0"], [False]),
+        ("the Mozilla Public License. SPDX-License-Identifier: BSD-3-Clause", ["bsd-3-clause", "mpl"], [True]),
+        ("under the Apache License, version 2 or CC BY SA", ["apache-2", "cc-by-sa"], []),
+    ],
+)
+def test_labels(text, labels, allowed):
+    _, _, found, permissive = L.Scanner().scan(text)
+    assert (sorted(found), permissive) == (labels, allowed)
+
+
 def test_words_break_at_ascii_only():
     assert L.words_of("Ünder THE mit-License_2 né x") == ["Ünder".encode(), b"the", b"mit", b"license", b"2", "né x".encode()]
 
