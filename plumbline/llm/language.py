@@ -8,8 +8,8 @@ Bounds of the sample, the only part fitted on less than all rows: sample_rows te
 hash, and dictionary_bytes of content a language.
 
 Defined cases: a null text or one without a letter is `und` with score 0, and rejected. Ties go to the language first
-in code-point order. Without labelled rows every text is `und`. Null labels, null ids and null texts teach nothing;
-copies of a text teach once. Empty tables give empty tables; repeated rows are judged alike; further columns are ignored.
+in code-point order. Without labelled rows every text is `und`. Null labels and null texts teach nothing; null ids teach,
+as they are not held out; copies of a text teach once. Empty tables give empty tables; repeated rows are judged alike; further columns are ignored.
 """
 
 from __future__ import annotations

@@ -1,6 +1,10 @@
 import random
+import re
 import zlib
 
+import xxhash
+import zstandard
+
 from plumbline.llm import language as L
 
 WORDS = {"en": "the and of with that this which ring ening there", "de": "der die und schaft lich keit ung einer nicht", "fr": "le la et une eau eux ment que dans pour"}
@@ -56,3 +60,33 @@ def test_whole_texts_teach(spark):
     learnt = L.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
     assert b"ring and there" in learnt["en"] and len(learnt["en"]) <= L.DICTIONARY_BYTES
     assert L.filled([b"ab ", b"x" * 50 + b"y" * 50], 43) == b"ab " + b"x" * 20 + b"y" * 20
+
+
+def brute(rows):
+    """(id, text, lang) rows: id, language and score of each by the module's definition, without Spark."""
+    plain = lambda text: " ".join(re.findall(r"[^\W\d_]+", text.lower())).encode()
+    taught = {}
+    for i, text, lang in rows:
+        if lang is not None and text is not None and re.search(r"[^\W\d_]", text) and zlib.crc32(str(i).encode()) % 4 != 2:
+            at = xxhash.xxh64_intdigest(text.encode(), seed=42)
+            taught.setdefault(lang, {})[at - (at >> 63 << 64)] = text
+    coders = {}
+    for lang, texts in taught.items():
+        content = L.filled([plain(texts[h]) + b" " for h in sorted(texts)[: L.SAMPLE_ROWS]], L.DICTIONARY_BYTES)
+        words = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        words.precompute_compress(level=L.LEVEL)
+        coders[lang] = zstandard.ZstdCompressor(level=L.LEVEL, dict_data=words, write_content_size=False)
+    for i, text, _ in rows:
+        kept = plain(text or "")
+        if not kept:
+            yield i, "und", 0.0
+            continue
+        sizes = sorted((sum(len(c.compress(kept[a : a + L.CHUNK_BYTES])) for a in range(0, len(kept), L.CHUNK_BYTES)), lang) for lang, c in coders.items())
+        yield i, sizes[0][1], (sizes[1][0] - sizes[0][0]) / sizes[1][0]
+
+
+def test_query_matches_brute_force(spark):
+    at = "/root/testdata/sf0.01"
+    rows = [tuple(r) for r in spark.read.parquet(f"{at}/documents.parquet").select("doc_id", "text", "lang").collect()]
+    got = sorted((r.doc_id, r.lang_pred, round(r.score, 9)) for r in L.query(spark, at).collect())
+    assert got == sorted((i, lang, round(score, 9)) for i, lang, score in brute(rows))
