@@ -16,7 +16,8 @@ Pairs are confirmed where a hub's set meets the members' one after the other; a
 tasks. Components come from alternating large-star and small-star steps. Steps are written to the shared folder.
 
 Defined cases: texts without words, or null, have no set and link with nothing. Rows that repeat an id count as one
-document with links of both. Rows without id link with nothing and are not kept. Empty tables give empty tables; other
+document with links of both. Rows without id link with nothing; they have no component, and
+drop_near_duplicates() leaves them. Empty tables give empty tables; other
 columns are ignored, or passed on by drop_near_duplicates().
 """
 
@@ -267,9 +268,10 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
 
 def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
-    """The rows that are kept, with the input's columns."""
+    """The rows that are kept, and those without id, with the input's columns."""
     kept = near_duplicates(docs, id_col=id_col, text_col=text_col, percent=percent).where("kept").select(F.col("row_id").alias(id_col)).distinct()
-    return docs.join(kept, id_col, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    named = docs.join(kept, id_col, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return named.unionByName(docs.where(F.col(id_col).isNull()))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -69,7 +69,8 @@ def test_odd_rows(spark):
     docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, component_id int")
     assert M.near_duplicates(docs.limit(0)).count() == 0
     kept = M.drop_near_duplicates(docs)
-    assert kept.columns == docs.columns and sorted({r.doc_id for r in kept.collect()}) == [5, 6, 7, 8, 10, 11, 13]
+    left = [r.doc_id for r in kept.collect()]
+    assert kept.columns == docs.columns and left.count(None) == 1 and sorted({i for i in left if i is not None}) == [5, 6, 7, 8, 10, 11, 13]
 
 
 def test_chains_and_large_groups(spark, vocabulary):
