@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import Scratch, free_names, row_key, table
+from plumbline.llm.common import Scratch, row_key, table
 from plumbline.llm.spans import listed, matches, redacted
 from plumbline.llm.sqltext import matches as sql_matches
 
@@ -61,20 +61,29 @@ def _words(text_col: str) -> Column:
     return F.array_distinct(F.transform(F.regexp_extract_all(text_col, F.lit(TERM), 0), lambda w: F.xxhash64(F.lower(w))))
 
 
-def hidden_terms(spans: DataFrame, docs: DataFrame, scratch: Scratch, *, id_col: str, text_col: str, support: int, disclosure: float) -> DataFrame:
+def _with_spans(rows: DataFrame, text: Column, *columns) -> DataFrame:
+    """columns, the spans of each kind, and the hashes of all terms, null for rows without a span."""
+    found = rows.select(*columns, text.alias("__text"), *[s.alias(kind) for kind, s in base_spans(text).items()])
+    some = F.size(F.concat(*KINDS)) > 0
+    return found.withColumn("words", F.when(some, _words("__text"))).withColumn("__text", F.when(some, F.col("__text"))).withColumnRenamed("__text", "text")
+
+
+def hidden_terms(spans: DataFrame, docs: DataFrame, scratch: Scratch, *, text_col: str, support: int, disclosure: float) -> DataFrame:
     """row_key and hidden: the hashes of each document's terms that reveal too much of an entity it holds, counted by document.
 
+    spans: row_key, the spans of each kind and words, of the rows that hold an entity, so that no other text is moved.
     ln(N / n_term) is never less than the PMI, so terms too frequent for every entity of a document are not paired.
     """
     n = float(docs.count())
-    known = spans.select("row_key", F.array_distinct(F.concat(*map(_entities, KINDS))).alias("entities")).where(F.size("entities") > 0)
-    each = known.groupBy("row_key").agg(F.first("entities").alias("entities"), F.count(F.lit(1)).alias("copies")).select("row_key", "copies", F.explode("entities").alias("entity"))
+    own = spans.groupBy("row_key").agg(F.first(F.array_distinct(F.concat(*map(_entities, KINDS)))).alias("entities"), F.first("words").alias("words"), F.count(F.lit(1)).alias("copies"))
+    own = scratch.keep(own, "own")
+    each = own.select("row_key", "copies", F.explode("entities").alias("entity"))
     entities = each.groupBy("entity").agg(F.sum("copies").alias("n_entity")).where((F.col("n_entity") >= support) & (F.col("n_entity") < n))
     held = scratch.keep(each.join(entities, "entity"), "held")
     least = lambda c: F.lit(disclosure) * F.ln(F.lit(n) / F.col(c)) - 1e-9
     top = held.groupBy("row_key").agg(F.max("n_entity").alias("top"))
     counts = docs.select(F.explode(_words(text_col)).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_term")).where(F.col("n_term") >= support)
-    words = docs.select(row_key(id_col, text_col).alias("row_key"), F.col(text_col).alias("text")).join(top, "row_key").dropDuplicates(["row_key"]).select("row_key", "top", F.explode(_words("text")).alias("term"))
+    words = own.join(top, "row_key").select("row_key", "top", F.explode("words").alias("term"))
     rare = words.join(counts, "term").where(F.ln(F.lit(n) / F.col("n_term")) >= least("top")).select("row_key", "term", "n_term")
     pairs = scratch.keep(rare.join(held, "row_key").where(F.ln(F.lit(n) / F.col("n_term")) >= least("n_entity")), "pairs")
     both = pairs.groupBy("entity", "term").agg(F.sum("copies").alias("n_both"), F.first("n_term").alias("n_term"), F.first("n_entity").alias("n_entity")).where(F.col("n_both") >= support)
@@ -97,46 +106,38 @@ def _places(text: Column, hidden: Column) -> Column:
     return F.aggregate(pairs, start, step, lambda acc: acc["spans"])
 
 
-def _term_places(rows: DataFrame, hidden: DataFrame) -> DataFrame:
-    """row_key and terms: the places of hidden terms outside of base spans. rows: row_key, text and the spans of each kind."""
-    outside = lambda t: ~F.exists(F.concat(*KINDS), lambda s: (t["start"] < s["end"]) & (s["start"] < t["end"]))
-    return rows.join(hidden, "row_key").dropDuplicates(["row_key"]).select("row_key", F.filter(_places(F.col("text"), F.col("hidden")), outside).alias("terms"))
-
-
 def find_personal_data(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
     """row_id, row_key, the spans of each kind (start, end, hit) and terms: the places of revealing terms, by start."""
     scratch = Scratch(docs.sparkSession, "pii")
-    rows = docs.select(F.col(id_col).alias("row_id"), row_key(id_col, text_col).alias("row_key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    found = scratch.keep(rows.select("row_id", "row_key", *[s.alias(kind) for kind, s in base_spans(F.col("text")).items()]), "found")
-    some = found.where(F.size(F.concat(*KINDS)) > 0)
-    hidden = scratch.keep(hidden_terms(some, docs, scratch, id_col=id_col, text_col=text_col, support=support, disclosure=disclosure), "hidden")
-    texts = rows.select("row_key", "text").join(hidden.select("row_key"), "row_key", "left_semi")
-    terms = scratch.keep(_term_places(texts.join(some.drop("row_id").dropDuplicates(["row_key"]), "row_key"), hidden), "terms")
+    found = scratch.keep(_with_spans(docs, F.coalesce(F.col(text_col), F.lit("")), F.col(id_col).alias("row_id"), row_key(id_col, text_col).alias("row_key")), "found")
+    some = found.where("words is not null")
+    hidden = scratch.keep(hidden_terms(some, docs, scratch, text_col=text_col, support=support, disclosure=disclosure), "hidden")
+    outside = lambda t: ~F.exists(F.concat(*KINDS), lambda s: (t["start"] < s["end"]) & (s["start"] < t["end"]))
+    places = F.filter(_places(F.col("text"), F.col("hidden")), outside).alias("terms")
+    terms = scratch.keep(some.join(hidden, "row_key").dropDuplicates(["row_key"]).select("row_key", places), "terms")
     scratch.drop_all_but("found", "terms")
-    return found.join(terms, "row_key", "left").select("row_id", "row_key", *KINDS, F.coalesce("terms", F.array().cast(PLACES)).alias("terms"))
+    return found.select("row_id", "row_key", *KINDS).join(terms, "row_key", "left").select("row_id", "row_key", *KINDS, F.coalesce("terms", F.array().cast(PLACES)).alias("terms"))
 
 
 def sanitise(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
     """The input's rows and columns; in texts each base span is replaced by its kind in brackets, and a revealing term by [term].
 
-    Only rows with a span carry them through the join; the others' texts stay as they are.
+    Rows without a span are passed on as they are; only the others are written, and meet their hidden terms in a join.
     """
     scratch = Scratch(docs.sparkSession, "sanitise")
-    key, spans_of, hidden_of = free_names(docs, "row_key", "spans", "hidden")
-    rows = docs.select(row_key(id_col, text_col).alias("row_key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    found = rows.select("row_key", *[s.alias(kind) for kind, s in base_spans(F.col("text")).items()])
-    spans = scratch.keep(found.where(F.size(F.concat(*KINDS)) > 0), "spans")
-    hidden = hidden_terms(spans, docs, scratch, id_col=id_col, text_col=text_col, support=support, disclosure=disclosure)
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole_row")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    touched = scratch.keep(_with_spans(docs, text, row_key(id_col, text_col).alias("row_key"), whole).where("words is not null"), "touched")
+    hidden = scratch.keep(hidden_terms(touched, docs, scratch, text_col=text_col, support=support, disclosure=disclosure), "hidden")
+    scratch.drop_all_but("touched", "hidden")
     put = lambda kind, spans: F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(f"[{kind}]").alias("put")))
-    based = spans.dropDuplicates(["row_key"]).join(hidden, "row_key", "left").select(F.col("row_key").alias(key), F.concat(*[put(k, k) for k in KINDS]).alias(spans_of), F.col("hidden").alias(hidden_of))
-    based = scratch.keep(based, "based")
-    scratch.drop_all_but("based")
-    joined = docs.withColumn(key, row_key(id_col, text_col)).join(based, key, "left")
-    outside = lambda t: ~F.exists(spans_of, lambda s: (t["start"] < s["end"]) & (s["start"] < t["end"]))
-    terms = F.when(F.col(hidden_of).isNotNull(), put("term", F.filter(_places(F.col(text_col), F.col(hidden_of)), outside)))
-    every = F.sort_array(F.concat(spans_of, F.coalesce(terms, F.array().cast("array<struct<start:bigint,end:bigint,put:string>>"))))
-    text = F.when(F.col(spans_of).isNotNull(), redacted(F.col(text_col), every)).otherwise(F.col(text_col))
-    return joined.select(*[text.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
+    base = F.concat(*[put(k, k) for k in KINDS])
+    outside = lambda t: ~F.exists(F.concat(*KINDS), lambda s: (t["start"] < s["end"]) & (s["start"] < t["end"]))
+    terms = F.when(F.col("hidden").isNotNull(), put("term", F.filter(_places(F.col("text"), F.col("hidden")), outside)))
+    every = F.sort_array(F.concat(base, F.coalesce(terms, F.array().cast("array<struct<start:bigint,end:bigint,put:string>>"))))
+    cleaned = touched.join(hidden, "row_key", "left").select("whole_row", redacted(F.col("text"), every).alias("text"))
+    cleaned = cleaned.select(*[F.col("text").alias(c) if c == text_col else F.col(f"whole_row.`{c}`").alias(c) for c in docs.columns])
+    return docs.where(F.size(F.concat(*base_spans(text).values())) == 0).unionByName(cleaned)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
