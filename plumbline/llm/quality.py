@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import WORD, Scratch, free_names, lower_ascii, table
+from plumbline.llm.common import WORD, Scratch, free_names, lower_ascii, row_key, table
 
 #: A line is boilerplate on more documents of a host than MIN_DOCS and than HOST_SHARE of the host's documents,
 #: or on more than MOST_DOCS of them.
