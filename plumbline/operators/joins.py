@@ -61,12 +61,33 @@ def classify_after_write(before: DataFrame, after: DataFrame, id_col: str = "id"
     return new.join(F.broadcast(totals.select(outcome.alias("outcome"))))
 
 
-def contained_passages(docs: DataFrame, passages: DataFrame) -> DataFrame:
+#: Lengths of the starts of strings that are looked for; 0 is for empty ones, which every text holds.
+STARTS = (0, 1, 2, 4, 8)
+
+
+def holding(rows: DataFrame, strings: DataFrame, row_id: str, text: str, string_id: str, string: str) -> DataFrame:
+    """row and string ids where a row's text holds a string, any number of strings: no row meets every string.
+
+    A string's start, as long as STARTS has it, meets the pieces of that length of the texts; what meets is confirmed.
+    """
+    size = F.greatest(*[F.when(F.length(string) >= n, n).otherwise(0) for n in STARTS[1:]], F.lit(0))
+    wanted = strings.where(F.col(string).isNotNull()).select(string_id, string, size.alias("size")).withColumn("start", F.substring(F.col(string), F.lit(1), F.col("size")))
+    used = sorted(r["size"] for r in wanted.select("size").distinct().collect())
+    chars = rows.where(F.col(text).isNotNull()).select(row_id, F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0)).alias("chars"))
+    count = F.size("chars")
+    cut = lambda n: F.transform(F.when(count >= n, F.sequence(F.lit(1), count - n + 1)).otherwise(F.array().cast("array<int>")), lambda i: F.array_join(F.slice("chars", i, F.lit(n)), ""))
+    pieces = F.flatten(F.array(F.array().cast("array<string>"), *[cut(n) if n else F.array(F.lit("")) for n in used]))
+    near = chars.select(row_id, F.explode(F.array_distinct(pieces)).alias("start")).join(wanted.select("start", string_id), "start").select(row_id, string_id).distinct()
+    whole = near.join(rows.select(row_id, text), row_id).join(wanted.select(string_id, string), string_id)
+    return whole.where(F.contains(F.col(text), F.col(string))).select(row_id, string_id)
+
+
+def contained_passages(docs: DataFrame, passages: DataFrame, few: int = 100) -> DataFrame:
     """doc_id and item_id where a document holds a passage's text, by hashed words: no document meets every passage.
 
     Three words inside a passage, spaces around them, stand whole in any text that holds it: their hash meets those of the
-    documents' word triples, and what meets is confirmed on the texts. Passages of fewer words are looked for as they
-    are, in a broadcast once they are few.
+    documents' word triples, and what meets is confirmed on the texts. Up to `few` passages of fewer words are
+    looked for in a broadcast; more of them meet the texts by the characters they start with.
     """
     triple = lambda words, i: F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2))
     items = passages.select("item_id", F.col("text").alias("passage"), F.split("text", " ").alias("words"))
@@ -78,9 +99,9 @@ def contained_passages(docs: DataFrame, passages: DataFrame) -> DataFrame:
     short = items.where(F.size("words") < 5).select("item_id", "passage")
     if short.limit(1).count() == 0:
         return found
-    if short.limit(10_001).count() > 10_000:
-        raise ValueError("more than 10000 passages have fewer than five words")
-    return found.unionByName(docs.join(F.broadcast(short), F.contains("text", F.col("passage"))).select("doc_id", "item_id"))
+    if short.limit(few + 1).count() <= few:
+        return found.unionByName(docs.join(F.broadcast(short), F.contains("text", F.col("passage"))).select("doc_id", "item_id"))
+    return found.unionByName(holding(docs, short, "doc_id", "text", "item_id", "passage"))
 
 
 def set_counts(a: DataFrame, b: DataFrame) -> DataFrame:

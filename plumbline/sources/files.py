@@ -179,7 +179,7 @@ def run_adapter(name: str, payload: DataFrame) -> DataFrame:
 
 def card_sections(cards: DataFrame) -> DataFrame:
     """logical_id and metadata (map) of each section of cards (path, content): a heading `## id` and a JSON comment under it."""
-    parts = cards.select("path", F.explode(F.slice(F.split("content", r"(?m)^##\s+"), 2, 100_000)).alias("part"))
+    parts = cards.select("path", F.explode(F.filter(F.split("content", r"(?m)^##\s+"), lambda _, at: at > 0)).alias("part"))
     body = F.regexp_extract("part", r"(?s)<!--\s*(\{.*?\})\s*-->", 1)
     return parts.select("path", stripped(F.regexp_extract("part", r"^([^\r\n]*)", 1)).alias("logical_id"), F.from_json(F.nullif(body, F.lit("")), "map<string,string>").alias("metadata"))
 
