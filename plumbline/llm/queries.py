@@ -1,8 +1,8 @@
-"""The ten corpus queries, each over its whole table, and the SQL of those that SQL can express."""
+"""The corpus queries, each over its whole table, and the SQL of those that SQL can express."""
 
 from __future__ import annotations
 
-from plumbline.llm import bpe, language, licenses, minhash, mixing, neighbours, passages, pii, quality, secrets
+from plumbline.llm import bpe, fingerprints, language, licenses, minhash, mixing, neighbours, passages, pii, quality, secrets
 
 QUERIES = {
     "op1_minhash_near_dedup": minhash.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_multiprobe_neighbours": neighbours.query,
     "op9_line_quality": quality.query,
     "op10_pareto_mixing": mixing.query,
+    "op11_weighted_fingerprints": fingerprints.query,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -24,4 +25,5 @@ ORACLE_SQL: dict[str, str] = {
     "op7_secret_scan": secrets.ORACLE_SQL,
     "op9_line_quality": quality.ORACLE_SQL,
     "op10_pareto_mixing": mixing.ORACLE_SQL,
+    "op11_weighted_fingerprints": fingerprints.ORACLE_SQL,
 }
