@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from plumbline.llm import bpe, fingerprints, language, licenses, minhash, mixing, neighbours, passages, pii, quality, secrets
+from plumbline.llm import bpe, divergence, fingerprints, language, licenses, minhash, mixing, neighbours, passages, pii, quality, secrets
 
 QUERIES = {
     "op1_minhash_near_dedup": minhash.query,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_line_quality": quality.query,
     "op10_pareto_mixing": mixing.query,
     "op11_weighted_fingerprints": fingerprints.query,
+    "op12_source_divergence": divergence.query,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -26,4 +27,5 @@ ORACLE_SQL: dict[str, str] = {
     "op9_line_quality": quality.ORACLE_SQL,
     "op10_pareto_mixing": mixing.ORACLE_SQL,
     "op11_weighted_fingerprints": fingerprints.ORACLE_SQL,
+    "op12_source_divergence": divergence.ORACLE_SQL,
 }
