@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from plumbline.llm import bpe, divergence, fingerprints, language, licenses, minhash, mixing, neighbours, passages, pii, quality, secrets
+from plumbline.llm import bpe, divergence, fingerprints, language, licenses, minhash, mixing, neighbours, passages, pii, quality, secrets, whitening
 
 QUERIES = {
     "op1_minhash_near_dedup": minhash.query,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_pareto_mixing": mixing.query,
     "op11_weighted_fingerprints": fingerprints.query,
     "op12_source_divergence": divergence.query,
+    "op13_embedding_whitening": whitening.query,
 }
 
 ORACLE_SQL: dict[str, str] = {
