@@ -122,23 +122,36 @@ def parse_expression(text: str, start: int = 0):
 
 
 def licenses_in(tree) -> list[str]:
-    """The ids of an expression; an exception is kept with what it is granted to."""
-    if tree is None or isinstance(tree, str):
-        return [tree] if tree else []
-    op, left, right = tree
-    if op == "with":
-        return [f"{left}-with-{right}"] if isinstance(left, str) and isinstance(right, str) else licenses_in(left)
-    return licenses_in(left) + licenses_in(right)
+    """The ids of an expression, from left to right; an exception is kept with what it is granted to."""
+    out, waiting = [], [tree]
+    while waiting:
+        tree = waiting.pop()
+        if tree is None or isinstance(tree, str):
+            out += [tree] if tree else []
+        elif tree[0] != "with":
+            waiting += [tree[2], tree[1]]
+        elif isinstance(tree[1], str) and isinstance(tree[2], str):
+            out.append(f"{tree[1]}-with-{tree[2]}")
+        else:
+            waiting.append(tree[1])
+    return out
 
 
 def is_permissive(tree) -> bool:
     """Whether some way to meet the expression uses permissive licenses only."""
-    if tree is None or isinstance(tree, str):
-        return bool(tree) and tree.startswith(PERMISSIVE)
-    op, left, right = tree
-    if op == "with":
-        return is_permissive(left)
-    return (any if op == "or" else all)((is_permissive(left), is_permissive(right)))
+    known, waiting = [], [(tree, False)]
+    while waiting:
+        tree, sides_known = waiting.pop()
+        if tree is None or isinstance(tree, str):
+            known.append(bool(tree) and tree.startswith(PERMISSIVE))
+        elif tree[0] == "with":
+            waiting.append((tree[1], False))
+        elif not sides_known:
+            waiting += [(tree, True), (tree[2], False), (tree[1], False)]
+        else:
+            right, left = known.pop(), known.pop()
+            known.append(left or right if tree[0] == "or" else left and right)
+    return known[0]
 
 
 class Scanner:

@@ -57,6 +57,17 @@ def test_labels(text, labels, allowed):
     assert (sorted(found), permissive) == (labels, allowed)
 
 
+@pytest.mark.parametrize("op", ["AND", "OR", "WITH"])
+def test_expressions_of_any_length(op):
+    """Left-deep and right-deep trees of many thousand operands."""
+    names = [f"x{i}" for i in range(20_000)]
+    for text in (f" {op} ".join(names), f" {op} (".join(names) + ")" * 19_999):
+        tree = L.parse_expression(text)
+        assert L.is_permissive(tree) is False and (L.licenses_in(tree) == names if op != "WITH" else L.licenses_in(tree)[0].startswith("x0"))
+    assert L.is_permissive(L.parse_expression(" AND ".join(["MIT"] * 5000))) and L.is_permissive(L.parse_expression(" OR ".join(names + ["MIT"])))
+    assert L.Scanner().scan("SPDX-License-Identifier: " + f" {op} ".join(["MIT"] * 5000))[0] == 5003 + 4999
+
+
 def test_words_break_at_ascii_only():
     assert L.words_of("Ünder THE mit-License_2 né x") == ["Ünder".encode(), b"the", b"mit", b"license", b"2", "né x".encode()]
 
