@@ -16,7 +16,7 @@ Pairs are confirmed where a hub's set meets the members' one after the other; a
 tasks. Components come from alternating large-star and small-star steps. Steps are written to the shared folder.
 
 Defined cases: texts without words, or null, have no set and link with nothing. Rows that repeat an id count as one
-document with links of both. Rows without id link with nothing; they have no component, and
+document with links of both: while links are sought, each of its texts has a name of its own (64 bits of id and text). Rows without id link with nothing; they have no component, and
 drop_near_duplicates() leaves them. Empty tables give empty tables; other
 columns are ignored, or passed on by drop_near_duplicates().
 """
@@ -223,12 +223,31 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """row_id, n_shingles, component_id and kept of each row."""
     scratch = Scratch(docs.sparkSession, "minhash")
     rows = scratch.keep(sketches(docs, id_col, text_col), "rows")
+    twice = rows.where("row_id is not null and k1 is not null").groupBy("row_id").agg(F.min("k1").alias("lo"), F.max("k1").alias("hi")).where("lo != hi")
+    if twice.isEmpty():
+        return _linked(docs, rows, id_col, text_col, percent, scratch)
+    named = docs.select(F.col(id_col).cast("long").alias("row_id"), F.col(text_col).cast("string").alias("text")).join(twice, "row_id", "left")
+    named = scratch.keep(named.select("row_id", "text", F.when(F.col("lo").isNotNull(), F.xxhash64("row_id", "text")).otherwise(F.col("row_id")).alias("name")), "named")
+    apart = Scratch(docs.sparkSession, "minhash-names")
+    found = scratch.keep(_linked(named, apart.keep(sketches(named, "name", "text"), "rows"), "name", "text", percent, apart).withColumnRenamed("row_id", "name"), "found")
+    names = named.where("row_id is not null").select("row_id", "name").distinct()
+    placed = scratch.keep(names.join(found.select("name", "component_id").distinct(), "name"), "placed")
+    least = placed.groupBy("row_id").agg(F.min("component_id").alias("b"))
+    united = components(placed.join(least, "row_id").select(F.col("component_id").alias("a"), "b"), scratch, "names")
+    placed = placed.join(united, F.col("component_id") == F.col("node"), "left").select("row_id", "name", F.coalesce("component", "component_id").alias("component"))
+    heads = placed.groupBy("component").agg(F.min("row_id").alias("head"))
+    ends = placed.join(heads, "component").select("row_id", "name", "head")
+    told = found.select("name", F.col("n_shingles")).join(ends, "name", "left")
+    return told.select("row_id", "n_shingles", F.col("head").alias("component_id"), F.coalesce(F.col("row_id") == F.col("head"), F.lit(False)).alias("kept"))
+
+
+def _linked(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str, percent: int, scratch: Scratch) -> DataFrame:
+    """near_duplicates() of rows whose ids are not repeated with other sets; rows: their sketches."""
     sized = rows.where("row_id is not null and k1 is not null")
     copies = scratch.keep(sized.groupBy("k1", "k2").agg(F.min("row_id").alias("node")), "copies")
     nodes = sized.join(copies.select(F.col("node").alias("row_id")), "row_id", "left_semi").select(F.col("row_id").alias("node"), "keys")
     members = scratch.keep(table_members(nodes), "members")
     sets = scratch.keep(full_sets(docs.where(F.col(id_col).isNotNull()), members, id_col, text_col), "sets")
-    same = sized.join(copies, ["k1", "k2"]).where("row_id != node").select(F.col("row_id").alias("a"), F.col("node").alias("b"))
 
     hubs = members.groupBy("key").agg(F.min("node").alias("hub"))
     pairs = members.join(hubs, "key").where("hub != node").select("hub", F.col("node").alias("member")).distinct()
@@ -255,11 +274,6 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
             continue
         edges = found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more.where("linked").select(F.col("member").alias("a"), F.col("hub").alias("b")))
         found = components(edges, scratch, f"round-{turn}")
-    # Rows whose id is repeated with different sets are one document, so copies are edges too.
-    twice = sized.groupBy("row_id").agg(F.min("k1").alias("lo"), F.max("k1").alias("hi")).where("lo != hi").select("row_id")
-    if not twice.isEmpty():
-        edges = found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(same.distinct())
-        found = components(edges, scratch, "ids")
     found = scratch.keep(found, "components")
     scratch.drop_all_but("rows", "copies", "components")
     of_set = rows.join(copies, ["k1", "k2"], "left").withColumn("node", F.when(F.col("row_id").isNotNull(), F.coalesce("node", "row_id")))

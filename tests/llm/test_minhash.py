@@ -73,6 +73,14 @@ def test_odd_rows(spark):
     assert kept.columns == docs.columns and left.count(None) == 1 and sorted({i for i in left if i is not None}) == [5, 6, 7, 8, 10, 11, 13]
 
 
+def test_repeated_ids_carry_the_links_of_each_text(spark, vocabulary):
+    rng = random.Random(9)
+    a, b, c = (" ".join(rng.choices(vocabulary, k=60)) for _ in range(3))
+    rows = [(1, a), (1, b), (2, a + " x"), (3, b + " y"), (4, c), (7, c + " z"), (7, b + " q"), (8, None), (8, a + " w"), (9, ""), (None, a), (None, b), (20, "p q r s t u v"), (20, "p q r s t u v")]
+    assert got(spark, rows) == brute(rows)
+    assert {r[2] for r in got(spark, rows) if r[0] in (1, 2, 3, 4, 7, 8)} == {1}
+
+
 def test_chains_and_large_groups(spark, vocabulary):
     rng = random.Random(4)
     rows = [(i, " ".join(rng.choices(vocabulary, k=rng.choice([3, 6, 80, 200])))) for i in range(150)]
