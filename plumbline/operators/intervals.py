@@ -1,10 +1,12 @@
-"""Intervals: unions, islands and concurrency, each by one sorted pass a group."""
+"""Intervals: unions and islands by one sorted pass a group, concurrency by a two-level scan."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.operators import scan
+
 
 def islands(rows: DataFrame, group: str, start: str = "start", end: str = "end") -> DataFrame:
     """group, start and end of maximal covered stretches; touching intervals are one."""
@@ -23,8 +25,7 @@ def covered(rows: DataFrame, group: str, start: str = "start", end: str = "end")
 def peak(rows: DataFrame, group: str, start: str = "start", end: str = "end") -> DataFrame:
     """The most intervals that are open at once; at one instant ends come before starts."""
     edges = rows.select(group, F.col(start).alias("t"), F.lit(1).alias("delta")).unionByName(rows.select(group, F.col(end).alias("t"), F.lit(-1).alias("delta")))
-    open_ = F.sum("delta").over(Window.partitionBy(group).orderBy("t", "delta").rowsBetween(Window.unboundedPreceding, 0))
-    return edges.withColumn("open", open_).groupBy(group).agg(F.greatest(F.max("open"), F.lit(0)).alias("peak"))
+    return scan.peak_of(edges, group, ["t", "delta"], "delta")
 
 
 def overlapping_pairs(left: DataFrame, right: DataFrame, group: str, width: float) -> DataFrame:

@@ -1,15 +1,20 @@
 """Time series: rolling means, Wilder RSI, KDJ, cumulative checks, rates and down-sampling.
 
-Rows have a series and an order column. Plain frames are windows; recursive indicators fold the ordered values of a
-series once, as their state needs all earlier rows. A series is one group: it should be of bars, not of ticks; bars()
-makes them, by partial aggregates.
+Rows have a series and an order column. Plain frames are windows; recursive indicators fold the sorted rows of a series as
+a stream, as their state needs all earlier rows; numbers, neighbours and trailing sums are two-level scans, so that a hot
+series is many tasks. bars() makes bars of ticks, by partial aggregates.
 """
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.operators import scan
+from plumbline.operators.folds import folded_columns
+
 MODES = ("raw", "forward", "backward")
 
 
@@ -31,37 +36,41 @@ def rolling_mean(rows: DataFrame, value: str, size: int, *, series: str = "serie
     return rows.withColumn(name or f"MA{size}", F.when(F.count(value).over(frame) == size, F.avg(value).over(frame)))
 
 
-def _fold(rows: DataFrame, series: str, order: str, fields: dict[str, Column], start: Column, step, outputs: tuple[str, ...]) -> DataFrame:
-    """Each row with outputs of a fold over its series: step(state, row) gives the next state, whose `out` is the row's."""
-    packed = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), *[c.alias(n) for n, c in fields.items()])))
-    kinds = ", ".join(f"{o}: double" for o in outputs)
-    empty = F.array().cast(f"array<struct<o: timestamp, {kinds}>>") if dict(rows.dtypes)[order].startswith("timestamp") else F.array().cast(f"array<struct<o: {dict(rows.dtypes)[order]}, {kinds}>>")
+class Strength(NamedTuple):
+    """Wilder's smoothed gains and losses after n values."""
+
+    n: int = 0
+    last: float = 0.0
+    gain: float = 0.0
+    loss: float = 0.0
 
-    def walk(acc: Column, row: Column) -> Column:
-        state = step(acc["state"], row)
-        return F.struct(state.alias("state"), F.array_append(acc["out"], F.struct(row["o"].alias("o"), *[state[o].alias(o) for o in outputs])).alias("out"))
+    def after(self, value: float, period: int) -> Strength:
+        if not self.n:
+            return Strength(1, value)
+        change = value - self.last
+        n, up, down = self.n + 1, max(change, 0.0), max(-change, 0.0)
+        if n <= period + 1:
+            return Strength(n, value, self.gain + up / period, self.loss + down / period)
+        return Strength(n, value, (self.gain * (period - 1) + up) / period, (self.loss * (period - 1) + down) / period)
 
-    folded = rows.groupBy(series).agg(packed.alias("rows")).select(series, F.explode(F.aggregate("rows", F.struct(start.alias("state"), empty.alias("out")), walk, lambda acc: acc["out"])).alias("it"))
-    return rows.join(folded.select(series, F.col("it.o").alias(order), *[F.col(f"it.{o}").alias(o) for o in outputs]), [series, order])
+    def index(self, period: int) -> float | None:
+        if self.n <= period:
+            return None
+        if self.loss == 0:
+            return 50.0 if self.gain == 0 else 100.0
+        return 0.0 if self.gain == 0 else 100 - 100 / (1 + self.gain / self.loss)
 
 
 def rsi(rows: DataFrame, value: str = "close", period: int = 6, *, series: str = "series_id", order: str = "ord") -> DataFrame:
-    """Wilder's index: seeded by the mean of the first `period` gains and losses; 50 if flat, 100 and 0 if one-sided."""
-    name, zero = f"RSI{period}", F.lit(0.0)
+    """Wilder's index: seeded by the mean of the first `period` gains and losses; 50 if flat, 100 and 0 if one-sided. Null values are passed over."""
 
-    def step(state: Column, row: Column) -> Column:
-        first = state["n"] == 0
-        change = row["v"] - state["last"]
-        gain, loss = F.greatest(change, zero), F.greatest(-change, zero)
-        n = state["n"] + 1
-        seeding = n <= period + 1
-        g = F.when(first, zero).when(seeding, state["g"] + gain / period).otherwise((state["g"] * (period - 1) + gain) / period)
-        d = F.when(first, zero).when(seeding, state["l"] + loss / period).otherwise((state["l"] * (period - 1) + loss) / period)
-        shown = F.when((g == 0) & (d == 0), 50.0).when(d == 0, 100.0).when(g == 0, 0.0).otherwise(100 - 100 / (1 + g / F.when(d != 0, d)))
-        return F.struct(n.alias("n"), row["v"].alias("last"), g.alias("g"), d.alias("l"), F.when(n > period, shown).alias(name))
+    def row(state: Strength, record: dict) -> tuple[Strength, tuple]:
+        if record[value] is None:
+            return state, (None,)
+        state = state.after(float(record[value]), period)
+        return state, (state.index(period),)
 
-    start = F.struct(F.lit(0).alias("n"), zero.alias("last"), zero.alias("g"), zero.alias("l"), F.lit(None).cast("double").alias(name))
-    return _fold(rows, series, order, {"v": F.col(value).cast("double")}, start, step, (name,))
+    return folded_columns(rows, [series], [order], f"RSI{period} double", begin=lambda record: Strength(), row=row)
 
 
 def kdj(rows: DataFrame, period: int = 9, *, high: str = "high", low: str = "low", close: str = "close", series: str = "series_id", order: str = "ord") -> DataFrame:
@@ -70,16 +79,14 @@ def kdj(rows: DataFrame, period: int = 9, *, high: str = "high", low: str = "low
     top, bottom = F.max(high).over(frame), F.min(low).over(frame)
     placed = rows.withColumn("rsv", F.when(F.count(close).over(frame) == period, F.when(top == bottom, 50.0).otherwise((F.col(close) - bottom) / F.when(top != bottom, top - bottom) * 100)))
 
-    def step(state: Column, row: Column) -> Column:
-        k = F.when(row["rsv"].isNull(), state["k"]).otherwise((2 * state["k"] + row["rsv"]) / 3)
-        d = F.when(row["rsv"].isNull(), state["d"]).otherwise((2 * state["d"] + k) / 3)
-        shown = lambda c: F.when(row["rsv"].isNotNull(), c)
-        return F.struct(k.alias("k"), d.alias("d"), shown(k).alias("K_"), shown(d).alias("D_"), shown(3 * k - 2 * d).alias("J_"))
+    def row(state: tuple[float, float], record: dict) -> tuple[tuple[float, float], tuple]:
+        if record["rsv"] is None:
+            return state, (None, None, None)
+        k = (2 * state[0] + record["rsv"]) / 3
+        d = (2 * state[1] + k) / 3
+        return (k, d), (k, d, 3 * k - 2 * d)
 
-    none = F.lit(None).cast("double")
-    start = F.struct(F.lit(50.0).alias("k"), F.lit(50.0).alias("d"), none.alias("K_"), none.alias("D_"), none.alias("J_"))
-    out = _fold(placed, series, order, {"rsv": F.col("rsv")}, start, step, ("K_", "D_", "J_"))
-    return out.drop("rsv").withColumnsRenamed({"K_": "K", "D_": "D", "J_": "J"})
+    return folded_columns(placed, [series], [order], "K double, D double, J double", begin=lambda record: (50.0, 50.0), row=row).drop("rsv")
 
 
 def price_errors() -> Column:
@@ -107,9 +114,8 @@ def indicators(rows: DataFrame, *, means=(5, 20), rsi_periods=(6,), kdj_period:
 
 def cumulative_violations(rows: DataFrame, fields: list[str], *, series: str = "series_id", order: str = "ord") -> DataFrame:
     """series and, for each field, in how many rows it falls below the row before."""
-    by = _by(series, order)
-    falls = rows.select(series, *[F.when(F.col(f) < F.lag(f).over(by), 1).otherwise(0).alias(f) for f in fields])
-    return falls.groupBy(series).agg(*[F.sum(f).alias(f) for f in fields])
+    with_before = scan.previous(scan.ranged(rows, [series], [order]), [series], [order], {f"__{f}": f for f in fields})
+    return with_before.groupBy(series).agg(*[F.count(F.when(F.col(f) < F.col(f"__{f}"), 1)).alias(f) for f in fields])
 
 
 def recent_rate(rows: DataFrame, seconds: str, count: str, *, span: float = 30.0, series: str = "series_id") -> DataFrame:
@@ -124,12 +130,14 @@ def recent_rate(rows: DataFrame, seconds: str, count: str, *, span: float = 30.0
 
 def downsample(rows: DataFrame, label: str, limit: int = 24, *, series: str = "series_id", order: str = "ord") -> DataFrame:
     """At most `limit` rows a series: first, last, each change of label, and others evenly spread; more only for changes."""
-    by = _by(series, order)
-    all_of = Window.partitionBy(series)
-    marked = rows.withColumns({"__i": F.row_number().over(by), "__n": F.count(F.lit(1)).over(all_of), "__last": F.lag(label).over(by)})
-    needed = (F.col("__i") == 1) | (F.col("__i") == F.col("__n")) | ~F.col(label).eqNullSafe(F.col("__last"))
-    marked = marked.withColumn("__must", needed.cast("int")).withColumn("__req", F.sum("__must").over(all_of))
-    marked = marked.withColumn("__k", F.sum(1 - F.col("__must")).over(by.rowsBetween(Window.unboundedPreceding, 0)) - 1)
+    dealt = scan.previous(scan.ranged(rows, [series], [order]), [series], [order], {"__last": label})
+    dealt = scan.running(dealt, [series], [order], sums={"__i": F.lit(1).cast("long")})
+    ends = dealt.groupBy(series).agg(F.max("__i").alias("__n"))
+    fresh = (F.col("__i") == 1) | ~F.col(label).eqNullSafe(F.col("__last"))
+    marked = dealt.join(ends, series).withColumn("__must", (fresh | (F.col("__i") == F.col("__n"))).cast("long"))
+    marked = scan.running(marked, [series], [order], sums={"__k": 1 - F.col("__must")})
+    needed = marked.groupBy(series).agg(F.sum("__must").alias("__req"))
+    marked = marked.join(needed, series).withColumn("__k", F.col("__k") - 1)
     free, slots = F.col("__n") - F.col("__req"), F.least(limit - F.col("__req"), F.col("__n") - F.col("__req"))
     # Place p of the spread takes the optional row floor((p + 1) * free / (slots + 1)).
     p = F.floor((F.col("__k") * (slots + 1) + free - 1) / F.when(free > 0, free))
@@ -140,13 +148,13 @@ def downsample(rows: DataFrame, label: str, limit: int = 24, *, series: str = "s
 
 def trailing_sum(rows: DataFrame, seconds: str, value: str, span: int = 30, *, series: str = "series_id") -> DataFrame:
     """The sum over the last `span` seconds, the row's own included."""
-    frame = Window.partitionBy(series).orderBy(seconds).rangeBetween(-span, 0)
-    return rows.withColumn("trailing", F.sum(value).over(frame))
+    return scan.trailing(rows, series, seconds, span, {"trailing": value})
 
 
 def zero_gap(rows: DataFrame, seconds: str, *, series: str = "series_id") -> DataFrame:
     """The longest time between neighbouring rows of each series."""
-    return rows.withColumn("__gap", F.col(seconds) - F.lag(seconds).over(_by(series, seconds))).groupBy(series).agg(F.max("__gap").alias("max_gap"))
+    with_before = scan.previous(scan.ranged(rows, [series], [seconds]), [series], [seconds], {"__then": seconds})
+    return with_before.groupBy(series).agg(F.max(F.col(seconds) - F.col("__then")).alias("max_gap"))
 
 
 def funnel(events: DataFrame, user: str, stage: str, stages: tuple[str, ...]) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.jsonx import read_fields
 from plumbline.operators import intervals as I
+from plumbline.operators import scan
 from plumbline.operators import timeseries as S
 
 QUERIES: dict = {}
@@ -102,10 +103,11 @@ _add(
 
 def checkpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per event type the cumulative count and value, by seconds since the first event."""
-    rows = events(spark, sf_dir)
-    by = Window.partitionBy("event_type").orderBy("seconds", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    first = F.min("seconds").over(Window.partitionBy("event_type"))
-    return rows.select(F.col("event_type").alias("series_id"), F.col("event_id").alias("ord"), (F.col("seconds") - first).alias("at"), F.count(F.lit(1)).over(by).alias("raw"), F.count(F.when(F.col("value") > 10, 1)).over(by).alias("large"), F.col("user_id"), F.col("value"))
+    order = ["seconds", "event_id"]
+    dealt = scan.ranged(events(spark, sf_dir).withColumn("large", (F.col("value") > 10).cast("long")), ["event_type"], order)
+    rows = scan.running(dealt, ["event_type"], order, sums={"raw": F.lit(1).cast("long"), "n_large": F.coalesce("large", F.lit(0).cast("long"))})
+    first = dealt.groupBy("event_type").agg(F.min("seconds").alias("first"))
+    return rows.join(first, "event_type").select(F.col("event_type").alias("series_id"), F.col("event_id").alias("ord"), (F.col("seconds") - F.col("first")).alias("at"), "raw", F.col("n_large").alias("large"), "user_id", "value")
 
 
 _CHECK = "c AS (SELECT event_type AS series_id, event_id AS ord, epoch_us(ts) / 1e6 - min(epoch_us(ts) / 1e6) OVER (PARTITION BY event_type) AS spot, count(*) OVER w AS raw, count(*) FILTER (value > 10) OVER w AS large, user_id, value FROM events WINDOW w AS (PARTITION BY event_type ORDER BY epoch_us(ts) / 1e6, event_id ROWS UNBOUNDED PRECEDING))"
