@@ -30,13 +30,6 @@ def set_digest(ids: Column) -> Column:
     return F.coalesce(F.nullif(F.array_join(F.array_sort(F.array_distinct(ids)), ","), F.lit("")), F.lit("none"))
 
 
-def tree_digest(path: Column, content: Column) -> Column:
-    """An aggregate: the SHA-256 over `path, NUL, content's SHA-256, line feed` of a group's files in order of path."""
-    line = F.concat(path, F.lit("\0"), F.sha2(content, 256), F.lit("\n"))
-    lines = F.transform(F.array_sort(F.collect_list(F.struct(path.alias("p"), line.alias("l")))), lambda x: x["l"])
-    return F.sha2(F.array_join(lines, ""), 256)
-
-
 def fill_template(payload: Column, query: Column, mark: str = "{query}") -> Column:
     """A JSON payload with a mark replaced in every string."""
     quoted = F.to_json(F.struct(query.alias("q")))

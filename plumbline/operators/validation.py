@@ -10,6 +10,7 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.operators.digests import package_digests
 from plumbline.functions.text import sequence_ratio, squeezed, title_key, token_overlap
 from plumbline.functions.urls import host_of
 
@@ -237,9 +238,7 @@ def generated_changes(desired: DataFrame, baseline: DataFrame) -> DataFrame:
 
 def lock(files: DataFrame, components: DataFrame) -> DataFrame:
     """component, version and digest of each component's files. files: component, path, content."""
-    from plumbline.functions.hashing import tree_digest
-
-    return files.groupBy("component").agg(tree_digest(F.col("path"), F.col("content")).alias("digest")).join(components, "component").select("component", "version", "digest")
+    return package_digests(files, "component").join(components, "component").select("component", "version", "digest")
 
 
 def resources(cpus: int, free_mb: int, total_mb: int, *, broad: bool) -> dict[str, str]:

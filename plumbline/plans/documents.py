@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import hashing, redact
 from plumbline.functions import text as X
-from plumbline.operators import corpus, joins
+from plumbline.operators import corpus, digests, joins
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -186,10 +186,24 @@ _add(
     lambda s, d: docs(s, d).select("doc_id", hashing.joined_id(F.col("source"), F.col("lang"), F.col("doc_id")).alias("id"), hashing.short_hash(F.col("source"), F.col("lang")).alias("short"), hashing.task_id(F.col("source"), F.col("lang")).alias("task")),
     "SELECT doc_id, substr(sha256(lower(source) || chr(10) || lower(lang) || chr(10) || doc_id), 1, 20) AS id, substr(sha256(source || chr(31) || lang), 1, 16) AS short, source || ':' || substr(sha256(source || chr(0) || lang), 1, 16) AS task FROM documents",
 )
+
+
+def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files of their source's tree, in two folders whose names sort unlike their paths."""
+    folder = F.when(F.col("doc_id") % 2 == 0, "a.b").otherwise("a")
+    return docs(spark, sf_dir).select("source", F.concat_ws("/", folder, F.lpad(F.col("doc_id").cast("string"), 9, "0")).alias("path"), F.col("text").alias("content"))
+
+
+_SQL_FILES = "SELECT source, lang, text, CASE WHEN doc_id % 2 = 0 THEN 'a.b' ELSE 'a' END AS folder, lpad(CAST(doc_id AS VARCHAR), 9, '0') AS name FROM documents"
 _add(
     "doc_source_digest",
-    lambda s, d: docs(s, d).groupBy("source").agg(hashing.set_digest(F.collect_set(F.col("lang"))).alias("langs"), hashing.tree_digest(F.lpad(F.col("doc_id").cast("string"), 9, "0"), F.col("text")).alias("tree")),
-    "SELECT source, string_agg(DISTINCT lang, ',' ORDER BY lang) AS langs, sha256(string_agg(lpad(CAST(doc_id AS VARCHAR), 9, '0') || chr(0) || sha256(text) || chr(10), '' ORDER BY lpad(CAST(doc_id AS VARCHAR), 9, '0'))) AS tree FROM documents GROUP BY source",
+    lambda s, d: digests.package_digests(_files(s, d), "source").withColumnRenamed("digest", "tree").join(docs(s, d).groupBy("source").agg(hashing.set_digest(F.collect_set(F.col("lang"))).alias("langs")), "source"),
+    f"SELECT source, string_agg(DISTINCT lang, ',' ORDER BY lang) AS langs, sha256(string_agg(folder || '/' || name || chr(0) || sha256(text) || chr(10), '' ORDER BY folder, name)) AS tree FROM ({_SQL_FILES}) GROUP BY source",
+)
+_add(
+    "doc_tree_digest",
+    lambda s, d: digests.tree_digests(_files(s, d), "source"),
+    f"SELECT source, sha256(unhex(string_agg(printf('%016x', strlen(folder || '/' || name)) || hex(folder || '/' || name) || printf('%016x', strlen(text)) || hex(text), '' ORDER BY folder, name))) AS digest FROM ({_SQL_FILES}) GROUP BY source",
 )
 
 
