@@ -55,10 +55,11 @@ def _fs(spark: SparkSession, path: str):
 
 
 def publish(frame: DataFrame, path: str, write=None, check=None) -> None:
-    """Writes beside the target, checks, and then renames: readers see the old table or the new one, never a part.
+    """Writes beside the target, checks, and then renames, for sinks of one writer: no reader sees a part of a table.
 
-    The old table steps aside first and goes only once the new one is in place; if that fails it comes back. What a crash
-    between leaves aside is put back by the next call.
+    The old table steps aside first and goes only once the new one is in place; if that fails it comes back. Between the two
+    renames there is none; what a crash there leaves aside is put back by the next call. Tables that are read or written by
+    several at a time belong into sources.versions.
     """
     spark = frame.sparkSession
     staged = f"{path.rstrip('/')}.staged-{uuid.uuid4().hex}"
