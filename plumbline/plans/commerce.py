@@ -44,13 +44,13 @@ _add(
 )
 _add(
     "ord_upsert_latest",
-    lambda s, d: upserts.upsert(_table(s, d, "orders").where("o_orderkey % 3 = 0").select(F.col("o_custkey").alias("k"), F.lit("old").alias("status"), F.lit(0.0).alias("price")).dropDuplicates(["k"]), _table(s, d, "orders").where("o_orderkey % 3 != 0").select(F.col("o_custkey").alias("k"), F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("price"), F.col("o_orderkey").alias("ord")), ["k"], "ord"),
-    "WITH n AS (SELECT o_custkey AS k, arg_max(o_orderstatus, o_orderkey) AS status, arg_max(o_totalprice, o_orderkey) AS price FROM orders WHERE o_orderkey % 3 <> 0 GROUP BY 1) SELECT * FROM n UNION ALL SELECT DISTINCT o_custkey, 'old', 0.0::DOUBLE FROM orders WHERE o_orderkey % 3 = 0 AND o_custkey NOT IN (SELECT k FROM n)",
+    lambda s, d: upserts.upsert(_table(s, d, "orders").select((2 * F.col("o_custkey")).alias("k"), F.lit("old").alias("status"), F.lit(0.0).alias("price")).dropDuplicates(["k"]), _table(s, d, "orders").select(F.col("o_custkey").alias("k"), F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("price"), F.col("o_orderkey").alias("ord")), ["k"], "ord"),
+    "WITH n AS (SELECT o_custkey AS k, arg_max(o_orderstatus, o_orderkey) AS status, arg_max(o_totalprice, o_orderkey) AS price FROM orders GROUP BY 1) SELECT * FROM n UNION ALL SELECT DISTINCT 2 * o_custkey, 'old', 0.0::DOUBLE FROM orders WHERE 2 * o_custkey NOT IN (SELECT k FROM n)",
 )
 _add(
     "ord_insert_ignore",
-    lambda s, d: upserts.insert_or_ignore(_table(s, d, "orders").where("o_orderkey < 500").groupBy(F.col("o_custkey").alias("k")).agg(F.min("o_orderkey").alias("first")), _table(s, d, "orders").where("o_orderkey >= 500").select(F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("first")), ["k"], "first"),
-    "SELECT o_custkey AS k, min(o_orderkey) AS first FROM orders GROUP BY 1",
+    lambda s, d: upserts.insert_or_ignore(_table(s, d, "orders").groupBy((3 * F.col("o_custkey")).alias("k")).agg((-F.min("o_orderkey")).alias("first")), _table(s, d, "orders").select(F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("first")), ["k"], "first"),
+    "SELECT 3 * o_custkey AS k, -min(o_orderkey) AS first FROM orders GROUP BY 1 UNION ALL SELECT o_custkey, min(o_orderkey) FROM orders WHERE o_custkey NOT IN (SELECT 3 * o_custkey FROM orders) GROUP BY 1",
 )
 _add(
     "ord_delete_audit",

@@ -141,7 +141,7 @@ _add(
 # Joins.
 _add(
     "part_apply_overrides",
-    lambda s, d: corpus.apply_overrides(parts(s, d, "k", "p_name AS title", "p_type AS source", "'old' AS abstract"), parts(s, d, "p_name", "p_brand").where("p_name like 's%'").groupBy(F.col("p_name").alias("title_key")).agg(F.min("p_brand").alias("abstract"))).select("k", "source", "abstract"),
+    lambda s, d: corpus.apply_overrides(parts(s, d, "k", "p_name AS title", "p_type AS source", "'old' AS abstract"), parts(s, d, "CASE WHEN p_name LIKE 's%' THEN p_name ELSE concat('not ', p_name) END AS name", "p_brand").groupBy(F.col("name").alias("title_key")).agg(F.min("p_brand").alias("abstract"))).select("k", "source", "abstract"),
     f"SELECT k, p_type AS source, CASE WHEN p_name LIKE 's%' THEN min(p_brand) OVER (PARTITION BY p_name) ELSE 'old' END AS abstract {K}",
 )
 _add(
@@ -161,13 +161,14 @@ _add(
 )
 _add(
     "cust_classify_after_write",
-    lambda s, d: joins.classify_after_write(rows(s, d, "customer", "c_custkey AS id").where("id % 7 != 0"), rows(s, d, "customer", "c_custkey AS id")),
-    "SELECT c_custkey AS id, c_custkey % 7 = 0 AS is_new, CASE WHEN count(*) OVER () = 1 THEN 'unique' WHEN count(*) FILTER (c_custkey % 7 = 0) OVER () = 1 THEN 'duplicate' ELSE 'review' END AS outcome FROM customer",
+    lambda s, d: joins.classify_after_write(rows(s, d, "customer", "2 * c_custkey AS id"), rows(s, d, "customer", "c_custkey AS id")),
+    "SELECT id, is_new, CASE WHEN count(*) OVER () = 1 THEN 'unique' WHEN count(*) FILTER (is_new) OVER () = 1 THEN 'duplicate' ELSE 'review' END AS outcome FROM (SELECT c_custkey AS id, c_custkey NOT IN (SELECT 2 * c_custkey FROM customer) AS is_new FROM customer)",
 )
 _add(
     "cust_changed",
-    lambda s, d: joins.changed(rows(s, d, "customer", "c_custkey", "c_name", "c_nationkey").where("c_custkey % 5 != 0"), rows(s, d, "customer", "c_custkey", "CASE WHEN c_custkey % 3 = 0 THEN 'new' ELSE c_name END AS c_name", "c_nationkey").where("c_custkey % 7 != 0"), "c_custkey"),
-    "SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN 'added' WHEN c_custkey % 7 = 0 THEN 'removed' ELSE 'changed' END AS change FROM customer WHERE (c_custkey % 5 = 0) <> (c_custkey % 7 = 0) OR (c_custkey % 5 <> 0 AND c_custkey % 7 <> 0 AND c_custkey % 3 = 0)",
+    lambda s, d: joins.changed(rows(s, d, "customer", "CASE WHEN c_custkey % 5 = 0 THEN -2 * c_custkey - 2 ELSE c_custkey END AS k", "c_name", "c_nationkey"), rows(s, d, "customer", "CASE WHEN c_custkey % 7 = 0 THEN -2 * c_custkey - 3 ELSE c_custkey END AS k", "CASE WHEN c_custkey % 3 = 0 THEN 'new' ELSE c_name END AS c_name", "c_nationkey"), "k"),
+    """WITH a AS (SELECT CASE WHEN c_custkey % 5 = 0 THEN -2 * c_custkey - 2 ELSE c_custkey END AS k, c_name, c_nationkey FROM customer), b AS (SELECT CASE WHEN c_custkey % 7 = 0 THEN -2 * c_custkey - 3 ELSE c_custkey END AS k, CASE WHEN c_custkey % 3 = 0 THEN 'new' ELSE c_name END AS c_name, c_nationkey FROM customer)
+    SELECT coalesce(a.k, b.k) AS k, CASE WHEN a.k IS NULL THEN 'added' WHEN b.k IS NULL THEN 'removed' ELSE 'changed' END AS change FROM a FULL JOIN b ON a.k = b.k WHERE a.k IS NULL OR b.k IS NULL OR a.c_name <> b.c_name OR a.c_nationkey <> b.c_nationkey""",
 )
 _add(
     "bench_quote_occurrences",
@@ -206,13 +207,14 @@ _add(
 )
 _add(
     "part_image_faults",
-    lambda s, d: validation.image_faults(parts(s, d, "concat('img-', lpad(CAST(k + 1 AS STRING), 6, '0')) AS logical_id", "concat('b-', CAST(CASE WHEN k % 50 = 0 THEN 0 ELSE ceil((k + 1) / 5) END AS STRING)) AS batch_id", "CAST(k % 5 + 1 AS INT) AS position", f"concat({KS}, '.png') AS filename", f"concat('h', {KS}) AS sha256"), parts(s, d, f"concat({KS}, '.png') AS filename", f"CASE WHEN k % 70 = 0 THEN 'other' ELSE concat('h', {KS}) END AS sha256").where("sha256 <> 'h3'")),
-    f"SELECT 'img-' || lpad(CAST(k + 1 AS STRING), 6, '0') AS logical_id, unnest(list_filter([CASE WHEN k % 50 = 0 THEN 'wrong batch' END, CASE WHEN k = 3 THEN 'file is gone' END, CASE WHEN k % 70 = 0 THEN 'file differs' END], lambda x: x IS NOT NULL)) AS fault {K}",
+    lambda s, d: validation.image_faults(parts(s, d, "concat('img-', lpad(CAST(k + 1 AS STRING), 6, '0')) AS logical_id", "concat('b-', CAST(CASE WHEN k % 50 = 0 THEN 0 ELSE ceil((k + 1) / 5) END AS STRING)) AS batch_id", "CAST(k % 5 + 1 AS INT) AS position", f"concat({KS}, '.png') AS filename", f"concat('h', {KS}) AS sha256"), parts(s, d, f"CASE WHEN k % 90 = 3 THEN concat('lost', {KS}) ELSE concat({KS}, '.png') END AS filename", f"CASE WHEN k % 70 = 0 THEN 'other' ELSE concat('h', {KS}) END AS sha256")),
+    f"SELECT 'img-' || lpad(CAST(k + 1 AS STRING), 6, '0') AS logical_id, unnest(list_filter([CASE WHEN k % 50 = 0 THEN 'wrong batch' END, CASE WHEN k % 90 = 3 THEN 'file is gone' END, CASE WHEN k % 70 = 0 AND k % 90 <> 3 THEN 'file differs' END], lambda x: x IS NOT NULL)) AS fault {K}",
 )
 _add(
     "part_generated_changes",
-    lambda s, d: validation.generated_changes(parts(s, d, "k AS name", "p_type AS digest").where("name % 5 != 0"), parts(s, d, "k AS name", "CASE WHEN k % 3 = 0 THEN 'old' ELSE p_type END AS digest").where("name % 7 != 0")),
-    f"SELECT k AS name, CASE WHEN k % 5 = 0 THEN 'retired' WHEN k % 7 = 0 THEN 'new' ELSE 'changed' END AS change {K} WHERE (k % 5 = 0) <> (k % 7 = 0) OR (k % 5 <> 0 AND k % 7 <> 0 AND k % 3 = 0)",
+    lambda s, d: validation.generated_changes(parts(s, d, "CASE WHEN k % 5 = 0 THEN -2 * k - 2 ELSE k END AS name", "p_type AS digest"), parts(s, d, "CASE WHEN k % 7 = 0 THEN -2 * k - 3 ELSE k END AS name", "CASE WHEN k % 3 = 0 THEN 'old' ELSE p_type END AS digest")),
+    f"""WITH a AS (SELECT CASE WHEN k % 5 = 0 THEN -2 * k - 2 ELSE k END AS n, p_type AS v {K}), b AS (SELECT CASE WHEN k % 7 = 0 THEN -2 * k - 3 ELSE k END AS n, CASE WHEN k % 3 = 0 THEN 'old' ELSE p_type END AS v {K})
+    SELECT coalesce(a.n, b.n) AS name, CASE WHEN b.n IS NULL THEN 'new' WHEN a.n IS NULL THEN 'retired' ELSE 'changed' END AS change FROM a FULL JOIN b ON a.n = b.n WHERE a.n IS NULL OR b.n IS NULL OR a.v <> b.v""",
 )
 _add(
     "part_lock",
@@ -226,7 +228,7 @@ _add(
 )
 
 # Ranking, scores and query spaces.
-_add("part_newest_first", lambda s, d: corpus.newest_first(parts(s, d, "k AS ord", "p_name AS title", "CAST(p_size AS STRING) AS venue_time")).limit(25).select("ord"), f"SELECT k AS ord {K} ORDER BY CAST(p_size AS STRING) DESC, p_name DESC, k LIMIT 25")
+_add("part_newest_first", lambda s, d: corpus.newest_first(parts(s, d, "k AS ord", "p_name AS title", "CAST(p_size AS STRING) AS venue_time")).select("ord", "place"), f"SELECT k AS ord, row_number() OVER (ORDER BY CAST(p_size AS STRING) DESC, p_name DESC, k) AS place {K}")
 _add(
     "doc_direction_evidence",
     lambda s, d: corpus.direction_evidence(s.createDataFrame([("articles", ["The ", " le ", " der "]), ("rare", ["Quen", " ing "])], "name string, keywords array<string>"), rows(s, d, "documents", "text AS title", "'' AS abstract", "CAST(doc_id AS STRING) AS venue_time")).select("name", "rank", "hits", "venue_time"),
@@ -248,7 +250,7 @@ _add("part_page_tasks", lambda s, d: ranking.page_tasks(parts(s, d, "k"), [1, 2,
 _text("part_query_families", "p_name", lambda c: F.array_join(ranking.query_families(c, ("news", "", "news", "review")), "|"), "p_name || '|' || p_name || ' news|' || p_name || ' review'")
 _add(
     "part_expand_seeds",
-    lambda s, d: ranking.expand_seeds(parts(s, d, "p_name AS seed"), parts(s, d, "p_name AS seed").where("seed like 's%'"), parts(s, d, "concat(p_name, ' news') AS query").where("query like 'l%'"), ("news",)),
+    lambda s, d: ranking.expand_seeds(parts(s, d, "p_name AS seed"), parts(s, d, "p_name AS seed").select(F.when(F.col("seed").startswith("s"), F.col("seed")).otherwise(F.concat(F.lit("not "), "seed")).alias("seed")), parts(s, d, "CASE WHEN p_name LIKE 'l%' THEN concat(p_name, ' news') ELSE concat(p_name, ' views') END AS query"), ("news",)),
     f"SELECT DISTINCT p_name AS seed, q AS query FROM (SELECT p_name, unnest([p_name, p_name || ' news']) AS q {K}) WHERE p_name NOT LIKE 's%' AND NOT (q LIKE 'l%' AND q LIKE '% news')",
 )
 _add("part_product_size", lambda s, d: parts(s, d, "p_brand", "p_type").agg(F.countDistinct("p_brand").alias("a"), F.countDistinct("p_type").alias("b")).select((F.col("a") * F.col("b")).alias("n")), f"SELECT count(DISTINCT p_brand) * count(DISTINCT p_type) AS n {K}")
@@ -278,12 +280,12 @@ _add(
 )
 _add(
     "part_pool_upsert",
-    lambda s, d: upserts.upsert_with_history(parts(s, d, "k", "p_name AS title", "p_type AS note", "'adopted' AS status", "CAST(array() AS array<struct<status:string,was:string>>) AS history"), parts(s, d, "k", "CASE WHEN k % 3 = 0 THEN 'new' ELSE p_name END AS title", "'n' AS note").where("k % 2 = 0"), "k", ["title"]).select("k", "title", "note", "status", F.size("history").alias("steps")),
-    f"SELECT k, CASE WHEN k % 6 = 0 THEN 'new' ELSE p_name END AS title, CASE WHEN k % 2 = 0 THEN 'n' ELSE p_type END AS note, CASE WHEN k % 6 = 0 AND p_name <> 'new' THEN 'pending' ELSE 'adopted' END AS status, CASE WHEN k % 6 = 0 AND p_name <> 'new' THEN 1 ELSE 0 END AS steps {K}",
+    lambda s, d: upserts.upsert_with_history(parts(s, d, "k", "p_name AS title", "p_type AS note", "'adopted' AS status", "CAST(array() AS array<struct<status:string,was:string>>) AS history"), parts(s, d, "CASE WHEN k % 2 = 0 THEN k ELSE -k END AS k", "CASE WHEN k % 3 = 0 THEN 'new' ELSE p_name END AS title", "'n' AS note"), "k", ["title"]).select("k", "title", "note", "status", F.size("history").alias("steps")),
+    f"SELECT k, CASE WHEN k % 6 = 0 THEN 'new' ELSE p_name END AS title, CASE WHEN k % 2 = 0 THEN 'n' ELSE p_type END AS note, CASE WHEN k % 6 = 0 AND p_name <> 'new' THEN 'pending' ELSE 'adopted' END AS status, CASE WHEN k % 6 = 0 AND p_name <> 'new' THEN 1 ELSE 0 END AS steps {K} UNION ALL SELECT -k, CASE WHEN k % 3 = 0 THEN 'new' ELSE p_name END, 'n', 'pending', 0 {K} WHERE k % 2 = 1",
 )
 _add(
     "part_review",
-    lambda s, d: upserts.review(parts(s, d, "k AS id", "p_name", "'pending' AS status", "CAST(array() AS array<struct<status:string,was:string>>) AS history"), parts(s, d, "k AS id", "CASE WHEN k % 4 = 0 THEN 'adopted' ELSE 'rejected' END AS status", "'seen' AS evidence").where("id % 2 = 0")).select("id", "status", F.size("history").alias("steps")),
+    lambda s, d: upserts.review(parts(s, d, "k AS id", "p_name", "'pending' AS status", "CAST(array() AS array<struct<status:string,was:string>>) AS history"), parts(s, d, "CASE WHEN k % 2 = 0 THEN k ELSE -k END AS id", "CASE WHEN k % 4 = 0 THEN 'adopted' ELSE 'rejected' END AS status", "'seen' AS evidence")).select("id", "status", F.size("history").alias("steps")),
     f"SELECT k AS id, CASE WHEN k % 4 = 0 THEN 'adopted' WHEN k % 2 = 0 THEN 'rejected' ELSE 'pending' END AS status, CASE WHEN k % 2 = 0 THEN 1 ELSE 0 END AS steps {K}",
 )
 _add(
@@ -308,12 +310,12 @@ _add(
 )
 _add(
     "part_append_failures",
-    lambda s, d: ledger.append_failures(parts(s, d, "k AS batch_id", "p_type AS category", "'p' AS parameter_digest", f"substring(sha2(concat_ws(chr(31), {KS}, p_type, 'p'), 256), 1, 16) AS failure_id").where("batch_id % 2 = 0"), parts(s, d, "k AS batch_id", "p_type AS category", "'p' AS parameter_digest")).select("batch_id", "failure_id"),
-    f"SELECT k AS batch_id, substr(sha256(k || chr(31) || p_type || chr(31) || 'p'), 1, 16) AS failure_id {K}",
+    lambda s, d: ledger.append_failures(parts(s, d, "CASE WHEN k % 2 = 0 THEN k ELSE -k END AS batch_id", "p_type AS category", "'p' AS parameter_digest", f"substring(sha2(concat_ws(chr(31), CAST(CASE WHEN k % 2 = 0 THEN k ELSE -k END AS STRING), p_type, 'p'), 256), 1, 16) AS failure_id"), parts(s, d, "k AS batch_id", "p_type AS category", "'p' AS parameter_digest")).select("batch_id", "failure_id"),
+    f"SELECT k AS batch_id, substr(sha256(k || chr(31) || p_type || chr(31) || 'p'), 1, 16) AS failure_id FROM (SELECT k, p_type {K} UNION ALL SELECT -k, p_type {K} WHERE k % 2 = 1)",
 )
 _add(
     "part_freeze_batch",
-    lambda s, d: upserts.freeze_batch(parts(s, d, "k AS logical_id", "p_type AS batch_id", "array('t') AS tags", "'' AS verified_at", "'open' AS status"), parts(s, d, "k AS logical_id", "array('n', p_name) AS tags").where("logical_id % 2 = 0"), "ECONOMY", "2024-05-06").select("logical_id", F.array_join("tags", "|").alias("tags"), "verified_at", "status"),
+    lambda s, d: upserts.freeze_batch(parts(s, d, "k AS logical_id", "p_type AS batch_id", "array('t') AS tags", "'' AS verified_at", "'open' AS status"), parts(s, d, "CASE WHEN k % 2 = 0 THEN k ELSE -k END AS logical_id", "array('n', p_name) AS tags"), "ECONOMY", "2024-05-06").select("logical_id", F.array_join("tags", "|").alias("tags"), "verified_at", "status"),
     f"SELECT k AS logical_id, CASE WHEN p_type = 'ECONOMY' AND k % 2 = 0 THEN 'n|' || p_name ELSE 't' END AS tags, CASE WHEN p_type = 'ECONOMY' THEN '2024-05-06' ELSE '' END AS verified_at, CASE WHEN p_type = 'ECONOMY' THEN 'frozen' ELSE 'open' END AS status {K}",
 )
 
@@ -356,12 +358,12 @@ _add(
 )
 _add(
     "sup_materialise",
-    lambda s, d: registry.materialise(rows(s, d, "supplier", "s_suppkey AS solution_id", "s_nationkey AS family_id", "CASE WHEN s_suppkey % 3 = 0 THEN 'own' ELSE 'builtin' END AS catalog_source", "CASE WHEN s_suppkey % 5 = 0 OR s_suppkey % 3 = 0 THEN s_name END AS steps"), rows(s, d, "supplier", "s_suppkey AS solution_id", "CASE WHEN s_suppkey % 7 = 0 THEN -1 ELSE s_nationkey END AS family_id", "concat('c', s_name) AS steps").where("solution_id % 11 != 0"), ["steps"]).select("solution_id", "steps", "fault"),
+    lambda s, d: registry.materialise(rows(s, d, "supplier", "s_suppkey AS solution_id", "s_nationkey AS family_id", "CASE WHEN s_suppkey % 3 = 0 THEN 'own' ELSE 'builtin' END AS catalog_source", "CASE WHEN s_suppkey % 5 = 0 OR s_suppkey % 3 = 0 THEN s_name END AS steps"), rows(s, d, "supplier", "CASE WHEN s_suppkey % 11 = 0 THEN -1 - s_suppkey ELSE s_suppkey END AS solution_id", "CASE WHEN s_suppkey % 7 = 0 THEN -1 ELSE s_nationkey END AS family_id", "concat('c', s_name) AS steps"), ["steps"]).select("solution_id", "steps", "fault"),
     "SELECT s_suppkey AS solution_id, CASE WHEN s_suppkey % 3 = 0 THEN s_name WHEN s_suppkey % 11 <> 0 THEN 'c' || s_name END AS steps, CASE WHEN s_suppkey % 3 = 0 THEN NULL WHEN s_suppkey % 5 = 0 THEN 'reference with fields of its own' WHEN s_suppkey % 11 = 0 THEN 'unknown reference' WHEN s_suppkey % 7 = 0 THEN 'family mismatch' END AS fault FROM supplier",
 )
 _add(
     "sup_compact",
-    lambda s, d: registry.compact(rows(s, d, "supplier", "s_suppkey AS solution_id", "'own' AS catalog_source", "CASE WHEN s_suppkey % 3 = 0 THEN 'changed' ELSE s_name END AS steps"), rows(s, d, "supplier", "s_suppkey AS solution_id", "s_name AS steps").where("solution_id % 5 != 0"), ["steps"]),
+    lambda s, d: registry.compact(rows(s, d, "supplier", "s_suppkey AS solution_id", "'own' AS catalog_source", "CASE WHEN s_suppkey % 3 = 0 THEN 'changed' ELSE s_name END AS steps"), rows(s, d, "supplier", "CASE WHEN s_suppkey % 5 = 0 THEN -1 - s_suppkey ELSE s_suppkey END AS solution_id", "s_name AS steps"), ["steps"]),
     "SELECT s_suppkey AS solution_id, CASE WHEN s_suppkey % 3 = 0 THEN 'changed' WHEN s_suppkey % 5 = 0 THEN s_name END AS steps, CASE WHEN s_suppkey % 3 <> 0 AND s_suppkey % 5 <> 0 THEN 'builtin' ELSE 'own' END AS catalog_source FROM supplier",
 )
 

@@ -131,4 +131,4 @@ _add(
     lambda s, d: events(s, d).select(F.explode_outer(F.map_keys(read_fields(F.col("props"), ("k", "platform", "price")))).alias("field")).groupBy("field").agg(F.count(F.lit(1)).alias("rows")),
     "SELECT 'k' AS field, count(*) AS rows FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL HAVING count(*) > 0 UNION ALL SELECT NULL, count(*) FROM events WHERE json_extract_string(props, '$.k') IS NULL HAVING count(*) > 0",
 )
-_add("ev_rank_functions", lambda s, d: events(s, d).where("event_type = 'purchase'").select("event_id", *[f().over(Window.partitionBy("user_id").orderBy("value", "event_id")).cast("int").alias(n) for n, f in (("rank", F.rank), ("dense", F.dense_rank), ("quarter", lambda: F.ntile(4)))]), """SELECT event_id, CAST(rank() OVER w AS INT) AS rank, CAST(dense_rank() OVER w AS INT) AS dense, CAST(ntile(4) OVER w AS INT) AS quarter FROM events WHERE event_type = 'purchase' WINDOW w AS (PARTITION BY user_id ORDER BY value, event_id)""")
+_add("ev_rank_functions", lambda s, d: events(s, d).select("event_id", *[f().over(Window.partitionBy("user_id", "event_type").orderBy("value", "event_id")).cast("int").alias(n) for n, f in (("rank", F.rank), ("dense", F.dense_rank), ("quarter", lambda: F.ntile(4)))]), """SELECT event_id, CAST(rank() OVER w AS INT) AS rank, CAST(dense_rank() OVER w AS INT) AS dense, CAST(ntile(4) OVER w AS INT) AS quarter FROM events WINDOW w AS (PARTITION BY user_id, event_type ORDER BY value, event_id)""")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.text import authors, doi, first_integer, stripped, venue_in, year_in
+from plumbline.operators import scan
 from plumbline.operators.corpus import FIELDS, NO_LAB, SCHEMA, integrity_errors, trimmed
 
 BOM = "﻿"
@@ -130,10 +131,12 @@ def page_state(text: Column, items: Column) -> Column:
 def paper_index(spark: SparkSession, path: str) -> DataFrame:
     """number, section, title and link of a numbered list under headings, and whether numbers go on by one."""
     lines = spark.read.text(path).select(F.monotonically_increasing_id().alias("ord"), "value")
-    by = Window.orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
-    heads = lines.withColumn("section", F.last(F.nullif(F.regexp_extract("value", r"^#+\s+(.+?)\s*$", 1), F.lit("")), ignorenulls=True).over(by))
+    head = F.nullif(F.regexp_extract("value", r"^#+\s+(.+?)\s*$", 1), F.lit(""))
+    dealt = scan.ranged(lines.withColumns({"__all": F.lit(0), "__head": F.when(head.isNotNull(), F.struct("ord", head.alias("section")))}), [], ["ord"])
+    heads = scan.running(dealt, ["__all"], ["ord"], most={"__last": "__head"}).withColumn("section", F.col("__last.section"))
     rows = heads.where(F.col("value").rlike(r"^\s*[0-9]+\.\s+")).select("ord", "section", F.regexp_extract("value", r"^\s*([0-9]+)\.", 1).cast("int").alias("number"), F.regexp_extract("value", r"^\s*[0-9]+\.\s+(?:\[)?(.+?)(?:\]\(.*)?\s*$", 1).alias("title"), F.regexp_extract("value", r"\((https?://[^)\s]+)\)", 1).alias("link"))
-    return rows.withColumn("contiguous", F.coalesce(F.col("number") == F.lag("number").over(Window.orderBy("ord")) + 1, F.lit(True)))
+    before = scan.previous(scan.ranged(rows.withColumn("__all", F.lit(0)), [], ["ord"]), ["__all"], ["ord"], {"__before": "number"})
+    return before.select(*rows.columns, F.coalesce(F.col("number") == F.col("__before") + 1, F.lit(True)).alias("contiguous"))
 
 
 def bibliographic(works: DataFrame) -> DataFrame:
@@ -151,7 +154,7 @@ def images(spark: SparkSession, folder: str, batch: int = 5) -> DataFrame:
     """logical_id, filename, size, sha256, batch_id and position of a folder's image files in order of name."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{png,jpg,jpeg,webp}").load(folder)
     named = files.select(F.substring_index("path", "/", -1).alias("filename"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
-    numbered = named.withColumn("n", F.row_number().over(Window.orderBy("filename")))
+    numbered = scan.numbered(named, ["filename", "sha256"])
     return numbered.select(F.format_string("image-%04d", "n").alias("logical_id"), "filename", "size", "sha256", F.format_string("batch-%03d", F.ceil(F.col("n") / batch).cast("int")).alias("batch_id"), (F.pmod(F.col("n") - 1, F.lit(batch)) + 1).alias("position"))
 
 
