@@ -24,9 +24,9 @@ ROWS = 4096
 Row = dict[str, Any]
 
 
-def sorted_fold(rows: DataFrame, keys: Sequence[str], order: Sequence[str], schema: str | StructType, *, begin: Callable[[Row], Any], row: Callable[[Any, Row], tuple[Any, tuple | None]], end: Callable[[Row, Any], tuple | None] | None = None) -> DataFrame:
+def sorted_fold(rows: DataFrame, keys: Sequence[str], order: Sequence[str], schema: str | StructType, *, begin: Callable[[Row], Any], row: Callable[[Any, Row], tuple[Any, tuple | list[tuple] | None]], end: Callable[[Row, Any], tuple | None] | None = None) -> DataFrame:
     """Folds the rows of each key in order. begin(first row) gives a key's state; row(state, record) the next state and an
-    output row or None; end(last record, state) a last output row or None."""
+    output row, several in a list, or None; end(last record, state) a last output row or None."""
     names, width = rows.columns, [rows.columns.index(k) for k in keys]
     out_schema = to_arrow_schema(schema if isinstance(schema, StructType) else _parse_datatype_string(schema))
 
@@ -49,7 +49,7 @@ def sorted_fold(rows: DataFrame, keys: Sequence[str], order: Sequence[str], sche
                 state, told = row(state, record)
                 last = record
                 if told is not None:
-                    out.append(told)
+                    out += told if isinstance(told, list) else [told]
                 if len(out) >= ROWS:
                     yield batch_of(out)
                     out = []
