@@ -189,22 +189,30 @@ def unique_numeric_parameter(url: Column, name: str = "id") -> Column:
     return F.when((F.size(pairs) == 1) & value.rlike("^[0-9]+$"), value)
 
 
-@F.pandas_udf(T.BooleanType())
-def is_public_url(urls: pd.Series) -> pd.Series:
+def public_host(url) -> bool:
     """HTTP(S) with a public host: no local name, no private, loopback or reserved address."""
     import ipaddress
 
-    def test(url) -> bool:
-        try:
-            parts = urlsplit(url)
-            host = (parts.hostname or "").rstrip(".").encode("idna").decode().lower()
-            if parts.scheme not in DEFAULT_PORTS or parts.username or not (parts.port or 1) or not host or host == "localhost" or host.endswith((".localhost", ".local")):
-                return False
-        except (ValueError, UnicodeError, AttributeError, TypeError):
+    try:
+        parts = urlsplit(url)
+        host = (parts.hostname or "").rstrip(".").encode("idna").decode().lower()
+        if parts.scheme not in DEFAULT_PORTS or parts.username or not (parts.port or 1) or not host or host == "localhost" or host.endswith((".localhost", ".local")):
             return False
-        try:
-            return ipaddress.ip_address(host).is_global
-        except ValueError:
-            return "." in host
+    except (ValueError, UnicodeError, AttributeError, TypeError):
+        return False
+    try:
+        return ipaddress.ip_address(host).is_global
+    except ValueError:
+        return "." in host
+
 
-    return urls.map(test)
+@F.pandas_udf(T.BooleanType())
+def is_public_url(urls: pd.Series) -> pd.Series:
+    """public_host() of each."""
+    return urls.map(public_host)
+
+
+@F.pandas_udf(T.BooleanType())
+def are_public_urls(lists: pd.Series) -> pd.Series:
+    """Whether a list holds public URLs alone, and one at least; null for no list."""
+    return lists.map(lambda urls: None if urls is None else bool(len(urls)) and all(map(public_host, urls)))

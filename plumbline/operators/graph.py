@@ -46,6 +46,18 @@ def reachable(edges: DataFrame, seeds: list | DataFrame, depth: int = 50) -> Dat
     return _recursive(edges, seeds, depth)
 
 
+def steps_from(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
+    """node and depth, its fewest steps from a seed, of all nodes within `depth` steps; cycles do no harm."""
+    step = cut(edges.select("src", "dst"))
+    found = frontier = cut(seeds.select("node", F.lit(0).alias("depth")).distinct())
+    for at in range(1, depth + 1):
+        new = cut(frontier.join(step, frontier["node"] == step["src"]).select(F.col("dst").alias("node")).distinct().join(found, "node", "left_anti").withColumn("depth", F.lit(at)))
+        if new.isEmpty():
+            break
+        found, frontier = cut(found.unionByName(new)), new
+    return found
+
+
 def closure(edges: DataFrame, seeds: DataFrame, *, both_ways: bool = False, depth: int | None = None) -> DataFrame:
     """The nodes that the seeds reach, cycles or not: a frontier grows by one step a pass until it adds nothing.
 
@@ -136,3 +148,15 @@ def invalidate(evidence: DataFrame, requirements: DataFrame, changed: DataFrame)
     touched = closure(requirement_edges(requirements), direct.select(F.col("requirement").alias("node")).distinct())
     stale = evidence.join(touched.select(F.col("node").alias("requirement")), "requirement", "left_semi")
     return evidence.join(stale.select("id"), "id", "left_anti"), stale
+
+
+def complete_upward(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """node and complete: whether a node and all that it names, at any depth, are there and whole. nodes: node, whole; edges: parent, child.
+
+    What is not whole, and what names a child that is not there, makes all that name it incomplete, and so on upward. Nodes of
+    a cycle depend on each other; nothing but a fault makes them incomplete.
+    """
+    gone = edges.join(nodes.select(F.col("node").alias("child")), "child", "left_anti").select(F.col("parent").alias("node"))
+    faulty = nodes.where(~F.col("whole")).select("node").unionByName(gone).distinct()
+    reached = closure(edges.select(F.col("child").alias("src"), F.col("parent").alias("dst")), faulty)
+    return nodes.join(reached.select("node", F.lit(True).alias("__late")), "node", "left").select("node", F.col("__late").isNull().alias("complete"))

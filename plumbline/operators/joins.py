@@ -146,12 +146,51 @@ def longest_prefix(rows: DataFrame, name: str, rules: DataFrame) -> DataFrame:
 def occurrences(pages: DataFrame, quotes: DataFrame) -> DataFrame:
     """page, quote and first token of each place where a quote's tokens stand in a page. pages: page, tokens; quotes: quote, tokens.
 
-    Places of a quote's first token are joined on equality; the other tokens are compared there.
+    Where quotes also have `before` and `after` (tokens), these must stand right beside the place; null or none asks nothing.
+    Postings (token, page, place) meet each quote by its rarest token, so a frequent word is met only by quotes of such words
+    alone; what meets is checked against the page's tokens, moved once.
     """
-    at = pages.select("page", F.posexplode("tokens").alias("place", "first"), F.col("tokens").alias("all"))
-    wanted = quotes.where(F.size("tokens") > 0).select("quote", F.col("tokens").alias("wanted"), F.get("tokens", F.lit(0)).alias("first"))
-    same = F.slice("all", F.col("place") + 1, F.size("wanted")) == F.col("wanted")
-    return at.join(wanted, "first").where(same).select("page", "quote", "place")
+    none = F.array().cast("array<string>")
+    side = lambda c: F.coalesce(c, none) if c in quotes.columns else none
+    asked = quotes.where(F.size("tokens") > 0).select("quote", F.col("tokens").alias("wanted"), side("before").alias("before"), side("after").alias("after"))
+    tokens = asked.select(F.explode("wanted").alias("token")).distinct()
+    postings = pages.select("page", F.posexplode("tokens").alias("place", "token")).join(tokens, "token", "left_semi")
+    counts = tokens.join(postings.groupBy("token").agg(F.count(F.lit(1)).alias("found")), "token", "left").na.fill(0, ["found"])
+    each = asked.select("quote", F.posexplode("wanted").alias("offset", "token")).join(counts, "token")
+    rarest = each.groupBy("quote").agg(F.min_by(F.struct("token", "offset"), F.struct("found", "offset")).alias("by")).select("quote", "by.*")
+    starts = postings.join(rarest, "token").select("page", "quote", (F.col("place") - F.col("offset")).alias("place")).where("place >= 0")
+    near = starts.join(pages.select("page", F.col("tokens").alias("all")), "page").join(asked, "quote")
+    reads = lambda at, tokens: F.slice("all", at, F.size(tokens)) == F.col(tokens)
+    room = F.col("place") >= F.size("before")
+    held = reads(F.col("place") + 1, "wanted") & room & reads(F.when(room, F.col("place") - F.size("before") + 1).otherwise(1), "before") & reads(F.col("place") + 1 + F.size("wanted"), "after")
+    return near.where(held).select("page", "quote", "place")
+
+
+def aligned(records: DataFrame, parents: DataFrame, attachments: DataFrame) -> DataFrame:
+    """Which library item each record is: number, parent, stage, candidates (of the stage), children, claimed (by how many records) and missing.
+
+    Three equi-joins give candidates, the first that has one decides: the attachment that the record links to, the DOI, the
+    title. missing: fields that the parent lacks. records: number, doi, title_key, link_key; parents: key, doi, title_key, creators,
+    date, venue, url; attachments: key, parent.
+    """
+    owner = attachments.where("parent is not null").select(F.col("key").alias("link_key"), "parent").join(parents.select(F.col("key").alias("parent")), "parent")
+    stages = (
+        records.join(owner, "link_key").select("number", "parent", F.lit(1).alias("at")),
+        records.where("doi != ''").join(parents.select("doi", F.col("key").alias("parent")), "doi").select("number", "parent", F.lit(2).alias("at")),
+        records.where("title_key != ''").join(parents.select("title_key", F.col("key").alias("parent")), "title_key").select("number", "parent", F.lit(3).alias("at")),
+    )
+    found = reduce(DataFrame.unionByName, stages).distinct()
+    by_stage = found.groupBy("number", "at").agg(F.min("parent").alias("parent"), F.count(F.lit(1)).alias("candidates"))
+    best = by_stage.groupBy("number").agg(F.min_by(F.struct("parent", "candidates", "at"), "at").alias("b")).select("number", "b.*")
+    claims = best.groupBy("parent").agg(F.count(F.lit(1)).alias("claimed"))
+    children = attachments.groupBy("parent").agg(F.count(F.lit(1)).alias("children"))
+    lacks = lambda c, test: F.when(test, F.lit(c))
+    blank = lambda c: F.coalesce(c, F.lit("")) == ""
+    fields = parents.select(F.col("key").alias("parent"), F.array_compact(F.array(lacks("doi", blank("doi")), lacks("creators", F.coalesce("creators", F.lit(0)) == 0), lacks("date", blank("date")), lacks("venue", blank("venue")), lacks("url", blank("url")))).alias("missing"))
+    told = best.join(claims, "parent").join(children, "parent", "left").join(fields, "parent")
+    stage = F.when(F.col("at") == 1, "link").when(F.col("at") == 2, "doi").when(F.col("at") == 3, "title")
+    none = F.lit(0).cast("long")
+    return records.select("number").join(told, "number", "left").select("number", "parent", stage.alias("stage"), F.coalesce("candidates", none).alias("candidates"), F.coalesce("children", none).alias("children"), F.coalesce("claimed", none).alias("claimed"), F.coalesce("missing", F.array().cast("array<string>")).alias("missing"))
 
 
 def latest(rows: DataFrame, key: str, order: str) -> DataFrame:

@@ -51,6 +51,38 @@ def incident_id(component: Column, symptom: Column, scope: Column) -> Column:
     return F.substring(F.sha2(F.concat_ws("\n", F.lower(F.trim(component)), signature(symptom), F.lower(F.trim(F.coalesce(scope, F.lit(""))))), 256), 1, 20)
 
 
+# What an incident is told as, by the first rule whose every group of words has one in its signature.
+NOTICES = (
+    ((("apply_patch", "apply-patch"),), "补丁工具无法准备当前 Windows 工作区"),
+    ((("patch",), ("sandbox",)), "补丁工具无法准备当前 Windows 工作区"),
+    ((("powershell",), ("pipeline", "pipe", "input")), "PowerShell 管道输入处理失败"),
+    ((("browser", "bing", "navigation"),), "浏览器无法打开 Bing 搜索页面"),
+    ((("path", "directory", "file not found", "not found"),), "文件或目录路径不正确"),
+    ((("permission", "access denied", "sandbox"),), "当前操作受到权限或沙箱限制"),
+    ((("test", "validation", "assertion"),), "测试或结果验证未通过"),
+    ((("network", "timeout", "dns"),), "网络连接或外部服务访问失败"),
+    ((("python", "yaml", "pyyaml", "matplotlib", "fitz", "pymupdf", "user-site", "dependency", "site-package"),), "Python 依赖缺失或沙箱不可见"),
+    ((("zotero",),), "Zotero 操作失败"),
+    ((("thread", "list_threads", "read_thread"),), "Codex 线程接口调用失败"),
+    ((("ocr", "vision", "image", "figure", "截图", "图像"),), "图像或截图读取失败"),
+    ((("ripgrep", "rg regex", "rg-"),), "ripgrep 检索表达式失败"),
+    ((("git ", "repo", "worktree"),), "Git 仓库或工作区状态异常"),
+)
+NOTICE = "工具执行失败，详细原因已写入故障库"
+
+
+def notice(component: Column, symptom: Column) -> Column:
+    """What a user is told of an incident."""
+    said = signature(F.concat_ws(" ", component, symptom))
+    out = F.lit(NOTICE)
+    for groups, text in reversed(NOTICES):
+        hit = F.lit(True)
+        for words in groups:
+            hit &= F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(said, w))
+        out = F.when(hit, text).otherwise(out)
+    return out
+
+
 def upsert_incidents(known: DataFrame, captured: DataFrame) -> DataFrame:
     """Incidents by id: first seen kept, sightings added up, the latest of everything else. Both: id, status, first_seen, last_seen, occurrences, detail.
 

@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-GROUPS = ("web", "documents", "series", "commerce", "control", "registries", "rules")
+GROUPS = ("web", "documents", "series", "commerce", "control", "reading", "registries", "rules")
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}

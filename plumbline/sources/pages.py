@@ -140,6 +140,27 @@ def sitemap_tree(edges: DataFrame, root: str, depth: int = 5) -> DataFrame:
     return reachable(edges.select(F.col("parent").alias("src"), F.col("child").alias("dst")), [root], depth)
 
 
+def sitemap_completion(parsed: DataFrame, seeds: DataFrame, depth: int = 5) -> DataFrame:
+    """url, depth and complete of the sitemaps that the seeds (url, origin) reach: all that a complete one names was read, at any depth.
+
+    parsed: path (the sitemap's url), kind, child_sitemaps, problem. A child deeper than `depth` counts as not read, unless it is
+    reached by a shorter way. Names are compared as canonical sitemap URLs.
+    """
+    from plumbline.operators.graph import complete_upward, steps_from
+
+    edges = parsed.where("problem is null and kind = 'index'").select(F.col("path").alias("parent"), F.explode("child_sitemaps").alias("child")).distinct()
+    near = steps_from(edges.select(F.col("parent").alias("src"), F.col("child").alias("dst")), seeds.select(F.col("url").alias("node")).distinct(), depth)
+    read = near.join(parsed.select(F.col("path").alias("node"), F.col("problem").isNull().alias("whole")), "node", "left").withColumn("whole", F.coalesce("whole", F.lit(False)))
+    own = edges.join(near.select(F.col("node").alias("parent")), "parent", "left_semi")
+    told = complete_upward(read.select("node", "whole"), own)
+    return near.join(told, "node").select(F.col("node").alias("url"), "depth", "complete")
+
+
+def exhaustive_origins(completion: DataFrame, seeds: DataFrame) -> DataFrame:
+    """Origins of which some seed is complete."""
+    return seeds.join(completion.where("complete").select("url"), "url", "left_semi").select("origin").distinct()
+
+
 def url_events(parsed: DataFrame, backend: str = "sitemap") -> DataFrame:
     """Events of the shared protocol: a row for each page URL, and one summary a sitemap after them."""
     pages = parsed.select("path", F.posexplode("primary_urls").alias("ord", "url")).select("path", F.lit("url").alias("type"), "url", F.lit(backend).alias("backend"), F.col("ord").cast("long"), F.lit(None).cast("string").alias("end_reason"))
