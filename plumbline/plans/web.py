@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions import urls
+from plumbline.lineage import shared_folder
 from plumbline.operators import ledger
 from plumbline.sources import index, pages
 
@@ -145,3 +148,27 @@ _add(
     lambda s, d: _table(s, d, "pages").select("page_id", F.coalesce(F.nullif(F.regexp_extract("url", r"/([0-9]+)(?:\.html)?/?(?:[?#].*)?$", 1), F.lit("")), urls.unique_numeric_parameter(F.col("url"))).alias("product_id"), urls.host_of(F.col("url")).alias("platform")).where("product_id is not null"),
     "SELECT page_id, regexp_extract(url, '/([0-9]+)(?:\\.html)?/?(?:[?#].*)?$', 1) AS product_id, regexp_extract(url, '://([^/?#:]*)', 1) AS platform FROM pages WHERE regexp_matches(url, '/([0-9]+)(?:\\.html)?/?(?:[?#].*)?$')".replace("\\\\", "\\"),
 )
+
+
+def many_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages as an index of files by host, and every page's host, host above, address and first letters as targets of one read."""
+    table = index.url_index(_table(spark, sf_dir, "pages")).select("url", F.col("host_reversed").alias("url_host_name_reversed"), F.col("host").alias("url_host_name"), "html")
+    root = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
+    table.repartitionByRange(8, "url_host_name_reversed", "url").write.parquet(root)
+    files = spark.read.parquet(root).inputFiles()
+    url, host = F.col("url"), F.col("url_host_name")
+    kinds = F.array(*[F.struct(F.lit(k).alias("kind"), t.alias("target")) for k, t in (("domain", host), ("subdomain", F.regexp_replace(host, r"^[^.]+\.", "")), ("exact", url), ("prefix", F.regexp_extract(url, r"^[^:]+://[^/?#]+/.?", 0)))])
+    targets = table.select(F.explode(kinds).alias("t")).select("t.*").where("target != ''").distinct().select(F.concat_ws(":", "kind", "target").alias("target_id"), "kind", "target")
+    return index.target_events(spark, index.range_map(spark, files), targets, limit=50)
+
+
+_add(
+    "page_target_events",
+    many_targets,
+    f"""WITH p AS (SELECT url, regexp_extract(url, '://([^/?#:]*)', 1) AS host, {_BACK} AS back FROM pages),
+    t AS (SELECT DISTINCT kind, target FROM (SELECT unnest([{{kind: 'domain', target: host}}, {{kind: 'subdomain', target: regexp_replace(host, '^[^.]+\\.', '')}}, {{kind: 'exact', target: url}}, {{kind: 'prefix', target: regexp_extract(url, '^[^:]+://[^/?#]+/.?')}}], recursive := true) FROM p) WHERE target <> ''),
+    m AS (SELECT kind || ':' || target AS target_id, url FROM t JOIN p ON CASE kind WHEN 'exact' THEN url = target WHEN 'prefix' THEN starts_with(url, target) WHEN 'domain' THEN host = target OR ends_with(host, '.' || target) ELSE ends_with(host, '.' || target) END),
+    l AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY target_id ORDER BY url) <= 50)
+    SELECT target_id, 'url' AS type, url, count(*) AS captures, NULL AS end_reason FROM l GROUP BY target_id, url
+    UNION ALL SELECT kind || ':' || target, 'summary', NULL, count(l.url), CASE WHEN count(l.url) >= 50 THEN 'limit' ELSE 'exhausted' END FROM t LEFT JOIN l ON l.target_id = kind || ':' || target GROUP BY kind, target""",
+)

@@ -6,7 +6,7 @@ that a scan reads; Parquet then skips row groups by the same prefix, which the s
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions import urls
@@ -73,6 +73,99 @@ def footer_map(spark: SparkSession, paths: list[str], column: str = "url_host_na
     return opened.mapInArrow(run, "file_name string, min_host string, max_host string")
 
 
+def range_map(spark: SparkSession, paths: list[str], column: str = "url_host_name_reversed") -> DataFrame:
+    """The shard map of files in any store that Spark reads, from the one column alone; files without values are left out."""
+    rows = spark.read.parquet(*paths).select(F.col("_metadata.file_path").alias("file_name"), F.col(column).alias("host"))
+    return shard_map(rows, "file_name", "host")
+
+
+#: Files whose ranges one pass over the targets holds, some 30 MB; more of them take more passes.
+MOST_FILES = 200_000
+
+
+def targets_of(targets: DataFrame) -> DataFrame:
+    """target_id, kind, target and the reversed host. targets: target_id, kind, target."""
+    host = F.when(F.col("kind").isin("exact", "prefix"), urls.host_of(F.col("target"))).otherwise(F.lower("target"))
+    return targets.select("target_id", "kind", "target", urls.reversed_host(host).alias("back"))
+
+
+def files_of_targets(shards: DataFrame, targets: DataFrame, block: int = MOST_FILES) -> DataFrame:
+    """target_id and file_name of the files that may hold rows of each target (back): all targets in one pass.
+
+    Files are sorted by their least host with the greatest host so far; a target's files end where hosts start beyond it, and
+    are walked back until none before can reach it.
+    """
+    import bisect
+    import itertools
+
+    import pyarrow as pa
+
+    ranges = [tuple(r) for r in shards.select("min_host", "max_host", "file_name").orderBy("min_host", "file_name").toLocalIterator()]
+    kind = dict(targets.dtypes)["target_id"]
+    parts = []
+    for at in range(0, max(1, len(ranges)), block):
+        held = ranges[at : at + block]
+        least = [r[0] for r in held]
+        reach = list(itertools.accumulate((r[1] for r in held), max))
+
+        def run(batches, held=held, least=least, reach=reach):
+            for batch in batches:
+                ids, files = [], []
+                for target, back, scope_kind in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                    one = scope_kind in ("exact", "prefix")
+                    i = bisect.bisect_right(least, back) if one else bisect.bisect_left(least, back + "/")
+                    while i and reach[i - 1] >= back:
+                        i -= 1
+                        if held[i][1] >= back:
+                            ids.append(target)
+                            files.append(held[i][2])
+                yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field(0).type), pa.array(files, pa.string())], names=["target_id", "file_name"])
+
+        parts.append(targets.where("back is not null").select("target_id", "back", "kind").mapInArrow(run, f"target_id {kind}, file_name string"))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def rows_of_targets(rows: DataFrame, targets: DataFrame, *, url: str = "url", reversed_host: str = "url_host_name_reversed") -> DataFrame:
+    """rows with target_id, once for each target that they belong to: equi-joins on hosts, whatever the number of targets.
+
+    A host meets the targets of itself and of the hosts above it; addresses are compared where hosts are equal.
+    """
+    labels = F.split(reversed_host, r"\.")
+    above = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda n: F.array_join(F.slice(labels, F.lit(1), n), "."))
+    each = rows.where(F.col(reversed_host).isNotNull()).withColumn("__back", F.explode(above))
+    met = each.join(targets.select("target_id", F.col("kind").alias("__kind"), F.col("target").alias("__target"), F.col("back").alias("__back")), "__back")
+    own = F.col("__back") == F.col(reversed_host)
+    holds = F.when(F.col("__kind") == "domain", True).when(F.col("__kind") == "subdomain", ~own).when(F.col("__kind") == "exact", own & (F.col(url) == F.col("__target"))).otherwise(own & F.startswith(F.col(url), F.col("__target")))
+    return met.where(holds).select(*rows.columns, "target_id")
+
+
+def read_targets(spark: SparkSession, shards: DataFrame, targets: DataFrame, *, limit: int = 5000) -> DataFrame:
+    """COLUMNS and target_id of the rows of all targets (target_id, kind, target), at most `limit` a target in order of url.
+
+    Only files that may hold some are read, and of them only COLUMNS that they have; their paths pass the driver.
+    """
+    asked = targets_of(targets)
+    paths = [r.file_name for r in files_of_targets(shards, asked).select("file_name").distinct().orderBy("file_name").toLocalIterator()]
+    if not paths:
+        return rows_of_targets(spark.createDataFrame([], ", ".join(f"{c} string" for c in COLUMNS)), asked)
+    rows = spark.read.option("mergeSchema", True).parquet(*paths)
+    found = rows_of_targets(rows.select(*[c for c in COLUMNS if c in rows.columns]), asked)
+    place = F.row_number().over(Window.partitionBy("target_id").orderBy("url", *[c for c in ("crawl", "fetch_time") if c in found.columns]))
+    return found.withColumn("__n", place).where(F.col("__n") <= limit).drop("__n")
+
+
+def target_events(spark: SparkSession, shards: DataFrame, targets: DataFrame, *, limit: int = 5000) -> DataFrame:
+    """Events of the shared protocol for each target: its urls, each once, and a summary with their number and whether the limit was met."""
+    held = read_targets(spark, shards, targets, limit=limit).groupBy("target_id", "url").agg(F.count(F.lit(1)).alias("captures"))
+    found = held.select("target_id", F.lit("url").alias("type"), "url", "captures", F.lit(None).cast("string").alias("end_reason"))
+    counts = held.groupBy("target_id").agg(F.sum("captures").alias("n"))
+    ends = targets.select("target_id").join(counts, "target_id", "left").select("target_id", F.lit("summary").alias("type"), F.lit(None).cast("string").alias("url"), F.coalesce("n", F.lit(0)).alias("captures"), F.when(F.col("n") >= limit, "limit").otherwise("exhausted").alias("end_reason"))
+    return found.unionByName(ends)
+
+
 def overlapping(shards: DataFrame, kind: str, target: str) -> DataFrame:
     """Files that may hold rows of a scope. `/` follows `.`, so the range holds the host and all hosts below it, and at most too much."""
     if kind in ("exact", "prefix"):

@@ -117,6 +117,36 @@ def test_pruned_scan(spark, tmp_path):
     assert [r.url for r in index.read_results(spark, str(tmp_path / "r.json"), "url string").collect()] == ["a"]
 
 
+def test_many_targets_prune_files_at_once(spark, tmp_path, monkeypatch):
+    hosts = [f"{a}{n}.site{n % 40:02}.{t}" for n in range(120) for a in ("www.", "") for t in ("com", "org")]
+    rows = spark.createDataFrame([(f"https://{h}/{'x' if n % 2 else 'y'}/{n}", ".".join(reversed(h.split("."))), "drop") for n, h in enumerate(hosts)], "url string, url_host_name_reversed string, other string")
+    rows.repartitionByRange(12, "url_host_name_reversed").write.parquet(str(tmp_path / "i"))
+    paths = sorted(f"file://{p}" for p in tmp_path.glob("i/*.parquet"))
+    shards = index.range_map(spark, paths)
+    assert {tuple(r)[1:] for r in shards.collect()} == {tuple(r)[1:] for r in index.footer_map(spark, paths).collect()} and shards.count() > 6
+    asked = [("d", "domain", "site07.org"), ("s", "subdomain", "site07.org"), ("e", "exact", "https://www.3.site03.com/x/13"), ("p", "prefix", "https://5.site05.com/"), ("none", "domain", "nowhere.net"), ("up", "domain", "www.7.site07.org")]
+    targets = spark.createDataFrame(asked, "target_id string, kind string, target string")
+    files = index.files_of_targets(shards, index.targets_of(targets))
+    by_target = {}
+    for r in files.collect():
+        by_target.setdefault(r.target_id, set()).add(r.file_name)
+    assert "none" not in by_target and len(by_target["d"]) < len(paths) / 2
+    for i, kind, target in asked:  # no more than the filter of one target, and all that it finds
+        assert by_target.get(i, set()) <= {r.file_name for r in index.overlapping(shards, kind, target).collect()}
+    assert sorted(map(tuple, index.files_of_targets(shards, index.targets_of(targets), block=2).collect())) == sorted(map(tuple, files.collect()))
+    found = index.read_targets(spark, shards, targets)
+    assert "other" not in found.columns and len(found.inputFiles()) < len(paths)
+    got = {}
+    for r in found.collect():
+        got.setdefault(r.target_id, set()).add(r.url)
+    urls = {r.url for r in rows.collect()}
+    assert got["d"] == got["s"] == {u for u in urls if ".site07.org/" in u} and got["up"] == {u for u in urls if "//www.7.site07.org/" in u}
+    assert got["p"] == {u for u in urls if u.startswith("https://5.site05.com/")} and got.get("e", set()) == {u for u in urls if u == "https://www.3.site03.com/x/13"}
+    ends = {r.target_id: (r.captures, r.end_reason) for r in index.target_events(spark, shards, targets, limit=2).where("type = 'summary'").collect()}
+    assert ends["d"] == (2, "limit") and ends["none"] == (0, "exhausted")
+    assert index.read_targets(spark, shards, targets.where("target_id = 'none'")).count() == 0
+
+
 def test_payloads(spark):
     body = json.dumps({"results": [{"url": "https://a", "title": "t", "content": "c", "engine": "x", "engines": ["y", "x"], "positions": [0, 3, 2]}]})
     got = files.run_adapter("search_results", spark.createDataFrame([("q", body)], "query string, body string")).first()
