@@ -1,13 +1,16 @@
 """Whole tables against brute force, beside their SQL."""
 
+import re
 from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 from plumbline.functions import redact
-from plumbline.operators import graph, notes
-from plumbline.plans import catalog, commerce
+from plumbline.functions import text as X
+from plumbline.functions.urls import corpus_url, is_official
+from plumbline.operators import corpus, graph, notes
+from plumbline.plans import catalog, commerce, documents
 from plumbline.sources import files, index
 
 AT = "/root/testdata/sf0.01"
@@ -129,6 +132,35 @@ def test_stream_concurrency_equals_fold(spark):
     assert {(r.backend, r.ord): (r.previous_tier, r.tier, r.action) for r in got} == want and len(got) == len(want)
 
 
+def test_entity_resolution(spark):
+    """Every record against the rules over plain lists; keys and official addresses come from the operators' own columns."""
+    query = documents.records(spark, AT).withColumn("url", F.when(F.col("ord") % 11 == 0, F.col("url")).otherwise(""))
+    rows = corpus.trimmed(query).withColumn("source", F.when(F.lower("source") == "nature machine intelligence", "NMI").otherwise(F.col("source")))
+    title, url = X.title_words(F.col("title")), corpus_url(F.col("url"))
+    held = rows.select("ord", "title", "citation", "source", "url", corpus.record_keys().alias("keys"), is_official(F.col("url")).alias("official"), title.alias("t"), url.alias("u"), X.identifier(F.col("url")).alias("ui"), X.identifier(F.col("title")).alias("ti")).orderBy("ord").collect()
+    entries, known = [], {}
+    for r in held:
+        hits = [known[k] for k in r["keys"] if k in known]
+        if not hits:
+            entries.append([r])
+            known |= dict.fromkeys(r["keys"], len(entries) - 1)
+            continue
+        at = min(hits)
+        own = entries[at] = [*entries[at], r]
+        face = ([x for x in own if x.official] or [x for x in own if x.url] or own)[0]
+        first = lambda c, own=own: next((x[c] for x in own if x[c]), None)
+        keys = [first("t") and f"title:{first('t')}", face.u and f"url:{face.u}", face.ui or first("ti")]
+        known |= {k: at for k in keys if k}
+    number = lambda c: int(c) if re.fullmatch("-?[0-9]+", c) else 0
+    want = []
+    for own in entries:
+        venues = [x.source for x in own if x.source]
+        venue = next((v for v in venues if v in X.EXCLUDED_VENUES), venues[-1] if venues else "")
+        want.append((own[0].ord, next((x.title for x in own if x.title), ""), max(own, key=lambda x: number(x.citation)).citation, venue))
+    got = [tuple(r) for r in catalog.QUERIES["entity_resolution_fold"](spark, AT).select("ord", "title", "citation", "source").collect()]
+    assert sorted(got) == sorted(want) and len(want) < len(held)
+
+
 def test_long_chains(spark):
     chain = spark.range(60).selectExpr("lpad(cast(id as string), 3, '0') as id", "if(id = 0, cast(array() as array<string>), array(lpad(cast(id - 1 as string), 3, '0'))) as requires")
     order = graph.dependency_order(chain).collect()
