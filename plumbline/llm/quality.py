@@ -152,7 +152,7 @@ WITH d AS (
 ), hosts AS (
   SELECT host, count(*) AS docs FROM d GROUP BY host
 ), frequent AS (
-  SELECT host, norm FROM (SELECT host, norm, count(DISTINCT doc_id) AS found FROM held GROUP BY host, norm) JOIN hosts USING (host) WHERE found > 20 AND found > 0.01 * docs
+  SELECT host, norm FROM (SELECT host, norm, count(DISTINCT doc_id) AS found FROM held GROUP BY host, norm) JOIN hosts USING (host) WHERE found > 20 AND found > least(0.01 * docs, 100)
 ), lost AS (
   SELECT doc_id, CAST(sum(n) AS BIGINT) AS removed FROM held SEMI JOIN frequent USING (host, norm) GROUP BY doc_id
 ), dups AS (
