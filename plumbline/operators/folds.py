@@ -24,9 +24,9 @@ ROWS = 4096
 Row = dict[str, Any]
 
 
-def sorted_fold(rows: DataFrame, keys: Sequence[str], order: Sequence[str], schema: str | StructType, *, begin: Callable[[Row], Any], row: Callable[[Any, Row], tuple[Any, tuple | list[tuple] | None]], end: Callable[[Row, Any], tuple | None] | None = None) -> DataFrame:
+def sorted_fold(rows: DataFrame, keys: Sequence[str], order: Sequence[str], schema: str | StructType, *, begin: Callable[[Row], Any], row: Callable[[Any, Row], tuple[Any, tuple | list[tuple] | None]], end: Callable[[Row, Any], tuple | list[tuple] | None] | None = None) -> DataFrame:
     """Folds the rows of each key in order. begin(first row) gives a key's state; row(state, record) the next state and an
-    output row, several in a list, or None; end(last record, state) a last output row or None."""
+    output row, several in a list, or None; end(last record, state) last ones."""
     names, width = rows.columns, [rows.columns.index(k) for k in keys]
     out_schema = to_arrow_schema(schema if isinstance(schema, StructType) else _parse_datatype_string(schema))
 
@@ -34,6 +34,9 @@ def sorted_fold(rows: DataFrame, keys: Sequence[str], order: Sequence[str], sche
         columns = list(zip(*out, strict=True)) if out else [[] for _ in out_schema]
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, out_schema, strict=True)], schema=out_schema)
 
+    def listed(told: tuple | list[tuple] | None) -> list[tuple]:
+        return told if isinstance(told, list) else [] if told is None else [told]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = state = last = None
         out: list[tuple] = []
@@ -43,18 +46,17 @@ def sorted_fold(rows: DataFrame, keys: Sequence[str], order: Sequence[str], sche
                 record = dict(zip(names, values, strict=True))
                 own = tuple(values[i] for i in width)
                 if own != key or last is None:
-                    if last is not None and end and (told := end(last, state)) is not None:
-                        out.append(told)
+                    if last is not None and end:
+                        out += listed(end(last, state))
                     key, state = own, begin(record)
                 state, told = row(state, record)
                 last = record
-                if told is not None:
-                    out += told if isinstance(told, list) else [told]
+                out += listed(told)
                 if len(out) >= ROWS:
                     yield batch_of(out)
                     out = []
-        if last is not None and end and (told := end(last, state)) is not None:
-            out.append(told)
+        if last is not None and end:
+            out += listed(end(last, state))
         yield batch_of(out)
 
     return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.lineage import shared_folder
-from plumbline.operators import annotations, corpus, joins, registry, scan
+from plumbline.operators import annotations, blocks, corpus, joins, registry, scan
 from plumbline.sources import pages
 from plumbline.sources.versions import Versions
 from plumbline.streaming import groups, leases
@@ -148,3 +148,27 @@ def _channels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Its rules need each state before; tests/test_reading.py holds every row against a brute-force version.
 _add("ev_channel_fold", lambda s, d: leases.channel_fold(_channels(s, d)))
+
+
+def _noted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as notes: a folded callout with the text's lines, a quote inside it, and every third one with a fence around its end."""
+    n = "CAST(doc_id AS STRING)"
+    quoted = "concat('> ', replace(replace(coalesce(text, ''), '>', ' '), '\\n', '\\n> '))"
+    return _rows(spark, sf_dir, "documents", f"concat('d/', {n}, '.md') AS path", f"concat('> [!Info]- Doc ', {n}, '\\n', {quoted}, '\\n> > inner ^b-', {n}, '\\n', CASE WHEN doc_id % 3 = 0 THEN '```\\n> [!no] code' ELSE '> [!tip] last' END) AS content")
+
+
+_LINES = "len(string_split(coalesce(text, ''), chr(10)))"
+_add(
+    "doc_note_blocks",
+    lambda s, d: blocks.blocks(_noted(s, d)),
+    f"""WITH d AS (SELECT 'd/' || doc_id || '.md' AS path, doc_id, {_LINES} AS n FROM documents)
+    SELECT path, 1 AS line, CAST(n + 2 AS INT) AS last, 1 AS depth, 'info' AS type, true AS folded, 'Doc ' || doc_id AS title, NULL::INT AS parent, NULL AS block_id FROM d
+    UNION ALL SELECT path, CAST(n + 2 AS INT), CAST(n + 2 AS INT), 2, 'quote', false, '', 1, 'b-' || doc_id FROM d
+    UNION ALL SELECT path, CAST(n + 3 AS INT), CAST(n + 3 AS INT), 1, 'tip', false, 'last', NULL, NULL FROM d WHERE doc_id % 3 > 0""",
+)
+_add(
+    "doc_note_without_code",
+    lambda s, d: blocks.without_code(_noted(s, d)).select("path", F.sha2("text", 256).alias("sha"), "unclosed"),
+    f"""WITH d AS (SELECT doc_id, {_LINES} AS n, '> [!Info]- Doc ' || doc_id || chr(10) || '> ' || replace(replace(coalesce(text, ''), '>', ' '), chr(10), chr(10) || '> ') || chr(10) || '> > inner ^b-' || doc_id || chr(10) AS body FROM documents)
+    SELECT 'd/' || doc_id || '.md' AS path, sha256(body || CASE WHEN doc_id % 3 = 0 THEN chr(10) ELSE '> [!tip] last' END) AS sha, CASE WHEN doc_id % 3 = 0 THEN CAST(n + 3 AS INT) END AS unclosed FROM d""",
+)
