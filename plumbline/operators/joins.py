@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.operators import scan
+
 
 def overlay(local: DataFrame, public: DataFrame, key: str) -> DataFrame:
     """All rows of both by key; where both have one, local values first and public ones for what is null."""
@@ -110,6 +112,29 @@ def set_counts(a: DataFrame, b: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, [f.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("operation"), "n") for name, f in named.items()])
 
 
+def concatenated(*tables: DataFrame, order: str = "ord") -> DataFrame:
+    """The rows of all tables, one table after the other and each in its order, numbered anew from 1 in the order column."""
+    marked = [t.withColumn("__table", F.lit(i)) for i, t in enumerate(tables)]
+    placed = scan.numbered(reduce(DataFrame.unionByName, marked), ["__table", order], "__place")
+    return placed.withColumn(order, F.col("__place")).select(*tables[0].columns)
+
+
+def route_owners(paths: DataFrame, rules: DataFrame) -> DataFrame:
+    """path, owner, prefix and fault of each path: the owner of the longest rule (prefix, owner) that the path lies under.
+
+    A path lies under a prefix that it equals or that ends at one of its slashes. Two owners of the longest prefix are
+    ambiguous; no rule is unknown. A path is cut at its slashes, and the cuts meet the rules on equality.
+    """
+    parts = F.split("path", "/")
+    cuts = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
+    met = paths.select("path").distinct().select("path", F.explode(cuts).alias("prefix")).join(rules.select(F.regexp_replace("prefix", "/+$", "").alias("prefix"), "owner").distinct(), "prefix")
+    by = met.groupBy("path", "prefix").agg(F.count(F.lit(1)).alias("owners"), F.min("owner").alias("owner"))
+    best = by.groupBy("path").agg(F.max_by(F.struct("prefix", "owners", "owner"), F.length("prefix")).alias("b")).select("path", "b.*")
+    told = paths.join(best, "path", "left")
+    fault = F.when(F.col("owners").isNull(), "unknown").when(F.col("owners") > 1, "ambiguous")
+    return told.select("path", F.when(F.col("owners") == 1, F.col("owner")).alias("owner"), "prefix", fault.alias("fault"))
+
+
 def without(files: DataFrame, *others: DataFrame, key: str = "path") -> DataFrame:
     """Rows whose key none of the others has: a chain of anti-joins on one key, so one shuffle a side."""
     return reduce(lambda left, right: left.join(right.select(key), key, "left_anti"), others, files)

@@ -106,6 +106,44 @@ def recovery_summary(failures: DataFrame) -> DataFrame:
     return with_disposition(failures).rollup("disposition", "query_family", "category").agg(F.count(F.lit(1)).alias("n"))
 
 
+# The attempt that each stage of a recovery is, platforms and the most pages of a search.
+STAGE_ATTEMPTS = {"initial": 0, "reproject": 1, "reload": 2}
+PLATFORMS = ("jd", "taobao")
+MOST_PAGES = 512
+TEXT_BOUNDS = {"run_id": 256, "platform": 16, "query_family": 512, "recovery_stage": 16, "category": 64, "disposition": 32}
+
+
+def recovery_faults() -> Column:
+    """What is wrong with a recovery event (run_id, platform, query_family, page_number, recovery_stage, attempt, category, disposition)."""
+    text = lambda c: F.trim(F.coalesce(F.col(c), F.lit("")))
+    names = lambda table: F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
+    fault = lambda ok, said: F.when(~F.coalesce(ok, F.lit(False)), F.lit(said))
+    known = F.try_element_at(names(DISPOSITIONS), text("category"))
+    return F.array_compact(
+        F.array(
+            *[fault((text(c) != "") & (F.length(text(c)) <= most), f"{c} is empty or too long") for c, most in TEXT_BOUNDS.items()],
+            fault(F.lower(text("platform")).isin(*PLATFORMS), "unknown platform"),
+            fault(F.col("page_number").between(1, MOST_PAGES), "page out of bounds"),
+            fault(F.try_element_at(names(STAGE_ATTEMPTS), F.lower(text("recovery_stage"))) == F.col("attempt"), "attempt is not the stage's"),
+            fault(known.isNotNull(), "unknown category"),
+            F.when(known.isNotNull(), fault(known == text("disposition"), "disposition is not the category's")),
+        )
+    )
+
+
+def append_recoveries(known: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """known with the new events that hold the rules, platform and stage lower-cased and texts trimmed; and those refused, with faults."""
+    judged = new.withColumn("faults", recovery_faults())
+    clean = {c: F.trim(c) for c in TEXT_BOUNDS} | {c: F.lower(F.trim(c)) for c in ("platform", "recovery_stage")}
+    return known.unionByName(judged.where(F.size("faults") == 0).withColumns(clean).select(*known.columns)), judged.where(F.size("faults") > 0)
+
+
+def failure_histogram(failures: DataFrame) -> DataFrame:
+    """category and n, in order of category; blank ones are left out."""
+    named = F.trim(F.coalesce("category", F.lit("")))
+    return failures.select(named.alias("category")).where("category != ''").groupBy("category").agg(F.count(F.lit(1)).alias("n")).orderBy("category")
+
+
 def failure_categories(failures: DataFrame) -> DataFrame:
     return failures.select("category").distinct().orderBy("category")
 

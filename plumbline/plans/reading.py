@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.lineage import shared_folder
-from plumbline.operators import annotations, blocks, corpus, joins, registry, scan
+from plumbline.operators import annotations, blocks, corpus, joins, ledger, registry, scan
 from plumbline.sources import pages
 from plumbline.sources.versions import Versions
 from plumbline.streaming import groups, leases
@@ -172,3 +172,44 @@ _add(
     f"""WITH d AS (SELECT doc_id, {_LINES} AS n, '> [!Info]- Doc ' || doc_id || chr(10) || '> ' || replace(replace(coalesce(text, ''), '>', ' '), chr(10), chr(10) || '> ') || chr(10) || '> > inner ^b-' || doc_id || chr(10) AS body FROM documents)
     SELECT 'd/' || doc_id || '.md' AS path, sha256(body || CASE WHEN doc_id % 3 = 0 THEN chr(10) ELSE '> [!tip] last' END) AS sha, CASE WHEN doc_id % 3 = 0 THEN CAST(n + 3 AS INT) END AS unclosed FROM d""",
 )
+
+
+_RECOVERY = ("CAST(event_id AS STRING) AS id", "CASE WHEN event_id % 19 = 0 THEN ' ' ELSE 'run' END AS run_id", "CASE WHEN user_id % 9 = 0 THEN 'other' WHEN user_id % 2 = 0 THEN 'JD ' ELSE 'taobao' END AS platform", "event_type AS query_family", "user_id % 520 AS page_number", "CASE event_id % 3 WHEN 0 THEN 'Initial' WHEN 1 THEN 'reproject' ELSE 'reload' END AS recovery_stage", "CASE WHEN event_id % 13 = 0 THEN 1 ELSE CAST(event_id % 3 AS INT) END AS attempt")
+
+
+def _recoveries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as recoveries of all categories in turn, some with faults."""
+    names = list(ledger.DISPOSITIONS)
+    category = F.get(F.array(*map(F.lit, [*names, "odd"])), (F.col("user_id") % (len(names) + 1)).cast("int"))
+    rows = _rows(spark, sf_dir, "events", *_RECOVERY, "user_id", "event_id").withColumn("category", category)
+    return ledger.with_disposition(rows).withColumn("disposition", F.when(F.col("event_id") % 17 == 0, "wrong").otherwise(F.coalesce("disposition", F.lit("none")))).drop("user_id", "event_id")
+
+
+def _appended(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _recoveries(spark, sf_dir)
+    kept, refused = ledger.append_recoveries(rows.limit(0), rows)
+    return kept.select("id", "platform", "recovery_stage", "category", F.lit("").alias("faults")).unionByName(refused.select("id", "platform", "recovery_stage", "category", F.array_join("faults", "; ").alias("faults")))
+
+
+_NAMES = list(ledger.DISPOSITIONS)
+_add(
+    "ev_recovery_append",
+    _appended,
+    f"""WITH c AS (SELECT *, {[*_NAMES, "odd"]}[user_id % {len(_NAMES) + 1} + 1] AS cat FROM events),
+    f AS (SELECT CAST(event_id AS VARCHAR) AS id, user_id, event_id, cat, concat_ws('; ', CASE WHEN event_id % 19 = 0 THEN 'run_id is empty or too long' END, CASE WHEN user_id % 9 = 0 THEN 'unknown platform' END, CASE WHEN user_id % 520 NOT BETWEEN 1 AND 512 THEN 'page out of bounds' END,
+      CASE WHEN event_id % 13 = 0 AND event_id % 3 <> 1 THEN 'attempt is not the stage''s' END, CASE WHEN cat = 'odd' THEN 'unknown category' END, CASE WHEN cat <> 'odd' AND event_id % 17 = 0 THEN 'disposition is not the category''s' END) AS faults FROM c)
+    SELECT id, CASE WHEN user_id % 9 = 0 THEN 'other' WHEN user_id % 2 = 0 THEN CASE WHEN faults = '' THEN 'jd' ELSE 'JD ' END ELSE 'taobao' END AS platform, CASE event_id % 3 WHEN 0 THEN CASE WHEN faults = '' THEN 'initial' ELSE 'Initial' END WHEN 1 THEN 'reproject' ELSE 'reload' END AS recovery_stage, cat AS category, faults FROM f""",
+)
+_add("ev_failure_histogram", lambda s, d: ledger.failure_histogram(_recoveries(s, d)), f"SELECT {[*_NAMES, 'odd']}[user_id % {len(_NAMES) + 1} + 1] AS category, count(*) AS n FROM events GROUP BY 1")
+_add(
+    "cust_supp_concatenated",
+    lambda s, d: joins.concatenated(_rows(s, d, "customer", "c_acctbal AS bal", "c_custkey AS ord", "c_name AS name"), _rows(s, d, "supplier", "s_acctbal AS bal", "-s_suppkey AS ord", "s_name AS name")).select("ord", "name", "bal"),
+    "SELECT row_number() OVER (ORDER BY t, o) AS ord, name, bal FROM (SELECT 0 AS t, c_custkey AS o, c_name AS name, c_acctbal AS bal FROM customer UNION ALL SELECT 1, -s_suppkey, s_name, s_acctbal FROM supplier)",
+)
+_add(
+    "part_route_owners",
+    lambda s, d: joins.route_owners(_rows(s, d, "part", "concat_ws('/', p_brand, p_type, CAST(p_partkey AS STRING)) AS path"), _rows(s, d, "part", "CASE WHEN p_size % 2 = 0 THEN p_brand ELSE concat_ws('/', p_brand, p_type, '') END AS prefix", "CASE WHEN p_size % 7 = 0 THEN 'second' ELSE 'first' END AS owner").distinct()),
+    """WITH r AS (SELECT DISTINCT CASE WHEN p_size % 2 = 0 THEN p_brand ELSE p_brand || '/' || p_type END AS prefix, CASE WHEN p_size % 7 = 0 THEN 'second' ELSE 'first' END AS owner FROM part), o AS (SELECT prefix, count(*) AS n, min(owner) AS owner FROM r GROUP BY prefix),
+    p AS (SELECT p_brand || '/' || p_type || '/' || p_partkey AS path, p_brand AS b, p_brand || '/' || p_type AS t FROM part)
+    SELECT path, CASE WHEN coalesce(x.n, y.n) = 1 THEN coalesce(x.owner, y.owner) END AS owner, coalesce(x.prefix, y.prefix) AS prefix, CASE WHEN coalesce(x.n, y.n) IS NULL THEN 'unknown' WHEN coalesce(x.n, y.n) > 1 THEN 'ambiguous' END AS fault FROM p LEFT JOIN o x ON x.prefix = t LEFT JOIN o y ON y.prefix = b""",
+)
