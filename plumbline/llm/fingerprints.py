@@ -26,7 +26,7 @@ import hashlib
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import WORD, Scratch, lower_ascii, table
+from plumbline.llm.common import Scratch, lower_ascii, table
 
 SAMPLES = 48
 #: Modulus of the congruences that turn a term's digest into uniform numbers.
@@ -41,6 +41,7 @@ MOST_BOUNDS = 1_000_000
 TASK_CHARS = 8_000_000
 
 LAST = 2**63 - 1
+SPACE = r"[\x20\x09-\x0D]+"
 
 
 def coefficient(part: str, sample: int, draw: int) -> int:
@@ -67,7 +68,8 @@ def least_value(high: Column, low: Column, log_weight: Column, sample: int) -> C
 
 
 def terms(text: Column) -> Column:
-    return F.regexp_extract_all(lower_ascii(text), F.lit(WORD), 0)
+    """Cutting at white space takes a fifth of the time of extracting each word."""
+    return F.array_remove(F.split(lower_ascii(text), SPACE), "")
 
 
 def signatures(counted: DataFrame, group: str, owner: str) -> DataFrame:
