@@ -107,3 +107,23 @@ def progress(rows: DataFrame) -> DataFrame:
     total = rows.agg(*[F.sum(c).alias(c) for c in ("raw", "valid", "unique", "domains", "source_sum")], F.max("seconds").alias("seconds"))
     fault = lambda test, text: F.when(test, F.lit(text))
     return total.select("*", rate(F.col("raw"), F.col("seconds")).alias("raw_rate"), F.array_compact(F.array(fault(F.col("valid") > F.col("raw"), "valid exceeds raw"), fault(F.col("unique") > F.col("valid"), "unique exceeds valid"), fault(F.col("domains") > F.col("unique"), "domains exceed unique"), fault(F.col("source_sum") != F.col("raw"), "sources do not add up"))).alias("faults"))
+
+
+def state_v2(states: DataFrame, folder: str, limit_seconds: float = 600.0) -> tuple[DataFrame, DataFrame]:
+    """States of the first schema in the second one, and those that can't be migrated with the reason.
+
+    states: schema_version, run_id, run_kind and others. A market discovery becomes open research, any other run a quick one;
+    the limit and the ledger's path are set, completion and generation are open, and addresses leave the state.
+    """
+    reason = F.when(~F.col("schema_version").eqNullSafe(F.lit(1)), "not of the first schema").when(F.trim(F.coalesce("run_id", F.lit(""))) == "", "run_id is empty")
+    judged = states.withColumn("reason", reason)
+    made = {
+        "schema_version": F.lit(2),
+        "run_type": F.when(F.col("run_kind") == "market_discovery", "open_web_research").otherwise("quick_direct"),
+        "search_limit_seconds": F.lit(limit_seconds),
+        "scope_completion": F.lit(None).cast("string"),
+        "query_generation": F.lit(None).cast("string"),
+        "peak_inflight": F.lit(0),
+        "ledger_path": F.concat(F.lit(folder.rstrip("/") + "/"), F.trim("run_id"), F.lit(".sqlite")),
+    }
+    return judged.where("reason is null").withColumns(made).drop("reason", "canonical_urls"), judged.where("reason is not null")

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.lineage import shared_folder
-from plumbline.operators import annotations, blocks, corpus, joins, ledger, registry, scan
-from plumbline.sources import pages
+from plumbline.operators import annotations, blocks, corpus, evidence, joins, ledger, registry, scan
+from plumbline.sources import files, pages
 from plumbline.sources.versions import Versions
 from plumbline.streaming import groups, leases
 
@@ -213,3 +213,27 @@ _add(
     p AS (SELECT p_brand || '/' || p_type || '/' || p_partkey AS path, p_brand AS b, p_brand || '/' || p_type AS t FROM part)
     SELECT path, CASE WHEN coalesce(x.n, y.n) = 1 THEN coalesce(x.owner, y.owner) END AS owner, coalesce(x.prefix, y.prefix) AS prefix, CASE WHEN coalesce(x.n, y.n) IS NULL THEN 'unknown' WHEN coalesce(x.n, y.n) > 1 THEN 'ambiguous' END AS fault FROM p LEFT JOIN o x ON x.prefix = t LEFT JOIN o y ON y.prefix = b""",
 )
+
+
+_STATES = list(files.STATES)
+_add(
+    "part_candidate_index",
+    lambda s, d: files.candidate_index(_rows(s, d, "part", "concat('c', lpad(CAST(p_partkey AS STRING), 9, '0')) AS id", "concat('<', p_name, '|', p_brand, ']') AS title", "p_brand AS owner", f"element_at(array({', '.join(map(repr, _STATES))}), CAST(p_partkey % {len(_STATES)} AS INT) + 1) AS status", "p_type AS delta", "CASE WHEN p_size % 2 = 0 THEN concat(p_type, ' & more') END AS note")),
+    f"""WITH c AS (SELECT 'c' || lpad(CAST(p_partkey AS VARCHAR), 9, '0') AS id, p_partkey % {len(_STATES)} AS s, '&lt;' || p_name || '&#124;' || p_brand || '&#93;' AS title, p_brand, p_type, CASE WHEN p_size % 2 = 0 THEN p_type || ' &amp; more' ELSE '尚未审核' END AS note FROM part)
+    SELECT row_number() OVER (ORDER BY s NOT IN (2, 3), id) AS place, '| [[候选分析/' || id || '|' || title || ']] | ' || p_brand || ' | ' || {list(files.STATES.values())}[s + 1] || ' | ' || p_type || '；' || note || ' |' AS line FROM c""",
+)
+
+
+def _migrated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as states of runs, some of another schema or without an id."""
+    states = _rows(spark, sf_dir, "orders", "CAST(o_orderkey AS STRING) AS k", "CASE WHEN o_orderkey % 9 = 0 THEN 2 ELSE 1 END AS schema_version", "CASE WHEN o_orderkey % 11 = 0 THEN ' ' ELSE concat(' r', o_orderkey) END AS run_id", "CASE WHEN o_orderstatus = 'O' THEN 'market_discovery' ELSE 'direct' END AS run_kind", "'u' AS canonical_urls")
+    done, refused = evidence.state_v2(states, "ledgers/")
+    return done.select("k", "schema_version", "run_type", "search_limit_seconds", "ledger_path", F.lit(None).cast("string").alias("reason")).unionByName(refused.select("k", "reason"), allowMissingColumns=True)
+
+
+_add(
+    "ord_state_migration",
+    _migrated,
+    """WITH o AS (SELECT CAST(o_orderkey AS VARCHAR) AS k, CASE WHEN o_orderkey % 9 = 0 THEN 'not of the first schema' WHEN o_orderkey % 11 = 0 THEN 'run_id is empty' END AS reason, o_orderstatus AS s FROM orders)
+    SELECT k, CASE WHEN reason IS NULL THEN 2 END AS schema_version, CASE WHEN reason IS NULL THEN CASE WHEN s = 'O' THEN 'open_web_research' ELSE 'quick_direct' END END AS run_type, CASE WHEN reason IS NULL THEN 600.0::DOUBLE END AS search_limit_seconds, CASE WHEN reason IS NULL THEN 'ledgers/r' || k || '.sqlite' END AS ledger_path, reason FROM o""",
+)

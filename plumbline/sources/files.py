@@ -203,6 +203,28 @@ def markdown_table(rows: DataFrame, most: int = 1000) -> str:
     return "\n".join("| " + " | ".join(map(text, line)) + " |" for line in lines)
 
 
+# What a candidate's state is called in its index.
+STATES = {"pending_screening": "待筛选", "pending_comparison": "待比较", "pending_review": "待审核", "approved": "已批准待实施", "adopted": "已采用", "deferred": "暂缓", "rejected": "不采用"}
+OPEN_STATES = ("pending_review", "approved")
+
+
+def table_text(text: Column) -> Column:
+    """A text that stands in a cell of a Markdown table: no markup, no cell mark, no link, one line."""
+    out = text
+    for mark, put in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;"), ("|", "&#124;"), ("\n", " "), ("[", "&#91;"), ("]", "&#93;")):
+        out = F.replace(out, F.lit(mark), F.lit(put))
+    return out
+
+
+def candidate_index(candidates: DataFrame) -> DataFrame:
+    """place and line of each candidate (id, title, owner, status, delta, note) in an index: those that wait for a decision first, then by id."""
+    names = F.create_map(*[F.lit(x) for pair in STATES.items() for x in pair])
+    cell = F.concat(table_text(F.col("delta")), F.lit("；"), table_text(F.coalesce("note", F.lit("尚未审核"))))
+    line = F.concat(F.lit("| [[候选分析/"), "id", F.lit("|"), table_text(F.col("title")), F.lit("]] | "), table_text(F.col("owner")), F.lit(" | "), F.try_element_at(names, F.col("status")), F.lit(" | "), cell, F.lit(" |"))
+    placed = scan.numbered(candidates.withColumn("__late", ~F.col("status").isin(*OPEN_STATES)), ["__late", "id"], "place")
+    return placed.select("place", line.alias("line"))
+
+
 def sparkline(values: list[float]) -> str:
     """Values as a line of eight levels."""
     if not values:
