@@ -9,7 +9,8 @@ The usual distance is measured: SAMPLE query vectors against all vectors. Nothin
 
 Buckets are dealt out in groups of at most GROUP_ROWS vectors, so that a hot bucket is many tasks; a task holds the queries
 of one group and passes over its vectors in batches. Queries with equal vectors are searched once. Ties go to smaller ids.
-Queries that find fewer than k vectors are searched again against all vectors, in blocks of BLOCK queries.
+Queries that find fewer than k vectors are searched again against all vectors, in blocks of about BLOCK queries.
+All joins are by sorting: probes and their groups grow with the vectors, and none of them goes through the driver.
 
 Defined cases: vectors that are null, zero, or hold null or non-finite components take no part, nor do those of another
 length than the most frequent one (the smaller of equals), nor null ids. Rows that repeat an id are one vector, the one
@@ -230,27 +231,26 @@ def search(vectors: DataFrame, is_query: Column, *, k: int = 10, id_col: str = "
     index = scratch.keep(_hashed(rows, "vec_id", family, None), "index")
     probes = _hashed(queries, "qkey", family, 1 - (1 - recall) ** (1 / TABLES))
     groups = index.groupBy("t", "bucket").agg(F.ceil(F.count(F.lit(1)) / GROUP_ROWS).alias("salts"))
+    groups = groups.hint("merge")
     dealt = index.join(groups, ["t", "bucket"]).select("t", "bucket", F.pmod(F.xxhash64("id"), "salts").alias("salt"), F.lit(True).alias("is_vector"), "id", "vec")
     sent = probes.join(groups, ["t", "bucket"]).select("t", "bucket", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.lit(False).alias("is_vector"), "id", "vec")
     found = scratch.keep(nearest_of(_search_groups(dealt.unionByName(sent), wanted), wanted), "found")
 
-    short = queries.join(found.groupBy("qkey").count().where(F.col("count") >= min(wanted, n)), "qkey", "left_anti")
-    rest = scratch.keep(short, "short")
+    enough = found.groupBy("qkey").count().where(F.col("count") >= min(wanted, n))
+    rest = scratch.keep(queries.join(enough.hint("merge"), "qkey", "left_anti"), "short")
     missing = rest.count()
     if missing:
-        parts = [found]
-        numbered = scratch.keep(rest.withColumn("block", F.floor(F.row_number().over(Window.orderBy("qkey")) / BLOCK)), "blocks")
-        for block in range(missing // BLOCK + 1):
-            held = numbered.where(F.col("block") == block).collect()
+        blocks = math.ceil(missing / BLOCK)  # keys are hashes, so blocks are of about BLOCK queries
+        for block in range(blocks):
+            held = rest.where(F.pmod("qkey", F.lit(blocks)) == block).collect()
             if held:
                 exact = scan(rows, [r.qkey for r in held], np.array([r.vec for r in held]), wanted)
-                parts.append(scratch.keep(nearest_of(exact, wanted), f"exact-{block}").select(*found.columns))
-        for part in parts[1:]:
-            found = found.join(part.select("qkey").distinct(), "qkey", "left_anti").select(*part.columns).unionByName(part)
+                scratch.add(nearest_of(exact, wanted).select(*found.columns), "exact")
+        found = found.join(rest.select("qkey").hint("merge"), "qkey", "left_anti").unionByName(scratch.read("exact", found.schema))
     found = scratch.keep(found, "nearest")
     scratch.drop_all_but("vectors", "nearest")
     by_rank = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    pairs = asked.select("query_id", "qkey").join(found.drop("rank"), "qkey").where(F.col("query_id") != F.col("vec_id"))
+    pairs = asked.select("query_id", "qkey").join(found.drop("rank").hint("merge"), "qkey").where(F.col("query_id") != F.col("vec_id"))
     return pairs.withColumn("rank", F.row_number().over(by_rank)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

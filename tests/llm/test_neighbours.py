@@ -64,3 +64,25 @@ def test_recall_of_the_query(spark, at):
         assert all(s == pytest.approx(np.linalg.norm(at_id[q] - at_id[i]), rel=1e-12) for _, i, s in found)
     print(at, "recall", hits / len(got) / 10)
     assert hits >= 0.9 * 10 * len(got)
+
+
+def test_driver_gets_no_side_of_a_join(spark, monkeypatch):
+    """Far vectors find too few and are searched again, here in many blocks: no plan grows with these, and none sends a side of a join through the driver."""
+    rng = np.random.default_rng(5)
+    vecs = np.concatenate([rng.standard_normal((200, 4)), 1e4 * rng.standard_normal((40, 4))])
+    plans, keep = [], N.Scratch.keep
+
+    def kept(self, frame, name):
+        out = keep(self, frame, name)
+        frame.collect()
+        plans.append(frame._jdf.queryExecution().executedPlan().toString())
+        return out
+
+    monkeypatch.setattr(N.Scratch, "keep", kept)
+    monkeypatch.setattr(N, "BLOCK", 2)
+    found = N.search(spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(vecs)], "vec_id long, embedding array<double>"), F.col("vec_id") >= 190, k=5)
+    got = by_query(found)
+    plans.append(found._jdf.queryExecution().executedPlan().toString())
+    hits = [len({i for _, i, _ in got[q]} & {i for _, i in exact(range(240), vecs, q, 5)}) for q in range(190, 240)]
+    assert all(len(got[q]) == 5 for q in range(190, 240)) and sum(hits) >= 0.9 * 5 * 50
+    assert not any("BroadcastExchange" in p for p in plans) and max(p.split("Initial Plan")[0].count("SortMergeJoin") for p in plans) <= 2
