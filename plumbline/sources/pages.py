@@ -11,12 +11,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.functions.text import unescaped
+from plumbline.functions.text import REFERENCES, unescaped
 from plumbline.functions.urls import resolve_root_relative
 
 
-def title(html: Column) -> Column:
-    return F.trim(unescaped(F.regexp_extract(html, "(?s)<title>(.*?)</title>", 1)))
+def title(html: Column, names: tuple[str, ...] = tuple(REFERENCES)) -> Column:
+    """The title, with the character references of these names resolved."""
+    return F.trim(unescaped(F.regexp_extract(html, "(?s)<title>(.*?)</title>", 1), names))
 
 
 def headings(html: Column) -> Column:
