@@ -4,7 +4,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.operators import validation
+from plumbline.operators import registry, validation
 from plumbline.plans import catalog
 from plumbline.sources import pages
 from tests.oracle import compare
@@ -45,3 +45,49 @@ def test_sort_keys_beyond_their_width(spark, tables):
     at = tables("part", "select * replace (p_partkey * 997 as p_partkey) from '{old}'")
     assert equal(spark, "part_sort_index", at) == 2000
     assert spark.range(1).select(validation.sort_index(F.lit(3), F.lit(42), F.lit(123456)).alias("x")).first().x == "00003|000042|123456"
+
+
+def rows_met(frame):
+    """The most rows that a join of the query gave."""
+    frame.collect()
+    most = -1
+
+    def walk(node):
+        nonlocal most
+        kind = node.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            walk(node.executedPlan())
+        if kind.endswith("QueryStageExec"):
+            walk(node.plan())
+        if "Join" in kind:
+            metric = node.metrics().get("numOutputRows")
+            most = max(most, metric.get().value() if metric.isDefined() else 0)
+        children = node.children()
+        for i in range(children.size()):
+            walk(children.apply(i))
+
+    walk(frame._jdf.queryExecution().executedPlan())
+    assert most >= 0
+    return most
+
+
+def test_one_title_for_all_items(spark, tables):
+    at = tables("part", "select * replace ('one title' as p_name) from '{old}'")
+    assert equal(spark, "part_library_alignment", at) == 2000
+    assert rows_met(catalog.QUERIES["part_library_alignment"](spark, at)) <= 3 * 2000
+
+
+def test_one_family_for_all_solutions(spark, tables):
+    tables("supplier", "select * replace (7 as s_nationkey) from '{old}'")
+    at = tables("customer", "select * replace (7 as c_nationkey) from '{old}'")
+    assert equal(spark, "cust_closure_report", at) == 1500
+    assert rows_met(catalog.QUERIES["cust_closure_report"](spark, at)) <= 2 * 1500
+
+
+def test_rules_of_distinct_names_return_without_the_driver(spark):
+    rows = spark.range(200).selectExpr("id as k", "concat('eco', id % 3) as component")
+    rules = spark.createDataFrame([("eco1", "one", 0), ("eco", "some", 1)], "prefix string, value string, ord int")
+    found = registry.canonical_components(rows, spark.createDataFrame([("eco2", "two")], "name string, value string"), rules)
+    assert {(r.component, r.canonical) for r in found.collect()} == {("eco0", "some"), ("eco1", "one"), ("eco2", "two")} and found.count() == 200
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "monotonically_increasing_id" not in plan and "SortMergeJoin" in plan
