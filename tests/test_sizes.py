@@ -4,7 +4,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.operators import registry, validation
+from plumbline.operators import evidence, graph, registry, scan, validation
 from plumbline.plans import catalog
 from plumbline.sources import pages
 from tests.oracle import compare
@@ -91,3 +91,41 @@ def test_rules_of_distinct_names_return_without_the_driver(spark):
     assert {(r.component, r.canonical) for r in found.collect()} == {("eco0", "some"), ("eco1", "one"), ("eco2", "two")} and found.count() == 200
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "monotonically_increasing_id" not in plan and "SortMergeJoin" in plan
+
+
+def test_long_chains_without_the_driver(spark, monkeypatch):
+    """A chain of more passes than a plan has layers; steps send no side of a join through the driver."""
+    plans, cut = [], graph.cut
+
+    def seen(frame):
+        out = cut(frame)
+        frame.collect()
+        plans.append(frame._jdf.queryExecution().executedPlan().toString())
+        return out
+
+    monkeypatch.setattr(graph, "cut", seen)
+    monkeypatch.setattr(graph, "LAYERS", 3)
+    chain = spark.createDataFrame([("0", []), *[(str(i), [str(i - 1), str(i // 2)]) for i in range(1, 7)]], "id string, requires array<string>")
+    assert sorted((r.id, r.rank, r.problem) for r in graph.dependency_order(chain).collect()) == [(str(i), i, None) for i in range(7)]
+    assert sorted(r.node for r in graph.affected(chain, spark.createDataFrame([("3",)], "node string")).collect()) == ["3", "4", "5", "6"]
+    assert not any("BroadcastExchange" in p for p in plans)
+
+
+def test_notice_makes_a_signature_once(spark):
+    made = spark.range(1).select(registry.notice(F.lit("x"), F.col("id").cast("string")))
+    assert made._jdf.queryExecution().analyzed().toJSON().count("expressions.RegExpReplace") == 6
+
+
+def test_fields_are_moved_with_their_row(spark):
+    rows = spark.createDataFrame([(1, 1, 2.5, None), (1, 1, 1.0, "b"), (1, 2, 3.0, "c"), (None, 3, None, "d")], "a long, b long, x double, y string")
+    held = evidence.fields_by_entity(rows, ["a", "b"], ["x", "y"])
+    want = evidence.by_entity(evidence.atoms(rows, ["a", "b"], ["x", "y"]))
+    assert sorted(map(str, held.collect())) == sorted(map(str, want.collect()))
+
+
+def test_boxes_are_dealt_by_count(spark, monkeypatch):
+    assert scan.dealt(spark.range(1000), "id", task_rows=10).rdd.getNumPartitions() == 100
+    frame = catalog.QUERIES["li_merge_boxes"](spark, AT)
+    frame.collect()
+    assert frame._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange ") == 1
+
