@@ -16,14 +16,19 @@ empty ones. Requests that are refused leave all tables as they were.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.hashing import short_hash
-from plumbline.operators import registry
+from plumbline.operators import registry, scan
 
 IDENTITY = ("operation", "failure_phase", "error_class")
 
+# Requests that one copy of their component's list of families is joined to.
+LIST_ROWS = 5_000
+
 
 def merged_catalog(families: DataFrame, catalog: DataFrame) -> DataFrame:
     """Families of the catalog, and those of the tables that it lacks."""
@@ -182,26 +187,31 @@ def consistent(tables: dict[str, DataFrame]) -> DataFrame:
     return registry.faults(tables["families"], tables["solutions"], tables["events"])
 
 
-def preflight(requests: DataFrame, families: DataFrame, solutions: DataFrame) -> DataFrame:
-    """What to do about each request (request_id, component, family_id, environment) before work starts: action, with the
-    solution to use, families that may fit, and solutions that are blocked.
+def _beside(rows: DataFrame, key: str, found: DataFrame, *also: str) -> DataFrame:
+    """rows with what is found by key (and by columns that both have); those without a key are dealt by request, not all to one task."""
+    right = found.withColumnsRenamed({c: f"__found_{c}" for c in (key, *also)})
+    same = (F.coalesce(key, F.col("request_id").cast("string")) == F.col(f"__found_{key}")) & F.col(key).isNotNull()
+    for c in also:
+        same &= F.col(c) == F.col(f"__found_{c}")
+    return rows.join(right.hint("merge"), same, "left").drop(*[f"__found_{c}" for c in (key, *also)])
 
-    Without a family: those of the component. With one: its only verified solution, if its guard holds.
-    """
-    asked = requests.select("request_id", registry.component_name(F.col("component")).alias("__c"), F.col("family_id").alias("__f"), _environment().alias("__env"))
-    own = families.groupBy(registry.component_name(F.col("component")).alias("__c")).agg(F.array_sort(F.collect_set("family_id")).alias("family_ids"))
+
+def _decided(requests: DataFrame, families: DataFrame, solutions: DataFrame) -> DataFrame:
+    """What preflight() tells but for lists of families, with the component as __c; action is null where no family is named."""
+    component = registry.component_name(F.col("component")).alias("__c")
+    asked = requests.select("request_id", component, "family_id", _environment().alias("__env"))
+    members = families.select(component, "family_id", F.lit(1).alias("__member")).distinct()
     status = solutions.groupBy("family_id").agg(
         F.array_sort(F.collect_set(F.when(F.col("status") == "verified", F.col("solution_id")))).alias("solution_ids"),
         F.array_sort(F.collect_set(F.when(F.col("status").isin("regressed", "retired"), F.col("solution_id")))).alias("blocked"),
         F.max_by(F.when(F.col("status") == "verified", F.col("guard")), F.when(F.col("status") == "verified", F.col("solution_id"))).alias("__guard"),
     )
     none = F.array().cast("array<string>")
-    rows = asked.join(own, "__c", "left").join(status.withColumnRenamed("family_id", "__f"), "__f", "left").withColumns({c: F.coalesce(c, none) for c in ("family_ids", "solution_ids", "blocked")})
+    rows = _beside(_beside(asked, "family_id", status), "family_id", members, "__c").withColumns({c: F.coalesce(c, none) for c in ("solution_ids", "blocked")})
     one = F.size("solution_ids") == 1
     action = (
-        F.when(F.col("__f").isNull() & (F.size("family_ids") > 0), "candidate-families")
-        .when(F.col("__f").isNull(), "continue-without-runtime-write")
-        .when(~F.array_contains("family_ids", F.col("__f")), "needs-classification")
+        F.when(F.col("family_id").isNull(), None)
+        .when(F.col("__member").isNull(), "needs-classification")
         .when(~one & (F.size("blocked") > 0), "local-solution-blocked")
         .when(~one, "needs-solution-review")
         .when(~registry.guard_holds(F.col("__guard"), F.col("__env")), "guard-not-satisfied")
@@ -209,9 +219,37 @@ def preflight(requests: DataFrame, families: DataFrame, solutions: DataFrame) ->
     )
     rows = rows.withColumn("action", action)
     found = F.col("action").isin("guard-not-satisfied", "use-verified-solution")
-    listed = F.col("action").isin("candidate-families", "needs-classification")
     review = F.col("action").isin("local-solution-blocked", "needs-solution-review")
-    return rows.select("request_id", "action", F.when(found, F.get("solution_ids", F.lit(0))).alias("solution_id"), F.when(listed, F.col("family_ids")).otherwise(none).alias("family_ids"), F.when(review, F.col("solution_ids")).otherwise(none).alias("solution_ids"), F.when(review, F.col("blocked")).otherwise(none).alias("blocked"), (F.col("action") == "use-verified-solution").alias("reuse_required"))
+    return rows.select("request_id", "__c", "action", F.when(found, F.get("solution_ids", F.lit(0))).alias("solution_id"), F.when(review, F.col("solution_ids")).otherwise(none).alias("solution_ids"), F.when(review, F.col("blocked")).otherwise(none).alias("blocked"))
+
+
+def _listed(rows: DataFrame, requests: DataFrame, families: DataFrame, told: Callable[[Column], Column]) -> DataFrame:
+    """Decided rows with families of their component where these are asked for.
+
+    Lists are long, and many rows have the same: a component's requests are cut into parts of about LIST_ROWS by their ids, each
+    part gets one copy of the list, and parts are dealt to as many tasks as the requests ask.
+    """
+    component = registry.component_name(F.col("component")).alias("__c")
+    own = families.where("family_id is not null").groupBy(component).agg(told(F.array_sort(F.collect_set("family_id"))).alias("__ids"))
+    parts = requests.groupBy(component).agg(F.ceil(F.count(F.lit(1)) / LIST_ROWS).alias("__parts"))
+    copies = own.join(parts, "__c").select("__c", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__parts") - 1)).alias("__part"), "__ids")
+    cut = rows.join(parts, "__c").withColumn("__part", F.pmod(F.xxhash64("request_id"), "__parts")).drop("__parts")
+    # By a fixed number, since Spark would put parts together by the size of rows without their lists.
+    wide = cut.repartition(scan.tasks(requests, LIST_ROWS), "__c", "__part").join(copies.hint("merge"), ["__c", "__part"], "left")
+    action = F.coalesce("action", F.when(F.col("__ids").isNotNull(), "candidate-families").otherwise("continue-without-runtime-write"))
+    ids = F.when(action.isin("candidate-families", "needs-classification"), F.col("__ids"))
+    more = [c for c in rows.columns if c not in ("request_id", "__c", "action", "solution_id", "solution_ids", "blocked")]
+    return wide.select("request_id", action.alias("action"), "solution_id", F.coalesce(ids, told(F.array().cast("array<string>"))).alias("family_ids"), "solution_ids", "blocked", (action == "use-verified-solution").alias("reuse_required"), *more)
+
+
+def preflight(requests: DataFrame, families: DataFrame, solutions: DataFrame, told: Callable[[Column], Column] = lambda ids: ids) -> DataFrame:
+    """What to do about each request (request_id, component, family_id, environment) before work starts: action, with the
+    solution to use, families that may fit, and solutions that are blocked.
+
+    Without a family: those of the component. With one: its only verified solution, if its guard holds. told makes of a list of
+    families what family_ids holds; it is made once a component, not once a request.
+    """
+    return _listed(_decided(requests, families, solutions), requests, families, told)
 
 
 def preflight_with_fallback(requests: DataFrame, local: tuple[DataFrame, DataFrame], public: tuple[DataFrame, DataFrame]) -> DataFrame:
@@ -225,10 +263,10 @@ def preflight_with_fallback(requests: DataFrame, local: tuple[DataFrame, DataFra
     united = lf.join(theirs, "family_id", "left").withColumn("solution_ids", F.array_sort(F.array_union(F.coalesce("solution_ids", none), F.coalesce("__theirs", none)))).select(*lf.columns)
     families = united.unionByName(pf.join(lf.select("family_id"), "family_id", "left_anti").select(*lf.columns))
     solutions = ls.unionByName(ps.join(ls.select("solution_id"), "solution_id", "left_anti").select(*ls.columns))
-    told = preflight(requests, families, solutions)
+    rows = _decided(requests, families, solutions)
     own = ls.select("solution_id", F.lit(True).alias("__own"))
-    source = F.when(~F.col("reuse_required"), "combined").when(F.col("__own"), "local").otherwise("public")
-    return told.join(own, "solution_id", "left").select(*told.columns, source.alias("source"))
+    source = F.when(~F.col("action").eqNullSafe("use-verified-solution"), "combined").when(F.col("__own"), "local").otherwise("public")
+    return _listed(_beside(rows, "solution_id", own).select(*rows.columns, source.alias("source")), requests, families, lambda ids: ids)
 
 
 def capture_incidents(incidents: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -60,7 +60,8 @@ def preflights(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = _table(spark, sf_dir, "customer").join(F.broadcast(n)).join(_table(spark, sf_dir, "supplier"), F.col("s_suppkey") == key % (F.col("n") + 1), "left")
     own = F.when(key % 6 == 0, F.lit(None)).otherwise(_said("f", key % (F.col("n") + 1)))
     requests = asked.select(_said("r", key).alias("request_id"), _said("comp-", F.when(key % 5 == 1, F.col("c_nationkey")).otherwise(F.coalesce("s_nationkey", F.lit(99)))).alias("component"), own.alias("family_id"), _system("c_custkey").alias("environment"))
-    return resolution.preflight(requests, families, solutions).select("request_id", "action", "solution_id", *[F.array_join(c, ",").alias(c) for c in ("family_ids", "solution_ids", "blocked")], "reuse_required")
+    joined = lambda ids: F.array_join(ids, ",")
+    return resolution.preflight(requests, families, solutions, joined).select("request_id", "action", "solution_id", "family_ids", *[joined(c).alias(c) for c in ("solution_ids", "blocked")], "reuse_required")
 
 
 QUERIES["cust_preflight"] = preflights

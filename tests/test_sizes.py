@@ -4,7 +4,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.operators import evidence, graph, registry, scan, validation
+from plumbline.operators import evidence, graph, registry, resolution, scan, validation
 from plumbline.plans import catalog
 from plumbline.sources import pages
 from tests.oracle import compare
@@ -129,3 +129,14 @@ def test_boxes_are_dealt_by_count(spark, monkeypatch):
     frame.collect()
     assert frame._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange ") == 1
 
+
+
+def test_lists_of_one_component_are_dealt(spark, tables, monkeypatch):
+    """Requests that hold a component's list of families are cut into parts, though all are of one component."""
+    monkeypatch.setattr(resolution, "LIST_ROWS", 50, raising=False)
+    tables("supplier", "select * replace (7 as s_nationkey) from '{old}'")
+    at = tables("customer", "select * replace (7 as c_nationkey) from '{old}'")
+    assert equal(spark, "cust_preflight", at) == 1500
+    listed = catalog.QUERIES["cust_preflight"](spark, at).where("family_ids <> ''")
+    sizes = [r["count"] for r in listed.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) >= 250 and max(sizes) <= 100
